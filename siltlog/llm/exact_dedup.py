@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltlog.llm import kernels
+from siltlog.llm.frames import durable
 
 WINDOW = 48
 CUT_BITS = 11
@@ -104,12 +105,12 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     number. An empty table gives no rows. Extra columns are ignored.
 
     The recipes are reduced on the map side before they are shuffled, so a group that holds a third of all
-    rows costs one row per task; joining the group's figures back is a plain equi-join of light rows, whose
-    hot partition adaptive execution splits.
+    rows costs one row per task; joining the group's figures back is a plain equi-join of two
+    checkpointed light tables, whose hot partition adaptive execution splits.
     """
-    light = recipes(docs).select("doc_id", "text_sha256", "recipe")
+    light = durable(recipes(docs).select("doc_id", "text_sha256", "recipe"))
     groups = light.groupBy("recipe", "text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    groups = groups.select(F.col("recipe").alias("g_recipe"), F.col("text_sha256").alias("g_sha"), "keep_id", "group_size")
+    groups = durable(groups.select(F.col("recipe").alias("g_recipe"), F.col("text_sha256").alias("g_sha"), "keep_id", "group_size"))
     joined = light.join(groups, (light.recipe == groups.g_recipe) & (light.text_sha256 == groups.g_sha))
     return joined.select(
         "doc_id",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltlog.llm import exact_dedup, html_extract, piece_codec
+from siltlog.llm import exact_dedup, html_extract, neardup, piece_codec
 from siltlog.llm.frames import read_table
 
 
@@ -12,6 +12,10 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(read_table(spark, sf_dir, "pages"))
 
 
+def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read_table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_digests(read_table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_html_extraction": op3_html_extraction,
+    "op7_minhash_neardup": op7_minhash_neardup,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_exact_dedup": op9_exact_dedup,
 }
