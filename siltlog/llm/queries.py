@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siltlog.llm import exact_dedup, html_extract, neardup, piece_codec
+from siltlog.llm import decontaminate, exact_dedup, html_extract, kd_shards, neardup, piece_codec
 from siltlog.llm.frames import read_table
 
 
@@ -12,6 +13,15 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(read_table(spark, sf_dir, "pages"))
 
 
+def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned = kd_shards.kd_shards(read_table(spark, sf_dir, "documents"), shards=16)
+    return assigned.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("tiles")
+
+
 def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"), width=4, percent=80)
 
@@ -27,6 +37,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_html_extraction": op3_html_extraction,
+    "op4_kd_sharding": op4_kd_sharding,
+    "op5_decontamination": op5_decontamination,
     "op7_minhash_neardup": op7_minhash_neardup,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_exact_dedup": op9_exact_dedup,
