@@ -17,7 +17,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from siltlog.llm import kernels
 
@@ -146,38 +145,61 @@ class _Block:
 _built: dict[tuple, _Block] = {}
 
 
+def _block_of(shared, seed: int) -> _Block:
+    key = (shared.id if hasattr(shared, "id") else id(shared), seed)
+    if key not in _built:
+        while len(_built) >= 4:
+            _built.pop(next(iter(_built)))
+        _built[key] = _Block(shared.value, seed)
+    return _built[key]
+
+
+def _matches(texts: pa.Array, block: _Block, seed: int, coverage: float) -> Iterator[tuple]:
+    """(row, item_id, item words, covered words, tiles) of every covered item of every text."""
+    for lo, hi, data, offsets in kernels.text_slices(texts):
+        lowered = kernels.ascii_lower(data)
+        hashes, _, _, first = kernels.words(lowered, offsets)
+        pairs: set[tuple[int, int]] = set()
+        for n in {seed, *block.short}:
+            at, item = block.hits(kernels.shingles(hashes, n))
+            doc = np.searchsorted(first, at, side="right") - 1
+            good = at + n <= first[doc + 1]
+            pairs.update(zip(doc[good].tolist(), item[good].tolist()))
+        for k, item in sorted(pairs):
+            known: dict[bytes, int] = {}
+            number, text = block.items[item]
+            words = word_ids(text, known)
+            found = tiles(words, word_ids(lowered[offsets[k] : offsets[k + 1]].tobytes(), known), min(seed, len(words)))
+            covered = sum(n for n, _, _ in found)
+            if found and covered >= coverage * len(words):
+                yield lo + k, number, len(words), covered, found
+
+
 def _matcher(shared, seed: int, coverage: float) -> Callable:
+    names = ["doc_id", "item_id", "item_words", "covered_words", "n_tiles", "longest_tile", "tiles"]
+    kinds = [pa.int64()] * 6 + [pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64())]))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (shared.id if hasattr(shared, "id") else id(shared), seed)
-        if key not in _built:
-            _built.clear()
-            _built[key] = _Block(shared.value, seed)
-        block = _built[key]
+        block = _block_of(shared, seed)
         for batch in batches:
-            rows: list[tuple] = []
-            for lo, hi, data, offsets in kernels.text_slices(batch.column(1)):
-                lowered = kernels.ascii_lower(data)
-                hashes, starts, ends, first = kernels.words(lowered, offsets)
-                pairs: dict[tuple[int, int], None] = {}
-                for n in {seed, *block.short}:
-                    at, item = block.hits(kernels.shingles(hashes, n))
-                    doc = np.searchsorted(first, at, side="right") - 1
-                    good = at + n <= first[doc + 1]
-                    pairs.update(dict.fromkeys(zip(doc[good].tolist(), item[good].tolist())))
-                for k, item in sorted(pairs):
-                    body = lowered[offsets[k] : offsets[k + 1]].tobytes()
-                    known: dict[bytes, int] = {}
-                    number, text = block.items[item]
-                    words = word_ids(text, known)
-                    found = tiles(words, word_ids(body, known), min(seed, len(words)))
-                    covered = sum(n for n, _, _ in found)
-                    if covered >= coverage * len(words):
-                        rows.append((batch.column(0)[lo + k].as_py(), number, len(words), covered, len(found), max(n for n, _, _ in found), [(t, n) for n, _, t in sorted(found, key=lambda m: m[2])]))
-            columns = list(zip(*rows)) or [()] * 7
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64())]))]
-            values = [list(c) for c in columns]
-            values[6] = [[{"start": t, "words": n} for t, n in spans] for spans in values[6]]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds)], names=["doc_id", "item_id", "item_words", "covered_words", "n_tiles", "longest_tile", "tiles"])
+            columns: list[list] = [[] for _ in names]
+            for row, number, n_words, covered, found in _matches(batch.column(1), block, seed, coverage):
+                spans = [{"start": t, "words": n} for n, _, t in sorted(found, key=lambda m: m[2])]
+                for column, value in zip(columns, (batch.column(0)[row].as_py(), number, n_words, covered, len(found), max(n for n, _, _ in found), spans)):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+
+    return run
+
+
+def _cleaner(shared, seed: int, coverage: float, at: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = _block_of(shared, seed)
+        for batch in batches:
+            keep = np.ones(batch.num_rows, dtype=bool)
+            for row, *_ in _matches(batch.column(at), block, seed, coverage):
+                keep[row] = False
+            yield batch.filter(pa.array(keep))
 
     return run
 
@@ -214,6 +236,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED_WORDS,
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, seed: int = SEED_WORDS, coverage: float = COVERAGE) -> DataFrame:
-    """The documents that cover no item, with all their columns."""
-    found = contaminated(docs, benchmark, seed, coverage).select(F.col("doc_id").alias("c_doc_id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("c_doc_id")), "left_anti")
+    """The documents that cover no item, with all their columns; each block filters rows where they are."""
+    out, at = docs, docs.columns.index("text")
+    for block in _blocks(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        out = out.mapInArrow(_cleaner(shared, seed, coverage, at), docs.schema)
+    return out

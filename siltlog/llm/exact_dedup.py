@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltlog.llm import kernels
-from siltlog.llm.frames import durable
+from siltlog.llm.frames import durable, without_ids
 
 WINDOW = 48
 CUT_BITS = 11
@@ -120,3 +120,19 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         "text_sha256",
         F.expr(f"CAST(octet_length(recipe) / {ID_BYTES} AS INT)").alias("n_chunks"),
     )
+
+
+def unique_documents(docs: DataFrame) -> DataFrame:
+    """One row of each group of equal texts, with all its columns.
+
+    Where no doc_id repeats (one light aggregation tells) the dropped ids alone are joined; otherwise rows are
+    told apart by doc_id and digest, and one of several equal ones stays.
+    """
+    verdicts = durable(exact_dedup(docs).select("doc_id", "text_sha256", "kept"))
+    if not verdicts.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return without_ids(docs, verdicts.where("NOT kept").select("doc_id"))
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    told = docs.withColumn("digest_", F.sha2(F.encode(F.translate(F.coalesce("text", F.lit("")), upper, lower), "UTF-8"), 256))
+    kept = verdicts.where("kept").select(F.col("doc_id").alias("kept_id_"), "text_sha256").distinct()
+    stays = told.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id_")) & (F.col("digest_") == F.col("text_sha256")), "left_semi")
+    return stays.dropDuplicates(["doc_id", "digest_"]).select(*docs.columns)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,3 +24,18 @@ def durable(df: DataFrame) -> DataFrame:
         named = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="siltlog-"))
     return df.checkpoint(eager=True)
+
+
+#: A set of ids of at most so many rows is broadcast (about 16 MB); a larger one is joined by shuffle.
+BROADCAST_IDS = 500_000
+
+
+def without_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is not among the one column of ``dropped``; null matches null.
+
+    The dropped ids are counted first: a small set is broadcast, so the documents stay where they are.
+    """
+    ids = durable(dropped.toDF("dropped_id_").distinct())
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("dropped_id_")), "left_anti")

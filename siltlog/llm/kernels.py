@@ -80,15 +80,20 @@ def ascii_lower(data: np.ndarray) -> np.ndarray:
     return _ASCII_LOWER[data]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+#: Separators for classifiers: every ASCII byte that is neither a letter nor a digit.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, starts and ends of all words, and for each text the number of words before it.
 
-    A word is a maximal run of bytes other than 0x20 and 0x09-0x0D; it never crosses a text boundary.
+    A word is a maximal run of bytes that are no separators (by default 0x20 and 0x09-0x0D); it never
+    crosses a text boundary.
     """
     if not len(data):
         zero = np.zeros(0, dtype=np.int64)
         return zero.astype(_U), zero, zero, np.zeros(len(offsets), dtype=np.int64)
-    inside = ~_IS_SPACE[data]
+    inside = ~separators[data]
     before = np.empty_like(inside)
     before[0] = False
     before[1:] = inside[:-1]

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from siltlog.llm import kernels
 from siltlog.llm.components import connected_components
-from siltlog.llm.frames import durable
+from siltlog.llm.frames import durable, without_ids
 
 SKETCH = 64
 KEYS = 8
@@ -263,3 +263,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     by_node = durable(ids.join(least, F.col("label") == F.col("l_label")).select(F.col("node").alias("i_node"), "component_id"))
     out = sketched.select("doc_id", "n_shingles", "node").join(by_node, F.col("node") == F.col("i_node"), "left")
     return out.selectExpr("doc_id", "n_shingles", "coalesce(component_id, doc_id) AS component_id").withColumn("kept", F.expr("doc_id <=> component_id"))
+
+
+def distinct_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each class of near-duplicates, with all its columns: the one with the least doc_id."""
+    return without_ids(docs, near_duplicates(docs, width, percent).where("NOT kept").select("doc_id"))

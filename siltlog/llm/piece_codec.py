@@ -13,8 +13,9 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -76,38 +77,34 @@ def table_of(model_path: str) -> ChunkTable:
     return _tables[model_path]
 
 
-def _mapper(model_path: str, full: bool):
+def _mapper(model_path: str, full: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = table_of(model_path)
         for batch in batches:
-            texts = batch.column(1)
-            for lo in range(0, max(1, len(texts)), 256):
-                counts, a, b, packed, decoded = [], [], [], [], []
-                for text in texts.slice(lo, 256).to_pylist():
-                    ids, surface = table.encode(text or "")
-                    counts.append(len(ids) // 4)
-                    if full:
-                        packed.append(array("I", ids).tolist())
-                        decoded.append(surface.decode())
-                    else:
-                        a.append(hashlib.sha256(ids).hexdigest())
-                        b.append(hashlib.sha256(surface).hexdigest())
-                head = [batch.column(0).slice(lo, 256).cast(pa.int64()), pa.array(counts, pa.int64())]
-                tail = [pa.array(packed, pa.list_(pa.int32())), pa.array(decoded, pa.string())] if full else [pa.array(a, pa.string()), pa.array(b, pa.string())]
-                names = ["doc_id", "n_tokens", *(("ids", "decoded") if full else ("ids_sha256", "decoded_sha256"))]
-                yield pa.RecordBatch.from_arrays(head + tail, names=names)
+            for lo in range(0, max(1, batch.num_rows), 256):
+                part = batch.slice(lo, 256)
+                coded = [table.encode(text or "") for text in part.column(1).to_pylist()]
+                counts = np.array([len(ids) // 4 for ids, _ in coded], dtype=np.int64)
+                columns = [part.column(0).cast(pa.int64()), pa.array(counts), pa.array([hashlib.sha256(ids).hexdigest() for ids, _ in coded], pa.string()), pa.array([hashlib.sha256(s).hexdigest() for _, s in coded], pa.string())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if full:
+                    ids = np.frombuffer(b"".join([ids for ids, _ in coded]), dtype="<i4")
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(ids)))
+                    columns.append(pa.array([s.decode() for _, s in coded], pa.string()))
+                    names += ["ids", "decoded"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
 def encode_decode(docs: DataFrame, model_path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids array<int> (with begin and end), decoded: one row per document.
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, ids array<int> (with begin and end), decoded.
 
     A null text counts as empty: its ids are begin and end, and it decodes to an empty text. Repeated rows
     give repeated rows, an empty table none; extra columns are ignored. A literal marker in a text is the
     same symbol as a space to the model, and decodes to a space, as in the library.
     """
-    return docs.select("doc_id", "text").mapInArrow(_mapper(model_path or default_model_path(), True), "doc_id long, n_tokens long, ids array<int>, decoded string")
+    return docs.select("doc_id", "text").mapInArrow(_mapper(model_path or default_model_path(), True), _SCHEMA + ", ids array<int>, decoded string")
 
 
 def encode_digests(docs: DataFrame, model_path: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltlog.llm import decontaminate, exact_dedup, html_extract, kd_shards, neardup, piece_codec
+from siltlog.llm import cotrain, decontaminate, exact_dedup, html_extract, kd_shards, neardup, piece_codec
 from siltlog.llm.frames import read_table
 
 
@@ -35,6 +35,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op3_html_extraction": op3_html_extraction,
     "op4_kd_sharding": op4_kd_sharding,
@@ -42,6 +46,7 @@ QUERIES = {
     "op7_minhash_neardup": op7_minhash_neardup,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLES = {
