@@ -5,9 +5,10 @@ One hash function orders all word shingles; a document's sketch is its k smalles
 1. Documents with the same word sequence become one node, so exact copies cost nothing further.
 2. The least ``KEYS`` retained values of each node are its entries in inverted lists. Two documents of
    Jaccard similarity 0.8 share none of them with probability 0.2**8.
-3. In each list, kept to blocks of at most ``BLOCK`` nodes (a longer list becomes block pairs within size
-   classes, none is dropped), the union sketch estimates each pair's similarity; pairs clearly below the
-   threshold go. A pair is looked at in the list of the least value it shares only.
+3. A list is parted by size grade (linked documents have the same or neighbouring grades) and kept to blocks
+   of about ``BLOCK`` nodes; a longer part becomes block pairs, none is dropped. In a block the union sketch
+   estimates each pair's similarity; pairs clearly below the threshold go. A pair is looked at in the list
+   of the least value it shares only.
 4. The nodes left in a block meet with their full shingle sets, and exact similarity decides. A pair whose
    nodes the block has already connected is skipped: the result is one class per component.
 5. Components of the confirmed links give the classes.
@@ -171,7 +172,7 @@ def _filterer(percent: int) -> Callable:
         below = [frozenset(h[h < key].tolist()) for h in heads]
         grade = rows.column("grade")[0].as_py()
         grades = rows.column("own_grade").to_numpy()
-        keep = [n for n, (a, b) in enumerate(zip(i.tolist(), j.tolist())) if below[a].isdisjoint(below[b]) and (grade < 0 or max(grades[a], grades[b]) == grade)]
+        keep = [n for n, (a, b) in enumerate(zip(i.tolist(), j.tolist())) if below[a].isdisjoint(below[b]) and max(grades[a], grades[b]) == grade]
         if not keep:
             return None
         return rows.take(pa.array(np.unique(np.concatenate((i[keep], j[keep])))))
@@ -241,13 +242,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     named = sketched.where("node IS NOT NULL AND doc_id IS NOT NULL")
     reps = durable(named.groupBy("node").agg(F.min("doc_id").alias("rep")))
     nodes = named.alias("s").join(reps.alias("r"), F.expr("s.node = r.node AND s.doc_id = r.rep")).selectExpr("r.node", "r.rep", "s.n_shingles", "s.keys", "s.sketch")
-    postings = nodes.select("node", F.explode("keys").alias("key"))
-    lists = postings.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    shared = postings.join(lists, "key").groupBy(F.col("node").alias("p_node")).agg(F.collect_list(F.struct("key", "members")).alias("lists"))
-    listed = nodes.drop("keys").join(shared, F.col("node") == F.col("p_node")).select("node", "rep", "n_shingles", "sketch", F.explode("lists").alias("list"))
-    blocked = listed.selectExpr("node", "rep", "n_shingles", "sketch", "list.key AS key", f"CAST(ceil(list.members / {BLOCK}) AS INT) AS blocks", f"CAST(floor(ln(n_shingles) / ln({100 / percent})) AS INT) AS own_grade")
-    blocked = blocked.selectExpr("*", "CAST(pmod(xxhash64(node), blocks) AS INT) AS block", "explode(IF(blocks = 1, array(-1), array(own_grade, own_grade + 1))) AS grade")
-    blocked = blocked.selectExpr("*", "explode(sequence(0, blocks - 1)) AS other").selectExpr("key", "grade", "least(block, other) AS x", "greatest(block, other) AS y", "block", "own_grade", "node", "rep", "n_shingles", "sketch")
+    # sizes of linked documents differ by at most 100 / percent: a document meets those of its own size grade and the next
+    graded = nodes.withColumn("own_grade", F.expr(f"CAST(floor(ln(n_shingles) / ln({101 / percent})) AS INT)"))
+    postings = graded.select("node", "own_grade", F.explode("keys").alias("key")).select("node", "own_grade", "key", F.explode(F.array("own_grade", F.col("own_grade") + 1)).alias("grade"))
+    lists = postings.groupBy("key", "grade").agg(F.count("*").alias("members"), F.sum(F.expr("CAST(grade = own_grade AS INT)")).alias("owners"))
+    lists = durable(lists.where("members > 1 AND owners > 0").select(F.col("key").alias("l_key"), F.col("grade").alias("l_grade"), "members"))
+    met_lists = postings.join(lists, (F.col("key") == F.col("l_key")) & (F.col("grade") == F.col("l_grade"))).select(F.col("node").alias("p_node"), "key", "grade", "members")
+    blocked = graded.drop("keys").join(met_lists, F.col("node") == F.col("p_node")).withColumn("blocks", F.expr(f"CAST(ceil(members / {BLOCK}) AS INT)"))
+    blocked = blocked.withColumn("block", F.expr("CAST(pmod(xxhash64(node), blocks) AS INT)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    blocked = blocked.selectExpr("key", "grade", "least(block, other) AS x", "greatest(block, other) AS y", "block", "own_grade", "node", "rep", "n_shingles", "sketch")
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_blocks = blocked.repartition(partitions, *_GROUP).sortWithinPartitions(*_GROUP)
     met = durable(sorted_blocks.mapInArrow(_filterer(percent), "key long, grade int, x int, y int, block int, node binary, rep long, n_shingles long"))
