@@ -24,11 +24,12 @@ from pyspark.sql import functions as F
 
 from siltlog.llm import kernels
 
-LABELLED = 16_000
-UNLABELLED = 4_000
+LABELLED = 12_000
+UNLABELLED = 3_000
 ROUNDS = 3
 CONFIDENT = 0.97
 HOLD_OUT = 5
+WORD_DECAY = 1e-3
 TABLE_BITS = 18
 #: A word is a feature by being there, and by the level, parted by these bounds, of its share of the words.
 RATES = np.array([0.004, 0.01, 0.025])
@@ -123,47 +124,72 @@ class Sparse:
     n: int
 
     def take(self, keep: np.ndarray) -> Sparse:
-        place = np.full(self.n, -1)
+        place = np.full(self.n, -1, dtype=np.int32)
         place[keep] = np.arange(len(keep))
         hit = place[self.rows] >= 0
         return Sparse(place[self.rows[hit]], self.features[hit], len(keep))
 
+    def narrow(self, chosen: np.ndarray) -> Sparse:
+        """With the chosen features only, numbered anew."""
+        place = np.cumsum(chosen, dtype=np.int32) - 1
+        rows, features = [], []
+        for lo in range(0, len(self.rows), 1 << 20):
+            part = self.features[lo : lo + (1 << 20)]
+            hit = chosen[part]
+            rows.append(self.rows[lo : lo + (1 << 20)][hit])
+            features.append(place[part[hit]])
+        return Sparse(np.concatenate(rows), np.concatenate(features), self.n) if rows else self
+
     def margins(self, weights: np.ndarray, bias: float) -> np.ndarray:
         return np.bincount(self.rows, weights=weights[self.features], minlength=self.n) + bias
 
 
-def fit(x: Sparse, y: np.ndarray, size: int, select: bool, steps: int = 150, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression by full-batch AdaGrad. With ``select``, only word features that tell the
-    classes apart significantly get weights; shapes always do."""
-    weights = np.zeros(size)
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def significant(x: Sparse, y: np.ndarray, size: int) -> np.ndarray:
+    """A mask of the features that tell the known classes apart; shapes always count. y has NaN where unknown."""
+    positive, total = np.zeros(size), np.zeros(size)
+    n_positive, n_known = float(np.nansum(y)), float((~np.isnan(y)).sum())
+    for lo in range(0, len(x.rows), 1 << 20):
+        labels = y[x.rows[lo : lo + (1 << 20)]]
+        known = ~np.isnan(labels)
+        features = x.features[lo : lo + (1 << 20)][known]
+        positive += np.bincount(features, weights=labels[known], minlength=size)
+        total += np.bincount(features, minlength=size)
+    p, q = (positive + 0.5) / (n_positive + 1), (total - positive + 0.5) / (n_known - n_positive + 1)
+    spread = np.sqrt(1 / (positive + 0.5) + 1 / (total - positive + 0.5))
+    chosen = (np.abs(np.log(p / q)) >= SIGNIFICANT * spread) & (total >= 5)
+    chosen[_FEATURES * LEVELS :] = total[_FEATURES * LEVELS :] > 0
+    return chosen
+
+
+def fit(x: Sparse, y: np.ndarray, size: int, words: int = 0, steps: int = 150) -> tuple[np.ndarray, float]:
+    """Logistic regression by full-batch AdaGrad; half the weight is shared out equally between the classes.
+
+    The first ``words`` features stay at 0 in a first phase and are held down more in the second, so that they
+    explain what the few shape figures cannot.
+    """
     rate = (y.sum() + 0.5) / (len(y) + 1)
-    bias = float(np.log(rate / (1 - rate)))
+    w, b = np.zeros(size), float(np.log(rate / (1 - rate)))
     if not x.n or y.min() == y.max():
-        return weights, bias
-    positive = np.bincount(x.features, weights=y[x.rows], minlength=size)
-    total = np.bincount(x.features, minlength=size)
-    if select:
-        p, q = (positive + 0.5) / (y.sum() + 1), (total - positive + 0.5) / (len(y) - y.sum() + 1)
-        spread = np.sqrt(1 / (positive + 0.5) + 1 / (total - positive + 0.5))
-        chosen = (np.abs(np.log(p / q)) >= SIGNIFICANT * spread) & (total >= 5)
-        chosen[_FEATURES * LEVELS :] = total[_FEATURES * LEVELS :] > 0
-    else:
-        chosen = total > 0
-    hit = chosen[x.features]
-    place = np.cumsum(chosen) - 1
-    rows, features = x.rows[hit], place[x.features[hit]]
-    w, g2, b, gb2 = np.zeros(int(chosen.sum())), np.full(int(chosen.sum()), 1e-8), bias, 1e-8
+        return w, b
+    decay = np.full(size, 1e-5)
+    decay[:words] = WORD_DECAY
     importance = np.where(y > 0.5, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * 0.5 + 0.5 / len(y)
-    for _ in range(steps):
-        z = np.bincount(rows, weights=w[features], minlength=x.n) + b
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * importance
-        g = np.bincount(features, weights=error[rows], minlength=len(w)) + decay * w
-        g2 += g * g
-        w -= 0.3 * g / np.sqrt(g2)
-        gb2 += error.sum() ** 2
-        b -= 0.3 * error.sum() / gb2**0.5
-    weights[chosen] = w
-    return weights, float(b)
+    for first in (words, 0) if words else (0,):
+        here = x if not first else x.narrow(np.arange(size) >= first)
+        part, rates = w[first:], decay[first:]
+        g2, gb2 = np.full(len(part), 1e-8), 1e-8
+        for _ in range(steps):
+            error = (_sigmoid(here.margins(part, b)) - y) * importance
+            g = np.bincount(here.features, weights=error[here.rows], minlength=len(part)) + rates * part
+            g2 += g * g
+            part -= 0.3 * g / np.sqrt(g2)
+            gb2 += error.sum() ** 2
+            b -= 0.3 * error.sum() / gb2**0.5
+    return w, float(b)
 
 
 def _platt(columns: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -198,10 +224,6 @@ class Model:
     accuracy: dict[str, float] = field(default_factory=dict)
 
 
-def _sigmoid(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
-
 def train(text: Sparse, meta: Sparse, labels: np.ndarray) -> Model:
     """labels: a row a document, a column a head, NaN where unknown."""
     size_text, size_meta = _FEATURES * LEVELS + _SHAPES * _SHAPE_BINS, _METAS
@@ -217,15 +239,18 @@ def train(text: Sparse, meta: Sparse, labels: np.ndarray) -> Model:
         if not len(fitted):
             fitted = known
         gained: dict[str, dict[int, float]] = {"text": {}, "meta": {}}
-        views = {"text": (text, size_text, True), "meta": (meta, size_meta, False)}
+        marks = np.full(len(labels), np.nan)
+        marks[fitted] = labels[fitted, h]
+        chosen = significant(text, marks, size_text)
+        views = {"text": (text.narrow(chosen), int(chosen.sum()), int(chosen[: _FEATURES * LEVELS].sum())), "meta": (meta, size_meta, 0)}
         rounds = []
         for turn in range(ROUNDS + 1):
             models = {}
-            for view, (x, size, select) in views.items():
+            for view, (x, size, words) in views.items():
                 extra = np.array(list(gained[view]), dtype=np.int64)
                 keep = np.concatenate((fitted, extra))
                 y = np.concatenate((labels[fitted, h], np.array(list(gained[view].values()), dtype=float)))
-                models[view] = fit(x.take(keep), y, size, select)
+                models[view] = fit(x.take(keep), y, size, words)
             if turn == ROUNDS:
                 break
             count = {}
@@ -240,9 +265,11 @@ def train(text: Sparse, meta: Sparse, labels: np.ndarray) -> Model:
             rounds.append((count["text"], count["meta"]))
             if not any(count.values()):
                 break
-        a, b = text.take(held).margins(*models["text"]), meta.take(held).margins(*models["meta"])
+        a, b = (views[v][0].take(held).margins(*models[v]) for v in ("text", "meta"))
         combine = _platt(np.column_stack((a, b)), labels[held, h])
-        head = Head(models["text"], models["meta"], combine)
+        whole = np.zeros(size_text)
+        whole[chosen] = models["text"][0]
+        head = Head((whole, models["text"][1]), models["meta"], combine)
         model.heads[name], model.log[name] = head, rounds
         model.accuracy[name] = float(((head.probability(a, b) >= THRESHOLD) == labels[held, h]).mean())
     return model
@@ -277,14 +304,14 @@ def fit_model(docs: DataFrame, labels: DataFrame) -> Model:
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = ids.where("l_doc_id IS NOT NULL").orderBy(*order).limit(LABELLED).unionByName(ids.where("l_doc_id IS NULL").orderBy(*order).limit(UNLABELLED))
     chosen = picked.selectExpr("doc_id AS c_doc_id", "bad", "toxic").dropDuplicates(["c_doc_id"])
-    found = rows.join(chosen, F.col("doc_id") == F.col("c_doc_id")).select("doc_id", "text", "lang", "source", "n_chars", "bad", "toxic")
+    found = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("c_doc_id")).select("doc_id", "text", "lang", "source", "n_chars", "bad", "toxic")
     got = found.mapInArrow(_featurise, "doc_id long, bad double, toxic double, t binary, m binary").toArrow().sort_by("doc_id")
     n = got.num_rows
 
     def sparse(name: str) -> Sparse:
         parts = [np.frombuffer(v, dtype=np.int32) for v in got.column(name).to_pylist()]
-        rows_of = np.repeat(np.arange(n), [len(p) for p in parts])
-        return Sparse(rows_of, np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, dtype=np.int64), n)
+        rows_of = np.repeat(np.arange(n, dtype=np.int32), [len(p) for p in parts])
+        return Sparse(rows_of, np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32), n)
 
     marked = np.column_stack([got.column(c).to_numpy(zero_copy_only=False).astype(float) for c in HEADS]) if n else np.zeros((0, 2))
     return train(sparse("t"), sparse("m"), marked)
