@@ -102,7 +102,7 @@ class TableConfig:
         return key_type(self.key_type)
 
     def to_json(self) -> str:
-        return json.dumps(dataclasses.asdict(self), indent=1)
+        return json.dumps(dataclasses.asdict(self))
 
     @classmethod
     def from_json(cls, text: str) -> TableConfig:

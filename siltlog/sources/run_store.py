@@ -61,11 +61,11 @@ def drop_runs(spark: SparkSession, path: str, generations: list[int]) -> None:
 
 
 def write_config(spark: SparkSession, path: str, config: TableConfig) -> None:
-    spark.createDataFrame([(config.to_json(),)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "\x00").text(f"{path}/config")
+    spark.createDataFrame([(config.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
 
 
 def read_config(spark: SparkSession, path: str) -> TableConfig:
-    return TableConfig.from_json(spark.read.option("wholetext", "true").text(f"{path}/config").first()[0].rstrip("\x00"))
+    return TableConfig.from_json(spark.read.text(f"{path}/config").first()[0])
 
 
 def list_tables(spark: SparkSession, root: str) -> list[str]:
