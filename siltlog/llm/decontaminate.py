@@ -11,6 +11,7 @@ passages stand. Documents never move; only found pairs leave a task.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterator
 
@@ -142,16 +143,17 @@ class _Block:
         return at, self.owners[np.repeat(lo, counts) + inside]
 
 
-_built: dict[tuple, _Block] = {}
+_built: dict[tuple[str, int], _Block] = {}
 
 
 def _block_of(shared, seed: int) -> _Block:
-    key = (shared.id if hasattr(shared, "id") else id(shared), seed)
-    if key not in _built:
+    """The block in a broadcast (its digest, its items), built once in a worker."""
+    digest, items = shared.value
+    if (digest, seed) not in _built:
         while len(_built) >= 4:
             _built.pop(next(iter(_built)))
-        _built[key] = _Block(shared.value, seed)
-    return _built[key]
+        _built[digest, seed] = _Block(items, seed)
+    return _built[digest, seed]
 
 
 def _matches(texts: pa.Array, block: _Block, seed: int, coverage: float) -> Iterator[tuple]:
@@ -204,17 +206,18 @@ def _cleaner(shared, seed: int, coverage: float, at: int) -> Callable:
     return run
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of about ``BLOCK_BYTES``, read a partition at a time."""
-    block, held = [], 0
+def _blocks(benchmark: DataFrame) -> Iterator[tuple[str, list[tuple[int, str]]]]:
+    """(digest, items) of blocks of about ``BLOCK_BYTES``, read a partition at a time."""
+    block, held, digest = [], 0, hashlib.sha256()
     for row in benchmark.select("item_id", "text").toLocalIterator():
         block.append((row.item_id, row.text))
+        digest.update(repr((row.item_id, row.text)).encode())
         held += 4 * len(row.text or "") + 64
         if held >= BLOCK_BYTES:
-            yield block
-            block, held = [], 0
+            yield digest.hexdigest(), block
+            block, held, digest = [], 0, hashlib.sha256()
     if block:
-        yield block
+        yield digest.hexdigest(), block
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED_WORDS, coverage: float = COVERAGE) -> DataFrame:
