@@ -1,0 +1,297 @@
+"""Sharding, decontamination, licenses, URL lists, personal data, the classifier and the pipeline."""
+
+from __future__ import annotations
+
+import hashlib
+import importlib.util
+import random
+import re
+import zlib
+from collections import Counter
+from pathlib import Path
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from siltlog.llm import cotrain, decontaminate, kd_shards, license_scan, pii_disclosure, queries, url_filters
+
+# --- operator 1
+
+
+def test_url_filters_equal_oracle(spark, sf):
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
+    got = queries.op1_url_filters(spark, sf)
+    columns = sorted(got.columns)
+    want = duck.sql(f"SELECT {', '.join(columns)} FROM ({queries.ORACLES['op1_url_filters']})").fetchall()
+    rows = [tuple(r) for r in got.select(*columns).collect()]
+    assert sorted(map(repr, rows)) == sorted(map(repr, want))
+
+
+def test_url_filters_by_date(spark):
+    entries = spark.createDataFrame(
+        [("l", "Bad.example", "2024-01-10", "add", "block"), ("l", "bad.example", "2024-02-10", "drop", "block"), ("m", "bad.example/ok", "2024-01-20", "add", "allow"), ("m", None, "2024-01-01", "add", "block"), ("z", "a.bad.example", "2024-01-01", "add", "allow"), ("y", "a.bad.example", "2024-01-01", "add", "block")],
+        "list_name string, key string, listed_at string, action string, verdict string",
+    ).withColumn("listed_at", F.col("listed_at").cast("timestamp_ntz"))
+    cases = [
+        (1, "http://bad.example/x", "2024-01-09", "none"),
+        (2, "http://bad.example/x", "2024-01-10", "block"),
+        (3, "http://u:p@W.BAD.example.:80/x", "2024-02-09", "block"),
+        (4, "http://bad.example", "2024-02-10", "none"),
+        (5, "http://bad.example/ok/deep?q", "2024-01-25", "allow"),
+        (6, "http://bad.example/okay", "2024-01-25", "block"),
+        (7, "http://notbad.example/", "2024-01-25", "none"),
+        (8, None, "2024-01-25", "none"),
+        (9, "no url", "2024-01-25", "none"),
+        (10, "http://a.bad.example/", "2024-01-25", "allow"),
+        (11, "http://bad.example/", None, "none"),
+    ]
+    captures = spark.createDataFrame([(i, u, t, 0) for i, u, t, _ in cases], "page_id long, url string, fetched_at string, verdict int").withColumn("fetched_at", F.col("fetched_at").cast("timestamp_ntz"))
+    got = {r.page_id: r.verdict for r in url_filters.filter_captures(captures, entries).collect()}
+    assert got == {i: v for i, _, _, v in cases}
+    assert {r.verdict for r in url_filters.filter_captures(captures, entries.limit(0)).collect()} == {"none"}
+    assert url_filters.filter_captures(captures.limit(0), entries).count() == 0
+
+
+# --- operator 2
+
+
+def test_alignment_is_increasing_and_whole():
+    rng = random.Random(6)
+    for _ in range(300):
+        a, b = ([rng.randint(0, 8) for _ in range(rng.randint(0, 14))] for _ in range(2))
+        pairs = license_scan.align(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and all(x < y and p < q for (x, p), (y, q) in zip(pairs, pairs[1:]))
+    assert len(license_scan.align(list(range(9)), list(range(9)))) == 9
+
+
+def test_license_scan_equals_every_window(spark, sf, edge_documents):
+    from siltlog.llm.license_scan import COVERAGE, DENSITY, TEMPLATES, _hashes
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    planted = [(-1, "x y " + TEMPLATES["mit"] + " z " + TEMPLATES["mit"]), (-2, TEMPLATES["apache-2.0-header"].replace("obtain", "get")), (-3, "All kinds of rights are reserved"), (-4, None), (-5, "")]
+    docs = docs.union(spark.createDataFrame(planted, "doc_id long, text string"))
+    got = {(r.doc_id, r.license): (r.n_matches, r.coverage, r.start_word, r.end_word) for r in license_scan.scan(docs).collect()}
+    want = {}
+    for r in docs.collect():
+        words = _hashes(r.text or "").tolist()
+        for name, template in TEMPLATES.items():
+            t = _hashes(template).tolist()
+            found = license_scan.matches(words, t, COVERAGE, DENSITY, range(len(words) // len(t) + 1))
+            if found:
+                best = max(found, key=lambda m: (m[0], -m[1]))
+                want[r.doc_id, name] = (len(found), round(best[0], 6), best[1], best[2])
+    assert got == want
+    assert got[-1, "mit"][0] == 2 and (-2, "apache-2.0-header") in got and not any(k[0] == -3 for k in got)
+    assert len(got) > 6
+    assert license_scan.scan(edge_documents).count() == 0 == license_scan.scan(edge_documents.limit(0)).count()
+
+
+# --- operator 4
+
+
+def test_shards(spark, sf, edge_documents):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = queries.op4_kd_sharding(spark, sf).collect()
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    assert {r.doc_id: (r.size, r.text_crc32) for r in rows} == {i: (len(t) + 1, zlib.crc32(t)) for i, t in texts.items()}
+    largest, by_shard = max(r.size for r in rows), {}
+    for r in rows:
+        by_shard.setdefault(r.shard, []).append(r)
+    assert set(by_shard) <= set(range(16)) and {r.law for r in rows} == {"bytes"}
+    mean = sum(r.size for r in rows) / 16
+    assert all(abs(sum(r.size for r in s) - mean) <= 4 * largest for s in by_shard.values())
+    assert all(sorted(r.slot for r in s) == list(range(len(s))) for s in by_shard.values())
+    edge = kd_shards.kd_shards(edge_documents, shards=3).collect()
+    assert len(edge) == edge_documents.count() and {r.shard for r in edge} <= {0, 1, 2}
+    assert kd_shards.kd_shards(edge_documents.limit(0), shards=16).count() == 0
+
+
+def test_shards_of_equal_rows_are_level(spark):
+    docs = spark.range(1600).selectExpr("id AS doc_id", "'same text' AS text", "'en' AS lang", "IF(id < 1500, 'hot', 'cold') AS source")
+    sizes = Counter(r.shard for r in kd_shards.kd_shards(docs, target_bytes=1000).collect())
+    assert len(sizes) == 16 and max(sizes.values()) - min(sizes.values()) <= 4
+
+
+# --- operator 5
+
+
+def brute_tiles(a: list[int], b: list[int], least: int) -> int:
+    """Covered words by tiling that always marks a longest match of unmarked words."""
+    ma, mb, covered = [False] * len(a), [False] * len(b), 0
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and not ma[i + n] and not mb[j + n]:
+                    n += 1
+                best = max(best, (n, -i, -j))
+        n, i, j = best[0], -best[1], -best[2]
+        if n < least:
+            return covered
+        ma[i : i + n], mb[j : j + n], covered = [True] * n, [True] * n, covered + n
+
+
+def test_tiles_are_whole_and_apart():
+    rng = random.Random(8)
+    for _ in range(200):
+        a, b = ([rng.randint(0, 4) for _ in range(rng.randint(0, 40))] for _ in range(2))
+        found = decontaminate.tiles(a, b, 3)
+        assert all(a[p : p + n] == b[t : t + n] and n >= 3 for n, p, t in found)
+        assert sum(n for n, _, _ in found) == len({p + k for n, p, _ in found for k in range(n)}) == len({t + k for n, _, t in found for k in range(n)})
+        assert abs(sum(n for n, _, _ in found) - brute_tiles(a, b, 3)) <= 6
+
+
+def test_contaminated_equals_brute_force(spark, sf):
+    docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    bench = {r.item_id: decontaminate._WORD.findall(r.text.encode().lower()) for r in items.collect()}
+    a, b, c = (bench[k] for k in sorted(bench)[:3])
+    half = len(a) // 2
+    planted = [(-1, b" ".join([b"x", *a[half:], b"y", *a[:half], b"z"]).decode().upper()), (-2, b" ".join(b[:5]).decode()), (-3, None), (-4, " ".join(["q"] * 9)), (-5, b" ".join(c).decode())]
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame(planted, "doc_id long, text string"))
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(docs, items).collect()}
+    want = set()
+    for r in docs.collect():
+        words = decontaminate._WORD.findall((r.text or "").encode().lower())
+        for item, w in bench.items():
+            n = min(5, len(w))
+            if {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} & {tuple(words[k : k + n]) for k in range(len(words) - n + 1)}:
+                known = {}
+                x, y = ([known.setdefault(v, len(known)) for v in s] for s in (w, words))
+                if brute_tiles(x, y, n) >= 0.5 * len(w):
+                    want.add((r.doc_id, item))
+    assert set(got) == want
+    assert any(k[0] == -1 and got[k].n_tiles >= 2 for k in got) and not any(k[0] in (-3, -4) for k in got)
+    kept = {r.doc_id for r in decontaminate.clean_documents(docs, items).collect()}
+    assert kept == {r.doc_id for r in docs.collect()} - {k[0] for k in want}
+    assert decontaminate.contaminated(docs, items.limit(0)).count() == 0 == decontaminate.contaminated(docs.limit(0), items).count()
+
+
+def test_benchmark_in_blocks(spark, sf, monkeypatch):
+    docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    whole = sorted((r.doc_id, r.item_id, r.covered_words) for r in decontaminate.contaminated(docs, items).collect())
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 20_000)
+    assert sorted((r.doc_id, r.item_id, r.covered_words) for r in decontaminate.contaminated(docs, items).collect()) == whole
+
+
+# --- operator 6
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def plain_spans(text: str) -> list[tuple[int, int, int]]:
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    luhn = lambda d: sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(d[::-1])) % 10 == 0
+    out = [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
+    out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [(m.start(), 2, m.end()) for m in CARD.finditer(text) if 14 <= len(digits(m)) <= 19 and luhn(digits(m))]
+    out += [(m.start(), 3, m.end()) for m in PHONE.finditer(text) if 10 <= len(digits(m)) <= 15]
+    return sorted(out)
+
+
+def test_base_spans_equal_the_patterns():
+    rng = random.Random(3)
+    parts = ["a", "@", ".", "-", "1", "25", "255", "256", "0", "+", " ", "(", ")", "é", "%", "4111111111111111", "5"]
+    for _ in range(30_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
+        assert pii_disclosure.base_spans(text) == plain_spans(text)
+
+
+def test_pii_rows(spark, sf, edge_documents):
+    for frame in (spark.read.parquet(f"{sf}/documents.parquet"), edge_documents):
+        want = Counter()
+        for r in frame.select("doc_id", "text").collect():
+            spans = plain_spans(r.text or "")
+            line = ",".join(f"{pii_disclosure.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+            want[(r.doc_id, *[sum(k == n for _, k, _ in spans) for n in range(4)], hashlib.sha256(line.encode()).hexdigest(), line)] += 1
+        got = Counter()
+        for r in pii_disclosure.protect(frame).collect():
+            base = ",".join(s for s in r.spans.split(",") if not s.startswith("term"))
+            got[(r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256, base)] += 1
+        assert got == want
+    assert pii_disclosure.protect(edge_documents.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("broadcast", [10**6, 0])
+def test_terms_that_disclose(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(pii_disclosure, "BROADCAST_TERMS", broadcast)
+    rows = [(i, f"Note alpha{i}: the chairman Zaphod wrote from zb@galaxy.example today") for i in range(3)]
+    rows += [(10 + i, f"the staff{i} wrote from s{i}@galaxy.example today") for i in range(10)]
+    rows += [(100 + i, f"the filler text number f{i} wrote nothing today") for i in range(60)]
+    rows += [(200 + i, "copied words only kopi@solo.example here") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii_disclosure.protect(docs).collect()}
+    for i in range(3):
+        terms = {rows[i][1][t.start : t.end]: t.action for t in got[i].terms}
+        assert {"Zaphod", "chairman"} <= set(terms) and "the" not in terms and "today" not in terms
+        assert terms["Zaphod"] == "remove" and got[i].n_email == 1
+        hidden = pii_disclosure.redact(rows[i][1], got[i].spans, {(t.start, t.end): t.action for t in got[i].terms})
+        assert "Zaphod" not in hidden and "[email]" in hidden
+    assert all(not got[200 + i].terms for i in range(4))  # one context, however often it is copied
+
+
+# --- operator 10
+
+
+def test_classifier_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    if not Path(sf).exists():
+        pytest.skip("no test tables here")
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)) == 0
+    model = cotrain.fit_model(docs, labels.where(~fold))
+    assert set(model.log) == set(cotrain.HEADS) and sum(model.log["bad"][0]) > 0
+    scored = cotrain.score(docs, labels, model).join(labels.where(fold), "doc_id").collect()
+    clean = [r.kept for r in scored if r.quality == 1 and r.toxic == 0]
+    wrong = [not r.kept for r in scored if r.quality == 0 or r.toxic == 1]
+    assert sum(clean) / len(clean) > 0.98 and sum(wrong) / len(wrong) > 0.93
+
+
+def test_classifier_edges(spark, sf, edge_documents):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    nothing = labels.limit(0)
+    rows = cotrain.score(edge_documents, nothing).collect()
+    assert len(rows) == edge_documents.count() and all(r.kept for r in rows)
+    odd = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 1), (6, 1, 1), (99, None, None)], "doc_id long, quality int, toxic int")
+    rows = cotrain.score(edge_documents, odd).collect()
+    assert len(rows) == edge_documents.count() and all(0 <= r.p_bad <= 1 and 0 <= r.p_toxic <= 1 for r in rows)
+    assert len({(r.p_bad, r.p_toxic) for r in rows if r.doc_id == 1}) == 1
+    assert cotrain.score(edge_documents.limit(0), labels).count() == 0
+    assert cotrain.good_documents(edge_documents, odd).columns == edge_documents.columns
+
+
+def test_fit_separates_what_is_separable():
+    rng = np.random.default_rng(1)
+    y = (rng.random(400) < 0.3).astype(float)
+    x = cotrain.Sparse(np.arange(400), np.where(y > 0.5, 1, 0), 400)
+    w, b = cotrain.fit(x, y, 2)
+    assert (((x.margins(w, b) > 0) == (y > 0.5)).mean()) == 1.0
+
+
+# --- the pipeline
+
+
+@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="no pipeline here")
+def test_pipeline_stages(spark, sf, edge_documents):
+    import corpus_pipeline
+
+    assert len(corpus_pipeline.STAGES) == 5
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    sizes, columns = [docs.count()], docs.columns
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, sf).cache()
+        sizes.append(docs.count())
+        if k < 4:
+            assert docs.columns == columns
+    assert sizes == sorted(sizes, reverse=True) and sizes[-1] == sizes[-2] > 0
+    assert sorted(r.doc_id for r in corpus_pipeline.run(spark, sf).collect()) == sorted(r.doc_id for r in docs.collect())
+    edge = edge_documents
+    for _, stage in corpus_pipeline.STAGES:
+        edge = stage(spark, edge, sf)
+    assert edge.count() > 0
