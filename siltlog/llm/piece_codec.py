@@ -2,10 +2,10 @@
 
 The model's pieces never hold a white-space marker after another character (checked on load), so a
 segmentation never crosses the point before a marker run. Each text is cut there into marked words; each
-distinct marked word is segmented once per Python worker, kept with its ids (packed) and its decoded
-surface, and a text's ids are its words' packed ids joined in order. Work per repeated word is one dictionary
-look-up, and nothing is shuffled. The table is emptied when it holds ``TABLE_ENTRIES`` words, which costs
-segmenting some words again and never changes a result.
+distinct marked word is segmented once per Python worker, a batch's new words in one call, and kept with its
+ids (packed) and what they decode to; a text's ids are its words' packed ids joined in order. Work per
+repeated word is one dictionary look-up, and nothing is shuffled. The table is emptied when it would pass
+``TABLE_ENTRIES`` words, which costs segmenting some words again and never changes a result.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from collections.abc import Callable, Iterator
+from collections import ChainMap
+from collections.abc import Callable, Collection, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -34,38 +35,53 @@ def default_model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-class ChunkTable(dict):
-    """marked word -> (ids as little-endian u32, decoded surface in UTF-8), filled on demand."""
+class ChunkTable:
+    """marked word -> (ids as little-endian u32, decoded surface in UTF-8)."""
 
     def __init__(self, model_path: str) -> None:
-        super().__init__()
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_path)
-        crossing = [p for i in range(self.model.vocab_size()) if MARK in (p := self.model.id_to_piece(i)).lstrip(MARK)]
+        pieces = [self.model.id_to_piece(i) for i in range(self.model.vocab_size())]
+        crossing = [p for p in pieces if MARK in p.lstrip(MARK)]
         if crossing:
             raise ValueError(f"pieces cross white-space markers: {crossing[:5]}")
-        self.lead = self.model.encode("a")
+        # what decoding gives for each id inside a text; byte pieces stand for their byte
+        self.surfaces = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
+        self.lead = len(self.model.encode("a"))
         self.begin = array("I", [self.model.bos_id()]).tobytes()
         self.end = array("I", [self.model.eos_id()]).tobytes()
-
-    def __missing__(self, chunk: str) -> tuple[bytes, bytes]:
-        # behind a one-letter word the chunk keeps all its markers; the library adds its own only in front
-        ids = self.model.encode("a" + chunk)[len(self.lead) :]
-        found = array("I", ids).tobytes(), self.model.decode(self.lead + ids)[1:].encode()
-        if len(chunk) <= LONGEST_KEPT:
-            if len(self) >= TABLE_ENTRIES:
-                self.clear()
-            self[chunk] = found
+        self.known: dict[str, tuple[bytes, bytes]] = {}
+
+    def segment(self, chunks: Collection[str]) -> dict[str, tuple[bytes, bytes]]:
+        # behind a one-letter word a chunk keeps all its markers; the library adds its own only in front
+        found, surfaces, lead, unknown = {}, self.surfaces, self.lead, self.model.unk_id()
+        for chunk, ids in zip(chunks, self.model.encode(["a" + c for c in chunks], num_threads=1)):
+            ids = ids[lead:]
+            if unknown in ids:
+                raise ValueError("the model has pieces for less than all bytes")
+            found[chunk] = array("I", ids).tobytes(), b"".join([surfaces[i] for i in ids])
         return found
 
-    def encode(self, text: str) -> tuple[bytes, bytes]:
-        """Packed ids with begin and end, and the decoded text in UTF-8."""
-        if not text:
-            return self.begin + self.end, b""
-        pairs = [self[c] for c in _MARKED.findall(" " + text)]
-        decoded = b"".join([p[1] for p in pairs])
-        return b"".join([self.begin, *[p[0] for p in pairs], self.end]), decoded[1:]
+    def encode(self, texts: Sequence[str]) -> list[tuple[bytes, bytes]]:
+        """For each text the packed ids with begin and end, and the decoded text in UTF-8."""
+        marked = [_MARKED.findall(" " + t) if t else [] for t in texts]
+        wanted = set().union(*marked)
+        fresh = wanted.difference(self.known)
+        if len(self.known) + len(fresh) > TABLE_ENTRIES:
+            self.known.clear()
+            fresh = wanted
+        new = self.segment(fresh)
+        # a batch with more words than the table holds, and very long words, leave nothing in it
+        kept = {} if len(new) > TABLE_ENTRIES else new if max(map(len, fresh), default=0) <= LONGEST_KEPT else {c: v for c, v in new.items() if len(c) <= LONGEST_KEPT}
+        self.known.update(kept)
+        table = self.known if len(kept) == len(new) else ChainMap(self.known, new)
+        out = []
+        for chunks in marked:
+            pairs = [table[c] for c in chunks]
+            ids, surfaces = zip(*pairs) if pairs else ((), ())
+            out.append((b"".join((self.begin, *ids, self.end)), b"".join(surfaces)[1:]))
+        return out
 
 
 _tables: dict[str, ChunkTable] = {}
@@ -83,7 +99,7 @@ def _mapper(model_path: str, full: bool) -> Callable:
         for batch in batches:
             for lo in range(0, max(1, batch.num_rows), 256):
                 part = batch.slice(lo, 256)
-                coded = [table.encode(text or "") for text in part.column(1).to_pylist()]
+                coded = table.encode([text or "" for text in part.column(1).to_pylist()])
                 counts = np.array([len(ids) // 4 for ids, _ in coded], dtype=np.int64)
                 columns = [part.column(0).cast(pa.int64()), pa.array(counts), pa.array([hashlib.sha256(ids).hexdigest() for ids, _ in coded], pa.string()), pa.array([hashlib.sha256(s).hexdigest() for _, s in coded], pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
