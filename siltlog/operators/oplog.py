@@ -7,9 +7,10 @@ reduction is a partial aggregate, so a hot key costs one row a task in the shuff
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltlog.operators.ordered import ranged
 from siltlog.plans.materialize import durable
 
 PUT, DEL = "put", "del"
@@ -103,12 +104,17 @@ def empty_values(log: DataFrame) -> DataFrame:
 def multiset_counts(log: DataFrame) -> DataFrame:
     """key, copies: each put adds a copy, each delete takes one if there is any.
 
-    With s the running sum of +1 and -1, the copies at the end are s_end - min(0, min s). Each key's rows are
-    reduced in order by an aggregate over a sorted array, so a key's whole history has to fit in one row.
+    With s the running sum of +1 and -1, the copies at the end are s_end - min(0, min s). Range partitions of
+    (key, seq) split a hot key's history; each gives its sum and its least running sum, and a key's few such
+    rows are put together in order.
     """
-    steps = F.array_sort(F.collect_list(F.struct("seq", F.when(F.col("op") == PUT, 1).otherwise(-1).alias("d"))))
-    folded = F.aggregate("steps", F.lit(0), lambda n, x: F.greatest(F.lit(0), n + x["d"]))
-    return log.groupBy("key").agg(steps.alias("steps")).select("key", folded.cast("bigint").alias("copies"))
+    steps = ranged(log.select("key", "seq", F.when(F.col("op") == PUT, 1).otherwise(-1).cast("bigint").alias("d")), [F.col("key"), F.col("seq")])
+    running = steps.withColumn("s", F.sum("d").over(Window.partitionBy("part_", "key").orderBy("seq")))
+    pieces = running.groupBy("key", "part_").agg(F.sum("d").alias("total"), F.min("s").alias("low"))
+    ordered_pieces = pieces.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("part_", "total", "low"))).alias("p"))
+    start = F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(0).cast("bigint").alias("low"))
+    folded = F.aggregate("p", start, lambda a, x: F.struct((a["sum"] + x["total"]).alias("sum"), F.least(a["low"], a["sum"] + x["low"]).alias("low")))
+    return ordered_pieces.withColumn("f", folded).select("key", (F.col("f.sum") - F.col("f.low")).alias("copies"))
 
 
 def put_rows(state: DataFrame, rows: DataFrame) -> DataFrame:

@@ -81,6 +81,25 @@ def test_fold_matches_a_loop():
         assert list(zip(closes.tolist(), before.tolist())) == want and left == running
 
 
+@pytest.mark.parametrize("limit", [1, 7, 40, 1000])
+def test_fold_over_partitions_and_streams(spark, limit):
+    from siltlog.operators.fold import fold_with_reset
+
+    rng = random.Random(limit)
+    rows = [(stream, i, rng.choice([0, 0, 1, 3, 9, 40])) for stream in range(3) for i in range(rng.choice([0, 1, 50, 200]))]
+    want, held, group, place = {}, {}, {}, {}
+    for stream, i, s in rows:
+        before = held.get(stream, 0)
+        want[stream, i] = (group.get(stream, 0), before, before + s >= limit, place.get(stream, 0))
+        held[stream] = 0 if before + s >= limit else before + s
+        group[stream] = group.get(stream, 0) + (before + s >= limit)
+        place[stream] = place.get(stream, 0) + 1
+    log = spark.createDataFrame(rows + [(9, 0, 1)], "stream int, i int, size long").repartition(5)
+    for found in (fold_with_reset(log, ["i"], "size", limit, by=["stream"]), *[fold_with_reset(log.where(f"stream = {k}"), ["i"], "size", limit).withColumn("stream", F.lit(k)) for k in range(3)]):
+        for r in found.where("stream < 9").collect():
+            assert (r.grp, r.grp_before, r.closes, r.pos) == want[r.stream, r.i]
+
+
 def test_blocks_of_a_multi_block_run(spark):
     rows = spark.createDataFrame([(i, "abcdefghij") for i in range(5120)], "key int, value string")
     placed = runs.blocks(rows, KEY_TYPES["int32"], 5120).cache()
