@@ -18,6 +18,9 @@ from pyspark.sql import DataFrame
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']*(?:\"[^\"]*\"|'[^']*'))*[^>\"']*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _MARKS = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
+#: Names that tell what a layout has around it, not what the element is.
+_MODIFIER = re.compile(r"(?:has|no|not|with|without|show|hide|is|layout)[-_]")
 
 #: Element names of HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -35,6 +38,8 @@ _BOILERPLATE_WORDS = frozenset(
     "commentlist disqus respond reply replies discussion pagination pager widget widgets toolbar skip login signup banner alert".split()
 )
 _PAGE_HEADER_WORDS = frozenset(("header", "topbar"))
+#: A header of one of these belongs to the article.
+_ARTICLE_TITLES = frozenset("article entry post story".split())
 _ARTICLE_WORDS = frozenset("article content entry main post story text body blog hentry".split())
 _START_POINTS = {"article": 25.0, "main": 25.0, "div": 5.0, "section": 5.0, "blockquote": 3.0, "pre": 3.0, "td": 3.0, "form": -3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "li": -3.0, "address": -3.0}
 _PARAGRAPHS = frozenset("p pre blockquote li dd dt figcaption tr h1 h2 h3 h4 h5 h6".split())
@@ -56,11 +61,14 @@ def _attributes(node: _Node, source: str) -> None:
     """Reads class, id and role; marks what may be boilerplate."""
     words: set[str] = set()
     for name, a, b, c in _MARKS.findall(source):
-        found = _WORD.findall((a or b or c).lower())
+        value = a or b or c
         if name.lower() == "role":
-            node.drop = node.drop or not _BOILERPLATE_ROLES.isdisjoint(found)
-        else:
-            words.update(found)
+            node.drop = node.drop or not _BOILERPLATE_ROLES.isdisjoint(_WORD.findall(value.lower()))
+            continue
+        for part in value.split():
+            if not _MODIFIER.match(part.lower()):
+                words.update(_WORD.findall(part.lower()))
+                words.update(_WORD.findall(_HUMP.sub("-", part).lower()))
     node.words = frozenset(words)
 
 
@@ -147,7 +155,7 @@ def extract(source: str) -> str:
         inside_article[node.at] = inside_article[up.at] or up.tag in ("article", "main")
         flagged = node.drop or node.tag in _BOILERPLATE_TAGS or not _BOILERPLATE_WORDS.isdisjoint(node.words)
         if node.tag == "header" or not _PAGE_HEADER_WORDS.isdisjoint(node.words):
-            flagged = flagged or not inside_article[node.at]
+            flagged = flagged or not (inside_article[node.at] or not _ARTICLE_TITLES.isdisjoint(node.words))
         protected = node.tag in ("html", "body", "main") or node.holds or (node.tag == "article" and node.words.isdisjoint(("comment", "comments", "reply", "ad", "ads", "advert", "sponsored", "promo", "related")))
         node.drop = up.drop or (flagged and not protected)
 

@@ -82,6 +82,7 @@ def test_words_equal_a_split():
         ("<article>cut <p", "cut <p"),
         ("<!-- c --><div class='ad'>Buy, now, please, here, today</div><main><p>Text</main>", "Text"),
         ("<body><div class=wrap><div id=content><p>A, b, c, long enough to be the text.</p><ul><li>x<li>y</ul><table><tr><td>1<td>2</table></div><aside><p>side, side, side</p></aside></div>", "A, b, c, long enough to be the text.\nx\ny\n1 2"),
+        ("<div class='page has-sidebar'><div id=mainMenu><a href=x>m</a></div><div class=post><div class='post-header'><h1>Head</h1></div><div>Plain, text in a div.</div></div><div id=sideBar>side, text</div></div>", "Head\nPlain, text in a div."),
         ("<article><header><h1>Head</h1></header><p>Body.</p><section class='comments'><p>me, too</p></section><form><p>f</p></form></article>", "Head\nBody."),
     ],
 )
@@ -122,7 +123,7 @@ def library(text: str):
 @settings(max_examples=400, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from(" ▁ab\né\t\x00中😀."), st.characters(exclude_categories=["Cs"])), max_size=40))
 def test_codec_equals_library(text):
-    assert piece_codec.table_of(piece_codec.default_model_path()).encode(text) == library(text)
+    assert piece_codec.table_of(piece_codec.default_model_path()).encode([text, text + " x"]) == [library(text), library(text + " x")]
 
 
 def test_codec_rows(spark, sf, edge_documents):
@@ -142,7 +143,9 @@ def test_full_table_changes_nothing(monkeypatch):
     monkeypatch.setattr(piece_codec, "TABLE_ENTRIES", 3)
     table = piece_codec.ChunkTable(piece_codec.default_model_path())
     text = " ".join(f"word{i % 7}" for i in range(50))
-    assert table.encode(text) == library(text) and len(table) <= 3
+    assert table.encode([text, "a b", "", "word1 word2"]) == [library(t) for t in (text, "a b", "", "word1 word2")] and len(table.known) <= 3
+    long = "y" * 600
+    assert table.encode([long]) == [library(long)] and table.encode(["b " + long]) == [library("b " + long)] and len(table.known) <= 3
 
 
 # --- operator 9
@@ -207,8 +210,10 @@ def test_near_duplicates_equal_brute_force(spark, sf, width):
         assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (len(shingle_set(t, width)), want[i], want[i] == i)
 
 
-def test_near_duplicates_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("rounds", [0, 1, 2])
+def test_near_duplicates_in_blocks(spark, monkeypatch, rounds):
     monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "PIVOT_ROUNDS", rounds)
     rows = near_copies(7, 120, 60)
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()}
     assert got == brute_components(rows, 4)
