@@ -150,3 +150,10 @@ def test_config():
     for bad in ({"name": ""}, {"name": "t", "key_type": "decimal"}, {"name": "t", "memtable": "skiplist"}):
         with pytest.raises(ValueError):
             TableConfig(**bad)
+
+
+def test_random_letters(spark):
+    from siltlog.functions.values import random_letters, type_name
+
+    rows = spark.range(50).select(random_letters(10, F.col("id"), 7).alias("v"), type_name(F.col("id")).alias("t")).collect()
+    assert all(len(r.v) == 10 and r.v.isalpha() and r.v.isascii() and r.t == "bigint" for r in rows) and len({r.v for r in rows}) == 50
