@@ -2,40 +2,37 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltlog.plans.materialize import durable
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+__all__ = ["durable", "read_table", "with_ids", "without_ids"]
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage through a reliable checkpoint in the cluster's shared folder.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only where that is unset
-    (a bare local session) a temporary folder is taken.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="siltlog-"))
-    return df.checkpoint(eager=True)
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 #: A set of ids of at most so many rows is broadcast (about 16 MB); a larger one is joined by shuffle.
 BROADCAST_IDS = 500_000
 
 
+def _sized_ids(ids: DataFrame) -> DataFrame:
+    """The distinct ids in one column, marked for broadcast if they are few."""
+    ids = durable(ids.toDF("listed_id_").distinct())
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def without_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is not among the one column of ``dropped``; null matches null.
 
-    The dropped ids are counted first: a small set is broadcast, so the documents stay where they are.
+    The ids are counted first: a small set is broadcast, so the documents stay where they are.
     """
-    ids = durable(dropped.toDF("dropped_id_").distinct())
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("dropped_id_")), "left_anti")
+    return docs.join(_sized_ids(dropped), docs["doc_id"].eqNullSafe(F.col("listed_id_")), "left_anti")
+
+
+def with_ids(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is among the one column of ``kept``, in the same way."""
+    return docs.join(_sized_ids(kept), docs["doc_id"] == F.col("listed_id_"), "left_semi")

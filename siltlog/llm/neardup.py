@@ -5,13 +5,16 @@ One hash function orders all word shingles; a document's sketch is its k smalles
 1. Documents with the same word sequence become one node, so exact copies cost nothing further.
 2. The least ``KEYS`` retained values of each node are its entries in inverted lists. Two documents of
    Jaccard similarity 0.8 share none of them with probability 0.2**8.
-3. A list is parted by size grade (linked documents have the same or neighbouring grades) and kept to blocks
-   of about ``BLOCK`` nodes; a longer part becomes block pairs, none is dropped. In a block the union sketch
-   estimates each pair's similarity; pairs clearly below the threshold go. A pair is looked at in the list
-   of the least value it shares only.
-4. The nodes left in a block meet with their full shingle sets, and exact similarity decides. A pair whose
-   nodes the block has already connected is skipped: the result is one class per component.
-5. Components of the confirmed links give the classes.
+3. A list is parted by size grade (linked documents have the same or neighbouring grades). In a part of up
+   to ``BLOCK`` nodes the union sketch estimates each pair's similarity; pairs clearly below the threshold
+   go. A pair is looked at in the list of the least value it shares only.
+4. The nodes left there meet with their full shingle sets, and exact similarity decides. A pair whose nodes
+   are connected already is skipped: the result is one class per component.
+5. Longer parts are contracted first: all nodes of a part are compared with ``PIVOTS`` pivots, by sketch and
+   then exactly. Nodes of the part's largest class are then connected with each other, so only pairs with a
+   node outside it are left; blocks of such nodes meet every block of the part, and steps 3 and 4 go on. A group of copies of one text so costs time in proportion to its size, and no node
+   of a list is dropped.
+6. Components of the confirmed links give the classes.
 
 No step emits the pairs of a group: blocks emit their members, and confirmed links form a forest.
 """
@@ -28,11 +31,12 @@ from pyspark.sql import functions as F
 
 from siltlog.llm import kernels
 from siltlog.llm.components import connected_components
-from siltlog.llm.frames import durable, without_ids
+from siltlog.llm.frames import durable, with_ids, without_ids
 
 SKETCH = 64
 KEYS = 8
 BLOCK = 512
+PIVOTS = 3
 #: Standard errors of the estimate that a pair may lie below the threshold and still be verified.
 MARGIN = 4.5
 _U = np.uint64
@@ -132,6 +136,8 @@ def _candidates(values: list[np.ndarray], sizes: np.ndarray, part: np.ndarray, p
 
 
 _GROUP = ["key", "grade", "x", "y"]
+#: The value of y in a group of one pivot (block 0) and nodes to compare with it (block 1).
+_STAR = -1
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], work: Callable[[pa.RecordBatch], list]) -> Iterator[list]:
@@ -165,8 +171,14 @@ def _filterer(percent: int) -> Callable:
         x, y = rows.column("x")[0].as_py(), rows.column("y")[0].as_py()
         part = rows.column("block").to_numpy() if x != y else None
         i, j, _ = _candidates(sketches, sizes, part, percent, SKETCH)
+        if y != _STAR and len(i):
+            labels = rows.column("label").to_numpy()
+            apart = labels[i] != labels[j]
+            i, j = i[apart], j[apart]
         if not len(i):
             return None
+        if y == _STAR:
+            return rows.take(pa.array(np.unique(np.concatenate((i, j)))))
         key = np.uint32(np.uint64(rows.column("key")[0].as_py() & 0xFFFFFFFFFFFFFFFF) >> _U(32))
         heads = [s[:KEYS] for s in sketches]
         below = [frozenset(h[h < key].tolist()) for h in heads]
@@ -178,7 +190,7 @@ def _filterer(percent: int) -> Callable:
         return rows.take(pa.array(np.unique(np.concatenate((i[keep], j[keep])))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [*_GROUP, "block", "node", "rep", "n_shingles"]
+        names = [*_GROUP, "block", "label", "node", "rep"]
         for found in _grouped(batches, work):
             if found is not None:
                 yield from found.select(names).to_batches()
@@ -198,7 +210,9 @@ def _verifier(percent: int) -> Callable:
         x, y = rows.column("x")[0].as_py(), rows.column("y")[0].as_py()
         part = rows.column("block").to_numpy() if x != y else None
         i, j, est = _candidates([s[:SKETCH] for s in sets], sizes, part, percent, SKETCH)
-        root = list(range(len(nodes)))
+        labels = rows.column("label").to_pylist()
+        same: dict[int, int] = {}
+        root = [same.setdefault(label, n) for n, label in enumerate(labels)]
 
         def find(a: int) -> int:
             while root[a] != a:
@@ -226,6 +240,62 @@ def _verifier(percent: int) -> Callable:
     return run
 
 
+class _Compared:
+    """Confirms the links among the nodes of groups."""
+
+    def __init__(self, source: DataFrame, graded: DataFrame, width: int, percent: int) -> None:
+        self.source, self.graded, self.width, self.percent = source, graded, width, percent
+        self.partitions = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def links(self, groups: DataFrame) -> DataFrame:
+        """u, v of a forest of each group's links. ``groups``: the group columns, block, label, p_node."""
+        sketched = self.graded.join(groups, F.col("node") == F.col("p_node")).drop("p_node")
+        sketched = sketched.repartition(self.partitions, *_GROUP).sortWithinPartitions(*_GROUP)
+        met = durable(sketched.select(*_GROUP, "block", "label", "own_grade", "node", "rep", "n_shingles", "sketch").mapInArrow(_filterer(self.percent), "key long, grade int, x int, y int, block int, label long, node binary, rep long"))
+        sets = with_ids(self.source, met.select("rep")).mapInArrow(_setter(self.width), "node binary, set binary")
+        armed = met.join(sets.withColumnRenamed("node", "s_node"), F.col("node") == F.col("s_node")).select(*_GROUP, "block", "label", "node", "set")
+        return armed.repartition(self.partitions, *_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_verifier(self.percent), "u binary, v binary")
+
+
+def _labelled(members: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The members with their class, and (key, grade, main, n_main, n_rest) of the parts with several classes."""
+    named = members.withColumn("label", F.col("node"))
+    if labels is not None:
+        named = members.join(labels.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left").select("node", "key", "grade", F.coalesce("label", "node").alias("label"))
+    named = durable(named)
+    sizes = named.groupBy("key", "grade", "label").agg(F.count("*").alias("n"))
+    main = F.max_by(F.struct("label", "n"), F.struct("n", "label")).alias("m")
+    parts = sizes.groupBy(F.col("key").alias("k_key"), F.col("grade").alias("k_grade")).agg(main, F.sum("n").alias("total"), F.count("*").alias("classes"))
+    return named, durable(parts.where("classes > 1").select("k_key", "k_grade", F.col("m.label").alias("main"), F.col("m.n").alias("n_main"), (F.col("total") - F.col("m.n")).alias("n_rest")))
+
+
+def _inside(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    named, parts = _labelled(members, labels)
+    return durable(named.join(parts, (F.col("key") == F.col("k_key")) & (F.col("grade") == F.col("k_grade"))).drop("k_key", "k_grade"))
+
+
+def _contract(members: DataFrame, compared: _Compared) -> tuple[DataFrame, DataFrame]:
+    """Links found with pivots, and the groups that are left to compare. ``members``: node, key, grade."""
+    inside = _inside(members, None)
+    chosen = [F.min_by("node", F.xxhash64("node", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)]
+    pivots = inside.groupBy(F.col("key").alias("q_key"), F.col("grade").alias("q_grade")).agg(*chosen)
+    pivots = durable(pivots.select("q_key", "q_grade", F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("pivots")))
+    pairs = inside.join(pivots, (F.col("key") == F.col("q_key")) & (F.col("grade") == F.col("q_grade"))).select("node", F.explode("pivots").alias("pivot"))
+    pairs = durable(pairs.where("node <> pivot").distinct())
+    counts = durable(pairs.groupBy(F.col("pivot").alias("n_pivot")).agg(F.count("*").alias("n")))
+    dealt = pairs.join(counts, F.col("pivot") == F.col("n_pivot")).selectExpr("pivot", "node", f"CAST(pmod(xxhash64(node), ceil(n / {BLOCK})) AS INT) AS x")
+    others = dealt.selectExpr("xxhash64(pivot) AS key", "0 AS grade", "x", f"{_STAR} AS y", "1 AS block", "xxhash64(node) AS label", "node AS p_node")
+    every = counts.selectExpr("n_pivot AS pivot", f"explode(sequence(0, CAST(ceil(n / {BLOCK}) AS INT) - 1)) AS x")
+    heads = every.selectExpr("xxhash64(pivot) AS key", "0 AS grade", "x", f"{_STAR} AS y", "0 AS block", "xxhash64(pivot) AS label", "pivot AS p_node")
+    links = durable(compared.links(others.unionByName(heads)))
+
+    inside = _inside(members, connected_components(links))
+    blocks = inside.selectExpr("key", "grade", "node", "label", "label <> main AS rest", f"CAST(ceil(n_rest / {BLOCK}) AS INT) AS r", f"CAST(ceil(n_main / {BLOCK}) AS INT) AS m")
+    blocks = blocks.withColumn("block", F.expr("CAST(IF(rest, pmod(xxhash64(node), r), r + pmod(xxhash64(node), m)) AS INT)"))
+    blocks = blocks.withColumn("other", F.explode(F.expr("sequence(0, IF(rest, r + m, r) - 1)")))
+    return links, blocks.selectExpr("key", "grade", "least(block, other) AS x", "greatest(block, other) AS y", "block", "xxhash64(label) AS label", "node AS p_node")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -243,26 +313,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     reps = durable(named.groupBy("node").agg(F.min("doc_id").alias("rep")))
     nodes = named.alias("s").join(reps.alias("r"), F.expr("s.node = r.node AND s.doc_id = r.rep")).selectExpr("r.node", "r.rep", "s.n_shingles", "s.keys", "s.sketch")
     # sizes of linked documents differ by at most 100 / percent: a document meets those of its own size grade and the next
-    graded = nodes.withColumn("own_grade", F.expr(f"CAST(floor(ln(n_shingles) / ln({101 / percent})) AS INT)"))
+    graded = durable(nodes.withColumn("own_grade", F.expr(f"CAST(floor(ln(n_shingles) / ln({101 / percent})) AS INT)")))
     postings = graded.select("node", "own_grade", F.explode("keys").alias("key")).select("node", "own_grade", "key", F.explode(F.array("own_grade", F.col("own_grade") + 1)).alias("grade"))
     lists = postings.groupBy("key", "grade").agg(F.count("*").alias("members"), F.sum(F.expr("CAST(grade = own_grade AS INT)")).alias("owners"))
     lists = durable(lists.where("members > 1 AND owners > 0").select(F.col("key").alias("l_key"), F.col("grade").alias("l_grade"), "members"))
-    met_lists = postings.join(lists, (F.col("key") == F.col("l_key")) & (F.col("grade") == F.col("l_grade"))).select(F.col("node").alias("p_node"), "key", "grade", "members")
-    blocked = graded.drop("keys").join(met_lists, F.col("node") == F.col("p_node")).withColumn("blocks", F.expr(f"CAST(ceil(members / {BLOCK}) AS INT)"))
-    blocked = blocked.withColumn("block", F.expr("CAST(pmod(xxhash64(node), blocks) AS INT)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    blocked = blocked.selectExpr("key", "grade", "least(block, other) AS x", "greatest(block, other) AS y", "block", "own_grade", "node", "rep", "n_shingles", "sketch")
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_blocks = blocked.repartition(partitions, *_GROUP).sortWithinPartitions(*_GROUP)
-    met = durable(sorted_blocks.mapInArrow(_filterer(percent), "key long, grade int, x int, y int, block int, node binary, rep long, n_shingles long"))
-
-    wanted = met.select(F.col("rep").alias("w_rep")).distinct()
-    sets = source.join(wanted, F.col("doc_id") == F.col("w_rep"), "left_semi").mapInArrow(_setter(width), "node binary, set binary")
-    armed = met.join(sets.withColumnRenamed("node", "s_node"), F.col("node") == F.col("s_node")).select(*_GROUP, "block", "node", "set")
-    links = armed.repartition(partitions, *_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_verifier(percent), "u binary, v binary")
+    listed = postings.join(lists, (F.col("key") == F.col("l_key")) & (F.col("grade") == F.col("l_grade")))
+    compared = _Compared(source, graded.drop("keys"), width, percent)
+    short = listed.where(F.col("members") <= BLOCK).selectExpr("key", "grade", "0 AS x", "0 AS y", "0 AS block", "xxhash64(node) AS label", "node AS p_node")
+    links = None
+    if not lists.where(F.col("members") > BLOCK).isEmpty():
+        long = durable(listed.where(F.col("members") > BLOCK).select("node", "key", "grade"))
+        links, blocks = _contract(long, compared)
+        short = short.unionByName(blocks)
+    last = compared.links(short)
+    links = last if links is None else links.unionByName(last)
     classes = connected_components(links)
 
     ids = reps.join(classes.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left").selectExpr("node", "rep", "coalesce(label, node) AS label")
-    least = ids.groupBy(F.col("label").alias("l_label")).agg(F.min("rep").alias("component_id"))
+    least = durable(ids.groupBy(F.col("label").alias("l_label")).agg(F.min("rep").alias("component_id")))
     by_node = durable(ids.join(least, F.col("label") == F.col("l_label")).select(F.col("node").alias("i_node"), "component_id"))
     out = sketched.select("doc_id", "n_shingles", "node").join(by_node, F.col("node") == F.col("i_node"), "left")
     return out.selectExpr("doc_id", "n_shingles", "coalesce(component_id, doc_id) AS component_id").withColumn("kept", F.expr("doc_id <=> component_id"))

@@ -210,15 +210,36 @@ def test_near_duplicates_equal_brute_force(spark, sf, width):
         assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (len(shingle_set(t, width)), want[i], want[i] == i)
 
 
-@pytest.mark.parametrize("rounds", [0, 1, 2])
-def test_near_duplicates_in_blocks(spark, monkeypatch, rounds):
+@pytest.mark.parametrize(("pivots", "few"), [(1, 10**6), (3, 0)])
+def test_near_duplicates_in_blocks(spark, monkeypatch, pivots, few):
+    from siltlog.llm import components, frames
+
     monkeypatch.setattr(neardup, "BLOCK", 16)
-    monkeypatch.setattr(neardup, "PIVOT_ROUNDS", rounds)
+    monkeypatch.setattr(neardup, "PIVOTS", pivots)
+    monkeypatch.setattr(components, "FEW_EDGES", few)
+    monkeypatch.setattr(frames, "BROADCAST_IDS", few)
     rows = near_copies(7, 120, 60)
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()}
     assert got == brute_components(rows, 4)
 
 
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_components(spark, monkeypatch, few):
+    from siltlog.llm import components
+
+    monkeypatch.setattr(components, "FEW_EDGES", few)
+    rng = random.Random(4)
+    edges = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(40)] + [(k, k + 1) for k in range(100, 140)] + [(200, k) for k in range(201, 230)] + [(5, 5)]
+    parent = list(range(300))
+    for _ in range(100):
+        for u, v in edges:
+            parent[u] = parent[v] = min(parent[u], parent[v])
+    labels = components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()
+    nodes = {x for u, v in edges if u != v for x in (u, v)}
+    assert {r.node: r.label for r in labels} == {n: parent[n] for n in nodes} and len(labels) == len(nodes)
+    assert components.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 def test_near_duplicates_edges(spark, edge_documents):
     got = neardup.near_duplicates(edge_documents, 4).collect()
     assert len(got) == edge_documents.count()
