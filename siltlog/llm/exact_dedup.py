@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltlog.llm import kernels
-from siltlog.llm.frames import durable, without_ids
+from siltlog.llm.frames import durable, free_name, without_ids
 
 WINDOW = 48
 CUT_BITS = 11
@@ -132,7 +132,8 @@ def unique_documents(docs: DataFrame) -> DataFrame:
     if not verdicts.groupBy("doc_id").count().where("count > 1").limit(1).count():
         return without_ids(docs, verdicts.where("NOT kept").select("doc_id"))
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    told = docs.withColumn("digest_", F.sha2(F.encode(F.translate(F.coalesce("text", F.lit("")), upper, lower), "UTF-8"), 256))
-    kept = verdicts.where("kept").select(F.col("doc_id").alias("kept_id_"), "text_sha256").distinct()
-    stays = told.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id_")) & (F.col("digest_") == F.col("text_sha256")), "left_semi")
-    return stays.dropDuplicates(["doc_id", "digest_"]).select(*docs.columns)
+    digest, kept_id, kept_digest = (free_name(docs, n) for n in ("digest", "kept_id", "kept_digest"))
+    told = docs.withColumn(digest, F.sha2(F.encode(F.translate(F.coalesce("text", F.lit("")), upper, lower), "UTF-8"), 256))
+    kept = verdicts.where("kept").select(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_digest)).distinct()
+    stays = told.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(digest) == F.col(kept_digest)), "left_semi")
+    return stays.dropDuplicates(["doc_id", digest]).select(*docs.columns)

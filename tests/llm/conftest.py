@@ -31,5 +31,5 @@ def edge_documents(spark):
         (8, "two words", "en", "s", 9),
         (9, "É ü ß ñ 😀 ▁ mark", "fr", "s", 16),
     ]
-    extra = "node string, key int, rep int, shard int, kept int, count int, row_id int, digest_ int, term int"
+    extra = "node string, key int, rep int, shard int, kept int, kept_id int, listed_id int, digest int, text_sha256 int"
     return spark.createDataFrame([(*r, "n", *range(8)) for r in rows], f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
