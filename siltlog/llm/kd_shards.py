@@ -40,15 +40,15 @@ def _points(docs: DataFrame) -> DataFrame:
     )
 
 
-def _cut(rows: DataFrame, count: int, key: Column, weight: str, bounds: dict[int, tuple[int, int]], wanted: dict[int, int]) -> dict[int, tuple[int, int]]:
-    """For each node the least value v with weight(key <= v) > wanted, and the weight below v.
+def _cut(rows: DataFrame, count: int, key: Column, weight: str, bounds: dict[int, tuple[int, int, int]], wanted: dict[int, int]) -> dict[int, tuple[int, int, int]]:
+    """For each node the least value v with weight(key <= v) > wanted, the weight below v, and that at v.
 
-    ``bounds`` has the key's range in each node. A pass bins the rest of the range; arithmetic is in
+    ``bounds`` has the key's range and the weight in each node. A pass bins the rest of the range; arithmetic is in
     decimals where a range may exceed a long.
     """
-    low = {n: a for n, (a, _) in bounds.items()}
-    high = {n: b for n, (_, b) in bounds.items()}
-    below = dict.fromkeys(bounds, 0)
+    low = {n: a for n, (a, _, _) in bounds.items()}
+    high = {n: b for n, (_, b, _) in bounds.items()}
+    below, here = dict.fromkeys(bounds, 0), {n: w for n, (_, _, w) in bounds.items()}
     while open_nodes := [n for n in bounds if low[n] < high[n]]:
         width = {n: (high[n] - low[n]) // BINS + 1 if n in open_nodes else 1 for n in bounds}
         column = lambda values: _lookup([values.get(n, 0) for n in range(count)], F.col("node"))
@@ -64,12 +64,13 @@ def _cut(rows: DataFrame, count: int, key: Column, weight: str, bounds: dict[int
             if below[r.node] + r.w > wanted[r.node]:
                 base = low[r.node] + r.bin * width[r.node]
                 low[r.node], high[r.node] = base, min(high[r.node], base + width[r.node] - 1)
+                here[r.node] = int(r.w)
                 passed.add(r.node)
             else:
                 below[r.node] += int(r.w)
         for n in set(open_nodes) - passed:  # all its weight is wanted: the cut lies past the last value
-            low[n] = high[n]
-    return {n: (low[n], below[n]) for n in bounds}
+            low[n], here[n] = high[n], 0
+    return {n: (low[n], below[n], here[n]) for n in bounds}
 
 
 def _split(rows: DataFrame, leaves: list[int]) -> tuple[DataFrame, list[int]]:
@@ -83,21 +84,25 @@ def _split(rows: DataFrame, leaves: list[int]) -> tuple[DataFrame, list[int]]:
     wanted = {n: int(found[n].w) * (leaves[n] // 2) // leaves[n] for n in cut}
     dimension = _lookup([widest.get(n, 0) for n in range(count)], F.col("node"))
     key = F.when(dimension == 0, F.col(DIMENSIONS[0])).when(dimension == 1, F.col(DIMENSIONS[1])).otherwise(F.col(DIMENSIONS[2]))
-    bounds = {n: (found[n][f"lo_{DIMENSIONS[widest[n]]}"], found[n][f"hi_{DIMENSIONS[widest[n]]}"]) for n in cut}
+    bounds = {n: (found[n][f"lo_{DIMENSIONS[widest[n]]}"], found[n][f"hi_{DIMENSIONS[widest[n]]}"], int(found[n].w)) for n in cut}
     rows = rows.withColumn("k", key)
     values = _cut(rows, count, F.col("k"), "size", bounds, wanted)
 
     # rows at the median value are parted by doc_id, and repeated doc_ids by checksum
     at = lambda table, default=0: _lookup([int(table.get(n, default)) for n in range(count)], F.col("node"))
     is_cut = at(dict.fromkeys(cut, 1)) == 1
-    tied = rows.where(is_cut & (F.col("k") == at({n: v for n, (v, _) in values.items()})))
-    spans = {r.node: (r.a, r.b) for r in tied.groupBy("node").agg(F.min("t_id").alias("a"), F.max("t_id").alias("b")).collect()}
+    tied = rows.where(is_cut & (F.col("k") == at({n: v for n, (v, *_) in values.items()})))
+    ends = lambda df, c: {r.node: (r.a, r.b, int(r.w)) for r in df.groupBy("node").agg(F.min(c).alias("a"), F.max(c).alias("b"), F.sum("size").alias("w")).collect()}
+    spans = ends(tied, "t_id")
     ids = _cut(tied, count, F.col("t_id"), "size", spans, {n: wanted[n] - values[n][1] for n in spans})
-    same = tied.where(F.col("t_id") == at({n: v for n, (v, _) in ids.items()}))
-    sums = {r.node: (r.a, r.b) for r in same.groupBy("node").agg(F.min("text_crc32").alias("a"), F.max("text_crc32").alias("b")).collect()}
-    last = _cut(same, count, F.col("text_crc32"), "size", sums, {n: wanted[n] - values[n][1] - ids[n][1] for n in sums})
-
-    value, tie, crc = at({n: v for n, (v, _) in values.items()}), at({n: v for n, (v, _) in ids.items()}), at({n: v for n, (v, _) in last.items()})
+    same = tied.where(F.col("t_id") == at({n: v for n, (v, *_) in ids.items()}))
+    sums = ends(same, "text_crc32")
+    rest = {n: wanted[n] - values[n][1] - ids[n][1] for n in sums}
+    last = _cut(same, count, F.col("text_crc32"), "size", sums, rest)
+    # the rows at the cut itself go to the side that then lies nearer to its share
+    cuts = {n: v + (2 * (rest[n] - below) > here) for n, (v, below, here) in last.items()}
+
+    value, tie, crc = at({n: v for n, (v, *_) in values.items()}), at({n: v for n, (v, *_) in ids.items()}), at(cuts)
     left = (F.col("k") < value) | ((F.col("k") == value) & ((F.col("t_id") < tie) | ((F.col("t_id") == tie) & (F.col("text_crc32") < crc))))
     names, first = [], {}
     for n in range(count):
