@@ -31,6 +31,14 @@ def merge_lww(runs: DataFrame, key: Sequence[str], rank: Sequence[Column | str],
     return won.select(*key, "w.*")
 
 
+def _merged(runs: DataFrame, inside: Column, gen: int, purge: bool) -> DataFrame:
+    merged = merge_lww(runs.where(inside), ["key"], ["gen"], ["value", "is_tombstone"])
+    merged = merged.select(F.lit(gen).cast("bigint").alias("gen"), "key", "value", "is_tombstone")
+    if purge:
+        merged = merged.where(~F.col("is_tombstone"))
+    return runs.where(~inside).select(F.col("gen").cast("bigint").alias("gen"), "key", "value", "is_tombstone").unionByName(merged)
+
+
 def compact(runs: DataFrame, generations: Sequence[int], purge: bool = False) -> DataFrame:
     """The runs (gen, key, value, is_tombstone) with those generations merged into the newest of them.
 
@@ -41,15 +49,14 @@ def compact(runs: DataFrame, generations: Sequence[int], purge: bool = False) ->
     if not chosen:
         return runs
     inside = F.col("gen").isin(chosen)
-    if purge:
-        passed = runs.where(~inside & (F.col("gen") < chosen[-1])).limit(1).count()
-        if passed:
-            raise ValueError("tombstones can be purged only if no older generation is left out of the merge")
-    merged = merge_lww(runs.where(inside), ["key"], ["gen"], ["gen", "value", "is_tombstone"])
-    merged = merged.select(F.lit(chosen[-1]).cast("bigint").alias("gen"), "key", "value", "is_tombstone")
-    if purge:
-        merged = merged.where(~F.col("is_tombstone"))
-    return runs.where(~inside).select(F.col("gen").cast("bigint").alias("gen"), "key", "value", "is_tombstone").unionByName(merged)
+    if purge and not runs.where(~inside & (F.col("gen") < chosen[-1])).isEmpty():
+        raise ValueError("tombstones can be purged only if no older generation is left out of the merge")
+    return _merged(runs, inside, chosen[-1], purge)
+
+
+def compact_through(runs: DataFrame, newest: int, purge: bool = False) -> DataFrame:
+    """All generations up to ``newest`` merged into it, however many they are; tombstones may always be purged."""
+    return _merged(runs, F.col("gen") <= newest, newest, purge)
 
 
 def merged_statistics(stats: DataFrame) -> DataFrame:

@@ -62,14 +62,14 @@ def kv_live_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "kv_state_tristate",
-    f"""WITH {_S}, P AS (SELECT DISTINCT user_id AS key FROM events UNION SELECT -1 - c_custkey FROM customer WHERE c_custkey <= 20),
+    f"""WITH {_S}, P AS (SELECT DISTINCT user_id AS key FROM events UNION SELECT -1 - c_custkey FROM customer),
     M AS (SELECT key, (SELECT max(seq) FROM S WHERE S.key = P.key) AS seq FROM P)
     SELECT M.key, CASE WHEN M.seq IS NULL THEN 'absent' WHEN S.op = 'del' THEN 'deleted' ELSE 'found' END AS status,
            CASE WHEN S.op = 'put' THEN S.value END AS value FROM M LEFT JOIN S ON S.seq = M.seq""",
 )
 def kv_state_tristate(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = event_log(spark, sf_dir)
-    absent = table(spark, sf_dir, "customer").where("c_custkey <= 20").select((-1 - F.col("c_custkey")).alias("key"))
+    absent = table(spark, sf_dir, "customer").select((-1 - F.col("c_custkey")).alias("key"))
     return oplog.get_many(log, log.select("key").distinct().union(absent))
 
 
@@ -138,17 +138,19 @@ def multiset_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oplog.multiset_counts(event_log(spark, sf_dir))
 
 
-@query("bulk_put", "SELECT o_orderkey AS key, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE o_orderpriority END AS value FROM orders UNION ALL SELECT -1 - c_custkey, 'new' FROM customer")
+@query("bulk_put", "SELECT o_orderkey AS key, CASE WHEN o_orderstatus = 'F' THEN 'new' ELSE o_orderpriority END AS value FROM orders UNION ALL SELECT -1 - c_custkey, 'new' FROM customer")
 def bulk_put(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS key", "o_orderpriority AS value")
-    rows = state.where("key % 3 = 0").selectExpr("key", "'new' AS value").union(table(spark, sf_dir, "customer").selectExpr("-1 - c_custkey", "'new'"))
+    orders = table(spark, sf_dir, "orders")
+    state = orders.selectExpr("o_orderkey AS key", "o_orderpriority AS value")
+    rows = orders.where("o_orderstatus = 'F'").selectExpr("o_orderkey", "'new' AS value").union(table(spark, sf_dir, "customer").selectExpr("-1 - c_custkey", "'new'")).toDF("key", "value")
     return oplog.put_rows(state, rows)
 
 
-@query("bulk_update", "SELECT o_orderkey AS key, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE o_orderpriority END AS value FROM orders")
+@query("bulk_update", "SELECT o_orderkey AS key, CASE WHEN o_orderstatus = 'F' THEN 'new' ELSE o_orderpriority END AS value FROM orders")
 def bulk_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS key", "o_orderpriority AS value")
-    rows = state.where("key % 3 = 0").selectExpr("key", "'new' AS value").union(table(spark, sf_dir, "customer").selectExpr("-1 - c_custkey", "'new'"))
+    orders = table(spark, sf_dir, "orders")
+    state = orders.selectExpr("o_orderkey AS key", "o_orderpriority AS value")
+    rows = orders.where("o_orderstatus = 'F'").selectExpr("o_orderkey", "'new' AS value").union(table(spark, sf_dir, "customer").selectExpr("-1 - c_custkey", "'new'")).toDF("key", "value")
     return oplog.update_rows(state, rows)
 
 
@@ -419,8 +421,7 @@ def merge_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("merge_purge", f"WITH {_LATEST} SELECT (SELECT max(seq) // {GEN_ROWS} FROM S) AS gen, key, value, false AS is_tombstone FROM W WHERE key NOT IN (SELECT key FROM W WHERE op = 'del')")
 def merge_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
     flushed = runs.flush(tiered_events(spark, sf_dir))
-    generations = [r.gen for r in flushed.select("gen").distinct().collect()]
-    return merge.compact(flushed, generations, purge=True)
+    return merge.compact_through(flushed, flushed.agg(F.max("gen")).first()[0], purge=True)
 
 
 @query(
@@ -432,8 +433,7 @@ def merge_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merge_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All generations but the newest merged into one; tombstones stay."""
     flushed = runs.flush(tiered_events(spark, sf_dir))
-    generations = sorted(r.gen for r in flushed.select("gen").distinct().collect())
-    return merge.compact(flushed, generations[:-1])
+    return merge.compact_through(flushed, max(0, flushed.agg(F.max("gen")).first()[0] - 1))
 
 
 # --- codecs -----------------------------------------------------------------------------------------
