@@ -28,10 +28,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltlog.llm import kernels
 from siltlog.llm.components import connected_components
-from siltlog.llm.frames import durable, with_ids, without_ids
+from siltlog.llm.frames import durable, free_name, with_ids, without_ids
 
 SKETCH = 64
 KEYS = 8
@@ -296,16 +297,8 @@ def _contract(members: DataFrame, compared: _Compared) -> tuple[DataFrame, DataF
     return links, blocks.selectExpr("key", "grade", "least(block, other) AS x", "greatest(block, other) AS y", "block", "xxhash64(label) AS label", "node AS p_node")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
-
-    Words are what ASCII white space separates, with A-Z lower-cased; a document's set holds its distinct
-    ``width``-word shingles, or its whole word sequence if it is shorter. Documents are linked if
-    100 * |intersection| >= percent * |union|; component_id is the least doc_id reachable and
-    kept = (doc_id = component_id). Texts without words (null and empty too) have an empty set and are
-    linked with nothing. Rows that repeat a doc_id are all reported. A null doc_id joins its text's class
-    but never names it. An empty table gives no rows; extra columns are ignored.
-    """
+def _classified(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, node (null without words), component_id, kept of every row."""
     source = docs.select("doc_id", "text")
     sketched = durable(source.mapInArrow(_sketcher(width), "doc_id long, n_shingles long, node binary, keys array<long>, sketch binary"))
 
@@ -333,9 +326,45 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     least = durable(ids.groupBy(F.col("label").alias("l_label")).agg(F.min("rep").alias("component_id")))
     by_node = durable(ids.join(least, F.col("label") == F.col("l_label")).select(F.col("node").alias("i_node"), "component_id"))
     out = sketched.select("doc_id", "n_shingles", "node").join(by_node, F.col("node") == F.col("i_node"), "left")
-    return out.selectExpr("doc_id", "n_shingles", "coalesce(component_id, doc_id) AS component_id").withColumn("kept", F.expr("doc_id <=> component_id"))
+    return out.selectExpr("doc_id", "n_shingles", "node", "coalesce(component_id, doc_id) AS component_id").withColumn("kept", F.expr("doc_id <=> component_id"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept.
+
+    Words are what ASCII white space separates, with A-Z lower-cased; a document's set holds its distinct
+    ``width``-word shingles, or its whole word sequence if it is shorter. Documents are linked if
+    100 * |intersection| >= percent * |union|; component_id is the least doc_id reachable and
+    kept = (doc_id = component_id). Texts without words (null and empty too) have an empty set and are
+    linked with nothing. Rows that repeat a doc_id are all reported. A null doc_id joins its text's class
+    but never names it. An empty table gives no rows; extra columns are ignored.
+    """
+    return _classified(docs, width, percent).drop("node")
+
+
+def _teller(width: int, at: int, name: str) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = [_node(hashes) if len(hashes) else None for hashes in _texts(batch.column(at))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.binary())], names=[*batch.schema.names, name])
+
+    return run
 
 
 def distinct_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each class of near-duplicates, with all its columns: the one with the least doc_id."""
-    return without_ids(docs, near_duplicates(docs, width, percent).where("NOT kept").select("doc_id"))
+    """One document of each class of near-duplicates, with all its columns: the one with the least doc_id.
+
+    Where no doc_id repeats (nulls count as one; a light aggregation tells) the dropped ids alone are joined.
+    Otherwise rows are told apart by doc_id and word sequence; of several rows that could stay for a class,
+    one does, and rows whose class has no doc_id stay once for each word sequence.
+    """
+    found = durable(_classified(docs, width, percent))
+    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return without_ids(docs, found.where("NOT kept").select("doc_id"))
+    node, kept_id, kept_node = (free_name(docs, n) for n in ("node", "kept_id", "kept_node"))
+    told = docs.mapInArrow(_teller(width, docs.columns.index("text"), node), T.StructType([*docs.schema.fields, T.StructField(node, T.BinaryType())]))
+    stay = found.where("kept AND node IS NOT NULL")
+    named = stay.where("component_id IS NOT NULL").groupBy("component_id").agg(F.min(F.struct("doc_id", "node")).alias("m")).select("m.doc_id", "m.node")
+    stay = named.unionByName(stay.where("component_id IS NULL").select("doc_id", "node").distinct()).toDF(kept_id, kept_node)
+    chosen = told.join(stay, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(node) == F.col(kept_node)), "left_semi").dropDuplicates(["doc_id", node])
+    return chosen.unionByName(told.where(F.col(node).isNull())).select(*docs.columns)

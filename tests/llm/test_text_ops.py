@@ -251,4 +251,8 @@ def test_near_duplicates_edges(spark, edge_documents):
     assert by_id[3] == [(0, 3, True)] and by_id[4] == [(0, 4, True)] and by_id[5] == [(0, 5, True)] and by_id[8] == [(1, 8, True)]
     assert by_id[6][0][1:] == (6, True) and by_id[7][0][1:] == (6, False)
     assert neardup.near_duplicates(edge_documents.limit(0), 4).count() == 0
+    more = spark.createDataFrame([(None, "quite another text that nobody else has here"), (5, "a b c d e f g"), (5, "p q r s t u v"), (4, "p q r s t u v")], "doc_id long, text string")
+    docs = edge_documents.select("doc_id", "text").union(more)
+    kept = Counter((r.doc_id, (r.text or "")[:20]) for r in neardup.distinct_documents(docs, 4).collect())
+    assert kept == Counter({(1, "Alpha beta gamma del"): 1, (3, ""): 1, (4, ""): 1, (5, " \t\n "): 1, (6, "w0x0 w1x1 w2x2 w3x3 "): 1, (8, "two words"): 1, (9, "É ü ß ñ 😀 ▁ mark"): 1, (None, "quite another text t"): 1, (5, "a b c d e f g"): 1, (4, "p q r s t u v"): 1})
     assert neardup.distinct_documents(edge_documents).columns == edge_documents.columns
