@@ -6,7 +6,7 @@ One hash function orders all word shingles; a document's sketch is its k smalles
 2. The least ``KEYS`` retained values of each node are its entries in inverted lists. Two documents of
    Jaccard similarity 0.8 share none of them with probability 0.2**8.
 3. A list is parted by size grade (linked documents have the same or neighbouring grades). In a part of up
-   to ``BLOCK`` nodes the union sketch estimates each pair's similarity; pairs clearly below the threshold
+   to ``LONG`` nodes the union sketch estimates each pair's similarity; pairs clearly below the threshold
    go. A pair is looked at in the list of the least value it shares only.
 4. The nodes left there meet with their full shingle sets, and exact similarity decides. A pair whose nodes
    are connected already is skipped: the result is one class per component.
@@ -36,7 +36,9 @@ from siltlog.llm.frames import durable, free_name, with_ids, without_ids
 
 SKETCH = 64
 KEYS = 8
-BLOCK = 512
+#: A list part of more nodes is contracted first; what is left of it is compared in blocks of about ``BLOCK`` nodes.
+LONG = 256
+BLOCK = 1024
 PIVOTS = 3
 #: Standard errors of the estimate that a pair may lie below the threshold and still be verified.
 MARGIN = 4.5
@@ -312,10 +314,10 @@ def _classified(docs: DataFrame, width: int, percent: int) -> DataFrame:
     lists = durable(lists.where("members > 1 AND owners > 0").select(F.col("key").alias("l_key"), F.col("grade").alias("l_grade"), "members"))
     listed = postings.join(lists, (F.col("key") == F.col("l_key")) & (F.col("grade") == F.col("l_grade")))
     compared = _Compared(source, graded.drop("keys"), width, percent)
-    short = listed.where(F.col("members") <= BLOCK).selectExpr("key", "grade", "0 AS x", "0 AS y", "0 AS block", "xxhash64(node) AS label", "node AS p_node")
+    short = listed.where(F.col("members") <= LONG).selectExpr("key", "grade", "0 AS x", "0 AS y", "0 AS block", "xxhash64(node) AS label", "node AS p_node")
     links = None
-    if not lists.where(F.col("members") > BLOCK).isEmpty():
-        long = durable(listed.where(F.col("members") > BLOCK).select("node", "key", "grade"))
+    if not lists.where(F.col("members") > LONG).isEmpty():
+        long = durable(listed.where(F.col("members") > LONG).select("node", "key", "grade"))
         links, blocks = _contract(long, compared)
         short = short.unionByName(blocks)
     last = compared.links(short)

@@ -216,6 +216,7 @@ def test_near_duplicates_in_blocks(spark, monkeypatch, pivots, few):
     from siltlog.llm import components, frames
 
     monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "LONG", 12)
     monkeypatch.setattr(neardup, "PIVOTS", pivots)
     monkeypatch.setattr(components, "FEW_EDGES", few)
     monkeypatch.setattr(frames, "BROADCAST_IDS", few)
