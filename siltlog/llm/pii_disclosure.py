@@ -116,7 +116,7 @@ def _term_numbers(terms: list[str]) -> np.ndarray:
     return out
 
 
-_FOUND = "row_id long, doc_id long, counts array<long>, base array<struct<start: int, kind: int, end: int>>, entities array<struct<entity: long, wide: long, context: long, terms: array<struct<term: long, start: int, end: int>>>>"
+_FOUND = "row_id long, doc_id long, text_hash long, counts array<long>, base array<struct<start: int, kind: int, end: int>>, entities array<struct<entity: long, wide: long, context: long, terms: array<struct<term: long, start: int, end: int>>>>"
 
 
 def _finder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,8 +152,8 @@ def _finder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     row.append({"entity": _number(name), "wide": _number(wide), "context": int.from_bytes(context, "little", signed=True), "terms": terms})
                 rows.append(row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), part.column(0).cast(pa.int64()), pa.array(counts, pa.list_(pa.int64())), pa.array(bases, pa.list_(span)), pa.array(rows, pa.list_(entity))],
-                names=["row_id", "doc_id", "counts", "base", "entities"],
+                [pa.array(ids, pa.int64()), part.column(0).cast(pa.int64()), part.column(2), pa.array(counts, pa.list_(pa.int64())), pa.array(bases, pa.list_(span)), pa.array(rows, pa.list_(entity))],
+                names=["row_id", "doc_id", "text_hash", "counts", "base", "entities"],
             )
 
 
@@ -198,7 +198,7 @@ def _counter(wanted: Callable[[], np.ndarray | None]) -> Callable:
 
 def find(docs: DataFrame) -> DataFrame:
     """The first pass, checkpointed: base spans, and the entities with their contexts, of every row."""
-    return durable(docs.select("doc_id", "text").mapInArrow(_finder, _FOUND))
+    return durable(docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(_finder, _FOUND))
 
 
 def disclosing_pairs(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -227,26 +227,30 @@ def disclosing_pairs(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def protect(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, terms.
+    """One row per row of docs, in no order: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, terms.
 
     spans: kind:start:end (code points, end exclusive) by start, then kind, joined by commas; terms: the same
     spans of the disclosing terms with their action, array<struct<start, end, action>>. base_sha256 covers the
     base spans alone. A null text counts as empty: no spans, digest of the empty string. Repeated rows and
     doc_ids are reported each; an empty table gives no rows; extra columns are ignored.
     """
+    return _protected(docs).drop("text_hash")
+
+
+def _protected(docs: DataFrame) -> DataFrame:
     found = find(docs)
     flagged = durable(disclosing_pairs(docs, found).select(F.col("entity").alias("f_entity"), F.col("term").alias("f_term"), "action"))
     places = durable(found.select("row_id", F.explode("entities").alias("e")).select("row_id", "e.entity", F.explode("e.terms").alias("t")).select("row_id", "entity", "t.*"))
     hits = places.join(flagged, (F.col("entity") == F.col("f_entity")) & (F.col("term") == F.col("f_term")))
     added = hits.groupBy("row_id", "start", "end").agg(F.max("action").alias("action"))
     added = added.groupBy(F.col("row_id").alias("a_row_id")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))
-    rows = found.select("row_id", "doc_id", "counts", "base").join(added, F.col("row_id") == F.col("a_row_id"), "left")
+    rows = found.select("row_id", "doc_id", "text_hash", "counts", "base").join(added, F.col("row_id") == F.col("a_row_id"), "left")
     names = ", ".join(f"'{k}'" for k in (*KINDS, TERM))
     written = lambda c: f"array_join(transform(array_sort({c}), s -> concat(element_at(array({names}), s.kind + 1), ':', s.start, ':', s.end)), ',')"
     term_spans = f"transform(terms, t -> struct(t.start AS start, {len(KINDS)} AS kind, t.end AS end))"
     counts = [f"counts[{k}] AS n_{name}" for k, name in enumerate(KINDS)]
     every = f"IF(terms IS NULL, base, concat(base, {term_spans}))"
-    return rows.selectExpr("doc_id", *counts, f"sha2(encode({written('base')}, 'UTF-8'), 256) AS base_sha256", f"{written(every)} AS spans", "coalesce(terms, array()) AS terms")
+    return rows.selectExpr("doc_id", "text_hash", *counts, f"sha2(encode({written('base')}, 'UTF-8'), 256) AS base_sha256", f"{written(every)} AS spans", "coalesce(terms, array()) AS terms")
 
 
 def redact(text: str, spans: str, actions: dict[tuple[int, int], str] | None = None) -> str:
@@ -265,3 +269,21 @@ def redact(text: str, spans: str, actions: dict[tuple[int, int], str] | None = N
             out.append(f"[{kind}]")
         last = end
     return "".join([*out, text[last:]])
+
+
+def _redactor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, max(1, batch.num_rows), 512):
+            part = batch.slice(lo, 512)
+            columns = (part.column(k).to_pylist() for k in (1, 2, 3))
+            texts = [redact(text or "", spans, {(t["start"], t["end"]): t["action"] for t in terms}) for text, spans, terms in zip(*columns)]
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+
+def sanitise(docs: DataFrame) -> DataFrame:
+    """doc_id and the sanitised text of every row: base spans and generalised terms stand as their kind in
+    brackets, removed terms are left out. A null text gives an empty one. Rows are matched by doc_id and text."""
+    spans = _protected(docs).select(F.col("doc_id").alias("p_doc_id"), F.col("text_hash").alias("p_hash"), "spans", "terms").dropDuplicates(["p_doc_id", "p_hash"])
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    joined = texts.join(spans, F.col("doc_id").eqNullSafe(F.col("p_doc_id")) & (F.col("h") == F.col("p_hash")))
+    return joined.select("doc_id", "text", "spans", "terms").mapInArrow(_redactor, "doc_id long, text string")

@@ -216,6 +216,7 @@ def test_pii_rows(spark, sf, edge_documents):
             got[(r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256, base)] += 1
         assert got == want
     assert pii_disclosure.protect(edge_documents.limit(0)).count() == 0
+    assert Counter(r.doc_id for r in pii_disclosure.sanitise(edge_documents).collect()) == Counter(r.doc_id for r in edge_documents.collect())
 
 
 @pytest.mark.parametrize("broadcast", [10**6, 0])
@@ -233,6 +234,8 @@ def test_terms_that_disclose(spark, broadcast, monkeypatch):
         assert terms["Zaphod"] == "remove" and got[i].n_email == 1
         hidden = pii_disclosure.redact(rows[i][1], got[i].spans, {(t.start, t.end): t.action for t in got[i].terms})
         assert "Zaphod" not in hidden and "[email]" in hidden
+    texts = {r.doc_id: r.text for r in pii_disclosure.sanitise(docs).collect()}
+    assert len(texts) == len(rows) and all("@" not in t for t in texts.values()) and "Zaphod" not in texts[0] and texts[100] == rows[13][1]
     assert all(not got[200 + i].terms for i in range(4))  # one context, however often it is copied
 
 
