@@ -108,6 +108,13 @@ def test_blocks_of_a_multi_block_run(spark):
     assert runs.sparse_index(placed, 128).count() == 61
 
 
+def test_blocks_of_a_compaction(spark):
+    halves = [spark.createDataFrame([(2 * i + r, "abcdefghij") for i in range(204)], "key int, value string") for r in (0, 1)]
+    for rows, blocks, entries in ((halves[0], 5, 6), (merge.merge_keep_all(*halves, ["key", "value"]), 9, 12)):
+        placed = runs.blocks(rows.select("key", "value"), KEY_TYPES["int32"], 1024).cache()
+        assert placed.select("block").distinct().count() == blocks and runs.sparse_index(placed, 128).count() == entries
+
+
 @pytest.mark.parametrize("backward", [True, False])
 def test_as_of(spark, backward):
     rng = random.Random(2)
