@@ -370,7 +370,7 @@ def score(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> Dat
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
-    """The documents that are not rejected, with all their columns, filtered where they are."""
+    """The documents that ``score`` would not reject, with all their columns, filtered where they are."""
     model = model or fit_model(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(_packed(model))
     places = [docs.columns.index(c) for c in ("text", "lang", "source", "n_chars")]

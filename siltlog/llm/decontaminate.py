@@ -239,7 +239,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED_WORDS,
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, seed: int = SEED_WORDS, coverage: float = COVERAGE) -> DataFrame:
-    """The documents that cover no item, with all their columns; each block filters rows where they are."""
+    """The documents that cover no item, with all their columns; each block filters rows where they are.
+
+    Null and empty texts cover nothing and stay; rows are judged one by one, so repeated rows and ids do no harm.
+    """
     out, at = docs, docs.columns.index("text")
     for block in _blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(block)
