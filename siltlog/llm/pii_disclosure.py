@@ -1,12 +1,13 @@
 """Operator 6: personal data, and the terms that give it away.
 
 Base spans are the matches of four fixed patterns. Their values are the protected entities. For an entity e
-with generalisation g(e) (an address's domain, a network, an issuer, a country) a term t near e discloses it
-if PMI(e; t) = log2(p(e, t) / (p(e) p(t))) reaches the information content of g(e), -log2 p(g(e)): whoever
+with generalisation g(e) (an address's domain, a network, an issuer, a country) a term t in a document that
+holds e discloses it if PMI(e; t) = log2(p(e, t) / (p(e) p(t))) reaches the information content of g(e), -log2 p(g(e)): whoever
 reads t then learns more about e than its generalisation tells. Such a term is generalised; it is removed if
 the disclosure reaches the information content of e itself. All probabilities are document frequencies over
-the whole table, and a pair counts only if it is seen in two different contexts, so that copies of one text
-prove nothing.
+the whole table, and a pair counts only if it is seen in two documents of different words, so that copies of
+one text prove nothing. Every word of a document that holds e counts, short words and numbers too, but for
+those a base span touches; a disclosing term is marked at all its places in the document.
 """
 
 from __future__ import annotations
@@ -27,10 +28,10 @@ from siltlog.llm.frames import durable
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-WINDOW = 80
-LEAST_TERM = 3
 #: So many candidate terms are sent to the tasks (16 MB); with more, all terms are counted and joined.
 BROADCAST_TERMS = 2_000_000
+#: So many disclosing pairs, or terms marked in different texts, are joined by broadcast; more by shuffle.
+BROADCAST_PAIRS = 200_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -93,15 +94,19 @@ def entity_of(kind: int, value: str) -> tuple[str, str]:
     return (f"card:{digits}", f"card:{digits[:6]}") if kind == 2 else (f"phone:{digits}", f"phone:{digits[:3]}")
 
 
-def _context(text: str, start: int, end: int, taken: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
-    """The whole words within ``WINDOW`` characters of a span that no base span touches."""
-    a, b = max(0, start - WINDOW), min(len(text), end + WINDOW)
-    for m in _TOKEN.finditer(text, a, b):
-        if (m.start() == a > 0 and _TOKEN.match(text[a - 1])) or (m.end() == b < len(text) and _TOKEN.match(text[b])):
-            continue
-        if m.end() - m.start() < LEAST_TERM or m[0].isdigit() or any(m.start() < y and x < m.end() for x, _, y in taken):
-            continue
-        yield m[0], m.start(), m.end()
+def _free(text: str, taken: list[tuple[int, int, int]]) -> str:
+    """The text with base spans, and the words they touch, as spaces: places stay the same."""
+    out, last = [], 0
+    for a, _, b in taken:
+        while a > last and _TOKEN.match(text[a]) and _TOKEN.match(text[a - 1]):
+            a -= 1
+        while b < len(text) and _TOKEN.match(text[b - 1]) and _TOKEN.match(text[b]):
+            b += 1
+        if b > last:
+            a = max(a, last)
+            out += [text[last:a], " " * (b - a)]
+            last = b
+    return "".join([*out, text[last:]])
 
 
 def _number(text: str) -> int:
@@ -116,18 +121,26 @@ def _term_numbers(terms: list[str]) -> np.ndarray:
     return out
 
 
-_FOUND = "row_id long, doc_id long, text_hash long, counts array<long>, base array<struct<start: int, kind: int, end: int>>, entities array<struct<entity: long, wide: long, context: long, terms: array<struct<term: long, start: int, end: int>>>>"
+_FOUND = "row_id long, doc_id long, text_hash long, counts array<long>, base array<struct<start: int, kind: int, end: int>>, entities array<struct<entity: long, wide: long>>, context long, terms array<long>"
+
+
+def _word_sets(texts: list[str]) -> Iterator[np.ndarray]:
+    """The different word numbers of each text."""
+    for lo, hi, data, offsets in kernels.text_slices(pa.array(texts, pa.string())):
+        hashes, _, _, first = kernels.words(kernels.ascii_lower(data), offsets, kernels.NOT_ALNUM)
+        for k in range(hi - lo):
+            yield np.unique(hashes[first[k] : first[k + 1]].astype(np.int64))
 
 
 def _finder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     row_id = (TaskContext.get().partitionId() << 36) - 1
     span = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
-    place = pa.struct([("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
-    entity = pa.struct([("entity", pa.int64()), ("wide", pa.int64()), ("context", pa.int64()), ("terms", pa.list_(place))])
+    entity = pa.struct([("entity", pa.int64()), ("wide", pa.int64())])
+    none = np.zeros(0, dtype=np.int64)
     for batch in batches:
         for lo in range(0, max(1, batch.num_rows), 512):
             part = batch.slice(lo, 512)
-            ids, counts, bases, entities, words = [], [], [], [], []
+            ids, counts, bases, entities, free = [], [], [], [], []
             for text in part.column(1).to_pylist():
                 text = text or ""
                 row_id += 1
@@ -135,25 +148,26 @@ def _finder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ids.append(row_id)
                 counts.append([sum(k == n for _, k, _ in found) for n in range(len(KINDS))])
                 bases.append([{"start": a, "kind": k, "end": b} for a, k, b in found])
-                named: dict[tuple[str, str], dict] = {}
-                for a, k, b in found:
-                    near = named.setdefault(entity_of(k, text[a:b]), {})
-                    for word, x, y in _context(text, a, b, found):
-                        near[x, y] = len(words)
-                        words.append(word)
-                entities.append(named)
-            numbers = _term_numbers(words)
-            rows = []
-            for named in entities:
-                row = []
-                for (name, wide), near in named.items():
-                    terms = [{"term": int(numbers[w]), "start": x, "end": y} for (x, y), w in near.items()]
-                    context = hashlib.blake2b(np.unique([t["term"] for t in terms]).tobytes(), digest_size=8).digest()
-                    row.append({"entity": _number(name), "wide": _number(wide), "context": int.from_bytes(context, "little", signed=True), "terms": terms})
-                rows.append(row)
+                named = dict.fromkeys(entity_of(k, text[a:b]) for a, k, b in found)
+                entities.append([{"entity": _number(name), "wide": _number(wide)} for name, wide in named])
+                if found:
+                    free.append(_free(text, found))
+            sets = _word_sets(free)
+            terms = [next(sets) if row else none for row in entities]
+            contexts = [int.from_bytes(hashlib.blake2b(t.tobytes(), digest_size=8).digest(), "little", signed=True) for t in terms]
+            places = np.cumsum([0, *map(len, terms)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), part.column(0).cast(pa.int64()), part.column(2), pa.array(counts, pa.list_(pa.int64())), pa.array(bases, pa.list_(span)), pa.array(rows, pa.list_(entity))],
-                names=["row_id", "doc_id", "text_hash", "counts", "base", "entities"],
+                [
+                    pa.array(ids, pa.int64()),
+                    part.column(0).cast(pa.int64()),
+                    part.column(2),
+                    pa.array(counts, pa.list_(pa.int64())),
+                    pa.array(bases, pa.list_(span)),
+                    pa.array(entities, pa.list_(entity)),
+                    pa.array(contexts, pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(np.concatenate([none, *terms]), pa.int64())),
+                ],
+                names=["row_id", "doc_id", "text_hash", "counts", "base", "entities", "context", "terms"],
             )
 
 
@@ -197,19 +211,38 @@ def _counter(wanted: Callable[[], np.ndarray | None]) -> Callable:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """The first pass, checkpointed: base spans, and the entities with their contexts, of every row."""
+    """The first pass, checkpointed: base spans, entities, and where there are any the words, of every row."""
     return durable(docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(_finder, _FOUND))
 
 
+def _entries(found: DataFrame) -> DataFrame:
+    return found.select("row_id", "context", F.explode("entities").alias("e")).select("row_id", "context", "e.*")
+
+
+def _near(found: DataFrame) -> DataFrame:
+    """row_id, context, entity, wide, term for the entities of two contexts or more; no other can have a pair.
+
+    Words meet entities by row, so a hot entity's documents stay spread.
+    """
+    entries = _entries(found)
+    known = entries.groupBy(F.col("entity").alias("k_entity")).agg(F.min("context").alias("k1"), F.max("context").alias("k2")).where("k1 <> k2").select("k_entity")
+    held = entries.join(known, F.col("entity") == F.col("k_entity"), "left_semi")
+    words = found.where("size(entities) > 0").select(F.col("row_id").alias("w_row_id"), "terms")
+    return held.join(words, F.col("row_id") == F.col("w_row_id")).select("row_id", "context", "entity", "wide", F.explode("terms").alias("term"))
+
+
 def disclosing_pairs(docs: DataFrame, found: DataFrame) -> DataFrame:
     """entity, term, n_pair, n_entity, n_wide, n_term, disclosure, action ('generalise' or 'remove')."""
     total = found.count()
-    entries = found.select("row_id", F.explode("entities").alias("e")).select("row_id", "e.*")
-    near = entries.select("entity", "wide", "context", F.explode(F.array_distinct(F.expr("transform(terms, t -> t.term)"))).alias("term"))
-    pairs = near.groupBy("entity", "wide", "term").agg(F.count("*").alias("n_pair"), F.min("context").alias("c1"), F.max("context").alias("c2"))
-    pairs = durable(pairs.where("c1 <> c2").drop("c1", "c2"))
+    entries = _entries(found)
+    pairs = _near(found).groupBy("entity", "wide", "term").agg(F.count("*").alias("n_pair"), F.min("context").alias("c1"), F.max("context").alias("c2"))
+    pairs = pairs.where("c1 <> c2").drop("c1", "c2")
     n_entity = entries.groupBy(F.col("entity").alias("e_entity")).agg(F.count("*").alias("n_entity"))
     wides = found.select(F.explode(F.array_distinct(F.expr("transform(entities, e -> e.wide)"))).alias("w_wide")).groupBy("w_wide").agg(F.count("*").alias("n_wide"))
+    # a term stands in at least the rows with entities that hold it: what fails with that few fails with all
+    least = found.select(F.explode("terms").alias("l_term")).groupBy("l_term").agg(F.count("*").alias("n_least"))
+    pairs = pairs.join(n_entity, F.col("entity") == F.col("e_entity")).join(wides, F.col("wide") == F.col("w_wide")).join(least, F.col("term") == F.col("l_term"))
+    pairs = durable(pairs.where("n_pair * n_wide >= n_entity * n_least * (1 - 1e-6D)").select("entity", "term", "n_pair", "n_entity", "n_wide"))
     candidates = durable(pairs.select(F.col("term").alias("c_term")).distinct())
     texts = docs.select("text")
     if candidates.count() <= BROADCAST_TERMS:
@@ -218,7 +251,7 @@ def disclosing_pairs(docs: DataFrame, found: DataFrame) -> DataFrame:
     else:
         counted = texts.mapInArrow(_counter(lambda: None), "term long, n long").join(candidates, F.col("term") == F.col("c_term"), "left_semi")
     n_term = counted.groupBy(F.col("term").alias("t_term")).agg(F.sum("n").alias("n_term"))
-    rated = pairs.join(n_entity, F.col("entity") == F.col("e_entity")).join(wides, F.col("wide") == F.col("w_wide")).join(n_term, F.col("term") == F.col("t_term"))
+    rated = pairs.join(n_term, F.col("term") == F.col("t_term"))
     log2 = lambda c: F.ln(c) / math.log(2)
     rated = rated.withColumn("disclosure", log2(F.col("n_pair") * float(max(1, total)) / (F.col("n_entity").cast("double") * F.col("n_term"))))
     rated = rated.withColumn("of_wide", log2(float(max(1, total)) / F.col("n_wide"))).withColumn("of_entity", log2(float(max(1, total)) / F.col("n_entity")))
@@ -237,13 +270,41 @@ def protect(docs: DataFrame) -> DataFrame:
     return _protected(docs).drop("text_hash")
 
 
+def _sized(frame: DataFrame, weight: str = "1") -> DataFrame:
+    """Checkpointed, and marked for broadcast if it is small."""
+    frame = durable(frame)
+    return F.broadcast(frame) if (frame.selectExpr(f"sum({weight})").first()[0] or 0) <= BROADCAST_PAIRS else frame
+
+
+_PLACED = "p_hash long, terms array<struct<start: int, end: int, action: string>>"
+
+
+def _placer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All places of each text's marked terms that no base span touches."""
+    place = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("action", pa.string())])
+    for batch in batches:
+        for lo in range(0, max(1, batch.num_rows), 512):
+            part = batch.slice(lo, 512)
+            rows = []
+            for text, marks in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                actions = {m["term"]: m["action"] for m in marks}
+                found = list(_TOKEN.finditer(_free(text, base_spans(text))))
+                numbers = _term_numbers([m[0] for m in found]).tolist()
+                rows.append([{"start": m.start(), "end": m.end(), "action": actions[w]} for m, w in zip(found, numbers) if w in actions])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.list_(place))], names=["p_hash", "terms"])
+
+
 def _protected(docs: DataFrame) -> DataFrame:
     found = find(docs)
-    flagged = durable(disclosing_pairs(docs, found).select(F.col("entity").alias("f_entity"), F.col("term").alias("f_term"), "action"))
-    places = durable(found.select("row_id", F.explode("entities").alias("e")).select("row_id", "e.entity", F.explode("e.terms").alias("t")).select("row_id", "entity", "t.*"))
-    hits = places.join(flagged, (F.col("entity") == F.col("f_entity")) & (F.col("term") == F.col("f_term")))
-    added = hits.groupBy("row_id", "start", "end").agg(F.max("action").alias("action"))
-    added = added.groupBy(F.col("row_id").alias("a_row_id")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))
+    flagged = _sized(disclosing_pairs(docs, found).select(F.col("entity").alias("f_entity"), F.col("term").alias("f_term"), "action"))
+    hits = _near(found).join(flagged, (F.col("entity") == F.col("f_entity")) & (F.col("term") == F.col("f_term")))
+    marks = hits.groupBy("row_id", "term").agg(F.max("action").alias("action"))
+    marks = marks.groupBy(F.col("row_id").alias("m_row_id")).agg(F.collect_list(F.struct("term", "action")).alias("marks"))
+    marked = durable(found.select("row_id", "text_hash").join(marks, F.col("row_id") == F.col("m_row_id")).select("row_id", "text_hash", "marks"))
+    sought = _sized(marked.select(F.col("text_hash").alias("s_hash"), "marks").dropDuplicates(["s_hash"]), "size(marks)")
+    texts = docs.select("text", F.xxhash64("text").alias("h")).join(sought, F.col("h") == F.col("s_hash"))
+    placed = texts.select("h", "text", "marks").mapInArrow(_placer, _PLACED).dropDuplicates(["p_hash"])
+    added = marked.join(placed, F.col("text_hash") == F.col("p_hash")).select(F.col("row_id").alias("a_row_id"), "terms")
     rows = found.select("row_id", "doc_id", "text_hash", "counts", "base").join(added, F.col("row_id") == F.col("a_row_id"), "left")
     names = ", ".join(f"'{k}'" for k in (*KINDS, TERM))
     written = lambda c: f"array_join(transform(array_sort({c}), s -> concat(element_at(array({names}), s.kind + 1), ':', s.start, ':', s.end)), ',')"

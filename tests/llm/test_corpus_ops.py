@@ -239,6 +239,21 @@ def test_terms_that_disclose(spark, broadcast, monkeypatch):
     assert all(not got[200 + i].terms for i in range(4))  # one context, however often it is copied
 
 
+@pytest.mark.parametrize("broadcast", [10**6, 0])
+def test_terms_far_from_the_address(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(pii_disclosure, "BROADCAST_PAIRS", broadcast)
+    filler = "the report was read and filed as usual by the office and nobody had a word to say about it. "
+    rows = [(i, f"é Zaphod, topic{i}: {filler * 3} Sent by Bo 4711 zb@galaxy.example. {filler * 2} ZAPHOD 4711 Bo") for i in range(3)]
+    rows += [(10 + i, f"{filler} s{i}@galaxy.example Sent") for i in range(10)]
+    rows += [(100 + i, f"{filler} f{i} Sent by") for i in range(60)]
+    got = {r.doc_id: r for r in pii_disclosure.protect(spark.createDataFrame([*rows, rows[0]], "doc_id long, text string")).collect()}
+    for i, text in rows[:3]:
+        marked = [(text[t.start : t.end], t.action) for t in got[i].terms]
+        assert [w for w, action in marked if action == "remove"] == ["é", "Zaphod", "Bo", "4711", "ZAPHOD", "4711", "Bo"]
+        assert not {"report", "office", "Sent", f"topic{i}"} & {w for w, _ in marked}
+    assert all(not got[i].terms for i, _ in rows[3:])
+
+
 # --- operator 10
 
 
