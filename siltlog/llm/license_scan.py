@@ -3,8 +3,9 @@
 A template's words are aligned with the words of a window of the text: words that occur once in both are
 anchors, the longest increasing run of them is kept, and the gaps between are aligned the same way; a gap
 without anchors takes a longest common subsequence. The aligned share of the template is its coverage.
-Windows of twice the template's length overlap by half, so any passage no longer than a template lies in
-one. A window is aligned only if it holds enough of the template's different words to reach the coverage,
+A window starts at each word of the template in the text and is as long as the longest passage the density
+allows, so any passage starts one; aligned words that stray from the passage are trimmed at both ends.
+A window is aligned only if it holds enough of the template's different words to reach the coverage,
 which leaves nothing out. Each document is read once, where it is.
 """
 
@@ -136,8 +137,7 @@ class _Templates:
         self.bits = np.zeros(1 << 16, dtype=bool)
         self.bits[(self.vocabulary & np.uint64(0xFFFF)).astype(np.int64)] = True
         self.sets = [set(t) for t in self.words]
-        #: so many different words of a template are in any window that can reach the coverage
-        self.least = [max(1, len(s) - int((1 - coverage) * len(t) + 1e-9)) for s, t in zip(self.sets, self.words)]
+        self.least = [_least(t, coverage) for t in self.words]
         self.grid = np.zeros((len(self.vocabulary), len(self.names)), dtype=np.float32)
         for k, s in enumerate(self.sets):
             self.grid[np.searchsorted(self.vocabulary, np.array(sorted(s), dtype=np.uint64)), k] = 1
@@ -150,23 +150,47 @@ class _Templates:
         return maybe[same], at[same]
 
 
+def _least(template: list[int], coverage: float) -> int:
+    """So many different words of a template are in any window that can reach the coverage."""
+    return max(1, len(set(template)) - int((1 - coverage) * len(template) + 1e-9))
+
+
+def _reach(n: int, density: float) -> int:
+    """The words of the longest passage of a template of n words."""
+    return max(n, int(n / density + 1e-9))
+
+
+def _trim(places: list[int], least: float, density: float) -> tuple[int, int, int] | None:
+    """(aligned words, first place, place after the last) of the run with most places, and of those the shortest, that is dense."""
+    for size in range(len(places), 0, -1):
+        if size < least - 1e-9:
+            return None
+        span, x = min((places[x + size - 1] - places[x] + 1, x) for x in range(len(places) - size + 1))
+        if size >= density * span - 1e-9:
+            return size, places[x], places[x + size - 1] + 1
+    return None
+
+
 def matches(words: list[int], template: list[int], coverage: float, density: float, windows: Iterator[int] | range) -> list[tuple[float, int, int, int]]:
     """(coverage, first word, word after the last, aligned words) of the template's passages, without overlaps.
 
-    Windows are numbered; window k has the words from k * n to (k + 2) * n for a template of n words.
+    Starts are numbered by template lengths: number k has the windows that start in words k * n to (k + 1) * n
+    for a template of n words. Of passages that overlap, the one with most aligned words stays, then the shortest.
     """
     n, found = len(template), []
+    held, least, reach = set(template), _least(template, coverage), _reach(len(template), density)
     for k in windows:
-        lo = k * n
-        pairs = align(template, words[lo : lo + 2 * n])
-        if not pairs or len(pairs) < coverage * n - 1e-9:
-            continue
-        places = [j for _, j in pairs]
-        span = places[-1] - places[0] + 1
-        if len(pairs) >= density * span:
-            found.append((len(pairs) / n, lo + places[0], lo + places[-1] + 1, len(pairs)))
+        for lo in range(k * n, min((k + 1) * n, len(words))):
+            if words[lo] not in held:
+                continue
+            window = words[lo : lo + reach]
+            if len(held.intersection(window)) < least:
+                continue
+            run = _trim([j for _, j in align(template, window)], coverage * n, density)
+            if run:
+                found.append((run[0] / n, lo + run[1], lo + run[2], run[0]))
     out: list[tuple[float, int, int, int]] = []
-    for m in sorted(set(found), key=lambda m: (-m[3], m[1], m[2])):
+    for m in sorted(set(found), key=lambda m: (-m[3], m[2] - m[1], m[1])):
         if all(m[2] <= x[1] or m[1] >= x[2] for x in out):
             out.append(m)
     return sorted(out, key=lambda m: m[1])
@@ -190,12 +214,12 @@ def _scanner(templates: Mapping[str, str], coverage: float, density: float) -> C
                 for doc, t in zip(*np.nonzero(counts >= np.array(known.least))):
                     a, b = np.searchsorted(owner, doc), np.searchsorted(owner, doc, side="right")
                     n = len(known.words[t])
+                    reach = _reach(n, density)
                     held: dict[int, set[int]] = {}
                     for p, w in zip((places[a:b] - first[doc]).tolist(), numbers[a:b].tolist()):
                         if known.grid[w, t]:
-                            held.setdefault(p // n, set()).add(w)
-                            if p >= n:
-                                held.setdefault(p // n - 1, set()).add(w)
+                            for k in range(max(0, (p - reach + 1) // n), p // n + 1):
+                                held.setdefault(k, set()).add(w)
                     windows = sorted(k for k, s in held.items() if len(s) >= known.least[t])
                     found = matches(hashes[first[doc] : first[doc + 1]].tolist(), known.words[t], coverage, density, windows) if windows else []
                     if found:

@@ -89,6 +89,30 @@ def test_license_scan_equals_every_window(spark, sf, edge_documents):
     assert license_scan.scan(edge_documents).count() == 0 == license_scan.scan(edge_documents.limit(0)).count()
 
 
+def test_licenses_at_every_offset(spark):
+    stray = "please note that this page was last edited by our team in may"
+    rows, want = [], {}
+    for name, template in license_scan.TEMPLATES.items():
+        n = len(license_scan._hashes(template))
+        first = re.findall("[A-Za-z0-9]+", template)[0]
+        for k in range(2 * n + 1):
+            for before in (f"{'pad ' * k}{stray} ", f"{'pad ' * max(0, k - n // 2 - 1)}{first} {'pad ' * (n // 2)}"):
+                start = len(before.split())
+                rows.append((len(rows), f"{before}{template} {first} more {first} words"))
+                want[rows[-1][0], name] = (1.0, start, start + n, n)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.license): (r.coverage, r.start_word, r.end_word, r.aligned_words) for r in license_scan.scan(docs).collect()}
+    assert {k: got.get(k) for k in want} == want
+
+
+def test_licenses_with_inserted_words_at_every_offset():
+    t = list(range(40))
+    passage = [w for k in range(40) for w in ([k, 100 + k] if k % 4 == 1 else [k])]
+    for k in range(81):
+        words = [-1] * k + passage + [-2] * 9
+        assert license_scan.matches(words, t, 0.8, 0.75, range(len(words) // 40 + 1)) == [(1.0, k, k + 50, 40)]
+
+
 # --- operator 4
 
 
