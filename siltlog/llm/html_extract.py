@@ -3,7 +3,9 @@
 A page is read into a light element tree. Paragraphs pass points (one, plus one per comma, plus up to three
 for length, times one minus their link density) to their ancestors, whole to the nearest and less to farther
 ones; elements that mark an article start with a bonus. The best container is taken, widened to the article
-element around it, with the siblings that score well beside it. Boilerplate inside it is left out.
+element around it, with the siblings that score well beside it. Without an article element it is widened to
+what holds all containers with a good share of its points, and every block beside them stays that is mostly
+no links, however short. Boilerplate inside it is left out.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ _MODIFIER = re.compile(r"(?:has|no|not|with|without|show|hide|is|layout)[-_]")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
+_TABLE_PARTS = frozenset(("tr", "thead", "tbody", "tfoot"))
 _CELLS = frozenset(("td", "th", "br", "option"))
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("ul ol dl table article section div body html main td th".split())
@@ -43,8 +46,10 @@ _ARTICLE_TITLES = frozenset("article entry post story".split())
 _ARTICLE_WORDS = frozenset("article content entry main post story text body blog hentry".split())
 _START_POINTS = {"article": 25.0, "main": 25.0, "div": 5.0, "section": 5.0, "blockquote": 3.0, "pre": 3.0, "td": 3.0, "form": -3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "li": -3.0, "address": -3.0}
 _PARAGRAPHS = frozenset("p pre blockquote li dd dt figcaption tr h1 h2 h3 h4 h5 h6".split())
-#: A sibling of the best container is kept from this share of its score on.
+#: A sibling of the best container is kept from this share of its score on; without an article element, the text is widened to containers from this share of its points on.
 SIBLING_SHARE = 0.2
+#: From this share of linked characters on, a block beside the best container is a list of links.
+LINK_SHARE = 0.25
 
 
 class _Node:
@@ -159,7 +164,7 @@ def extract(source: str) -> str:
         protected = node.tag in ("html", "body", "main") or node.holds or (node.tag == "article" and node.words.isdisjoint(("comment", "comments", "reply", "ad", "ads", "advert", "sponsored", "promo", "related")))
         node.drop = up.drop or (flagged and not protected)
 
-    blocks: list[tuple[_Node, str]] = []
+    blocks: list[tuple[_Node, str, int]] = []
     parts: list[str] = []
     linked, first = 0, None
 
@@ -168,7 +173,7 @@ def extract(source: str) -> str:
         if first is not None:
             text = " ".join(html_module.unescape("".join(parts)).split())
             if text:
-                blocks.append((first, text))
+                blocks.append((first, text, linked))
                 _pass_points(first, text, linked)
         parts.clear()
         linked, first = 0, None
@@ -190,10 +195,11 @@ def extract(source: str) -> str:
     if not blocks:
         return ""
 
-    best, top = None, float("-inf")
+    best, top, points = None, float("-inf"), [0.0] * len(nodes)
     for node in nodes:
         if node.drop or (not node.chars and node.tag not in ("article", "main")):
             continue
+        points[node.at] = node.score * (1.0 - node.linked / node.chars if node.chars else 1.0)
         start = _START_POINTS.get(node.tag, 0.0) + (25.0 if not _ARTICLE_WORDS.isdisjoint(node.words) else 0.0)
         node.score = (node.score + start) * (1.0 - node.linked / node.chars if node.chars else 1.0)
         if node.score > top and (node.tag in _BLOCK or node.tag in _CELLS or node is root):
@@ -208,18 +214,51 @@ def extract(source: str) -> str:
                 break
         up = up.parent
     kept = [best]
-    if best.parent is not None and best.tag != "body":
+    home = None
+    if best.parent is not None and best.tag not in ("article", "main", "body"):
+        home = _widen(best, nodes, points, kept)
+    elif best.parent is not None and best.tag != "body":
         for node in nodes[best.parent.at + 1 : best.parent.end]:
             if node.parent is best.parent and node is not best and not node.drop:
                 density = node.linked / node.chars if node.chars else 1.0
                 if node.tag == "p":
-                    good = density < 0.25 and node.chars > 80
+                    good = density < LINK_SHARE and node.chars > 80
                 else:
-                    good = node.tag in _BLOCK and node.chars and density < 0.25 and node.score >= max(10.0, SIBLING_SHARE * top) and (node.tag == best.tag or best.tag not in ("article", "main"))
+                    good = node.tag in _BLOCK and node.chars and density < LINK_SHARE and node.score >= max(10.0, SIBLING_SHARE * top) and node.tag == best.tag
                 if good:
                     kept.append(node)
     spans = [(k.at, k.end) for k in kept]
-    return "\n".join(text for node, text in blocks if any(a <= node.at < b for a, b in spans))
+    return "\n".join(text for node, text, linked in blocks if any(a <= node.at < b for a, b in spans) or (home is not None and _beside(node, home, linked / len(text))))
+
+
+def _listed(node: _Node) -> bool:
+    return node.tag in _BLOCK and node.chars > 0 and node.linked >= LINK_SHARE * node.chars
+
+
+def _widen(best: _Node, nodes: list[_Node], points: list[float], kept: list[_Node]) -> _Node:
+    """The least element around the best container and all others near it in points, which are added to ``kept``."""
+    home = best.parent
+    for node in nodes[1:]:
+        if node.at <= best.at < node.end or best.at <= node.at < best.end or kept[-1].at <= node.at < kept[-1].end:
+            continue
+        if node.tag in _BLOCK and node.chars and not node.drop and not _listed(node) and points[node.at] >= SIBLING_SHARE * points[best.at]:
+            kept.append(node)
+            while not home.at < node.at < home.end:
+                home = home.parent
+    while home.tag in _TABLE_PARTS and home.parent is not None:  # rows and cells beside it are beside the text
+        home = home.parent
+    return home
+
+
+def _beside(node: _Node, home: _Node, density: float) -> bool:
+    """Whether a block lies in ``home`` and neither it nor an element around it there is a list of links."""
+    if density >= LINK_SHARE or not home.at <= node.at < home.end:
+        return False
+    while node is not home:
+        if _listed(node):
+            return False
+        node = node.parent
+    return True
 
 
 def _pass_points(node: _Node, text: str, linked: int) -> None:

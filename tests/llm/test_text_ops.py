@@ -90,6 +90,23 @@ def test_extract(source, text):
     assert html_extract.extract(source) == text
 
 
+LONG = "Long, plain, article, text, with, commas, that goes on well beyond eighty characters, so that it scores, and stays."
+LINKS = "<div><a href=1>Home</a> <a href=2>News</a></div>"
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        (f"<body>{LINKS}<div>{'<div class=row><div class=col><p>%s<p>%s</div></div>' % (LONG, LONG) * 2}{LINKS}</div><div>Legal</div></body>", "\n".join([LONG] * 4)),
+        (f"<body><div><h2>Head</h2><div><p>{LONG}<p>{LONG}</div><p>Short end.</p>{LINKS}<div>Box</div>bare <b>text</b></div>", f"Head\n{LONG}\n{LONG}\nShort end.\nBox\nbare text"),
+        (f"<body><div><section><div><p>{LONG}<p>{LONG}</div></section><section><p>{LONG}</section><section><p>Short.</section><nav><p>{LONG}</nav></div>", f"{LONG}\n{LONG}\n{LONG}\nShort."),
+        (f"<table><tr><td><p>{LONG}<p>{LONG}<td><p>{LONG}<tr><td>End.</table>", f"{LONG}\n{LONG}\n{LONG}\nEnd."),
+    ],
+)
+def test_extract_without_article(source, text):
+    assert html_extract.extract(source) == text
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div>", "</div>", "<article>", "</article>", "<li>", "<td>", "<a href='", "'>", "x, y", "&amp;", "<", ">", "<!--", "-->", "<script>", "</script>", "<br/>", '"']), max_size=25))
 def test_extract_takes_any_markup(parts):
