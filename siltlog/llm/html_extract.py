@@ -5,7 +5,9 @@ for length, times one minus their link density) to their ancestors, whole to the
 ones; elements that mark an article start with a bonus. The best container is taken, widened to the article
 element around it, with the siblings that score well beside it. Without an article element it is widened to
 what holds all containers with a good share of its points, and every block beside them stays that is mostly
-no links, however short. Boilerplate inside it is left out.
+no links, however short. Boilerplate inside it is left out: by element kind, role, hiding, and by name where
+the name does not cover the bulk of the page. A page is read with one cursor and a tree of bounded depth, so
+time grows with its length whatever its markup.
 """
 
 from __future__ import annotations
@@ -17,8 +19,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']*(?:\"[^\"]*\"|'[^']*'))*[^>\"']*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_MARKS = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_PLAIN = re.compile(r"[^>\"']*")
+#: Deeper elements are read as part of the one at this depth, as browsers do; none of their text is lost.
+MAX_DEPTH = 128
+_MARKS = re.compile(r"""(?<![\w-])(class|id|role|style|aria-hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_HIDDEN_MARK = re.compile(r"(?:^|[\s\"'/])hidden(?=$|[\s/=])", re.I)
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 _WORD = re.compile(r"[a-z0-9]+")
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: Names that tell what a layout has around it, not what the element is.
@@ -37,9 +45,10 @@ _BOILERPLATE_TAGS = frozenset("nav footer aside form button select dialog menu s
 _BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 _BOILERPLATE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion promoted sidebar sidebars rail nav navbar navigation menu menus breadcrumb breadcrumbs "
-    "footer masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription social share sharing related recommended recommendations comment comments "
-    "commentlist disqus respond reply replies discussion pagination pager widget widgets toolbar skip login signup banner alert".split()
+    "footer masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription social share sharing related recommended recommendations "
+    "pagination pager widget widgets toolbar skip login signup banner alert".split()
 )
+_COMMENT_WORDS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
 _PAGE_HEADER_WORDS = frozenset(("header", "topbar"))
 #: A header of one of these belongs to the article.
 _ARTICLE_TITLES = frozenset("article entry post story".split())
@@ -53,23 +62,29 @@ LINK_SHARE = 0.25
 
 
 class _Node:
-    __slots__ = ("at", "chars", "commas", "drop", "end", "holds", "linked", "parent", "score", "tag", "words")
+    __slots__ = ("at", "chars", "drop", "end", "holds", "linked", "parent", "score", "suspect", "tag", "words")
 
     def __init__(self, tag: str, parent: _Node | None, at: int) -> None:
         self.tag, self.parent, self.at, self.end = tag, parent, at, -1
-        self.score = self.chars = self.linked = self.commas = 0
+        self.score = self.chars = self.linked = 0
         self.drop = self.holds = False
+        self.suspect: _Node | None = None
         self.words: frozenset[str] = frozenset()
 
 
 def _attributes(node: _Node, source: str) -> None:
-    """Reads class, id and role; marks what may be boilerplate."""
+    """Reads class, id and role; marks what is hidden or bears a boilerplate role."""
     words: set[str] = set()
+    if "hidden" in source.lower() and _HIDDEN_MARK.search(_QUOTED.sub('""', source)):
+        node.drop = True
     for name, a, b, c in _MARKS.findall(source):
-        value = a or b or c
-        if name.lower() == "role":
+        value, name = a or b or c, name.lower()
+        if name == "role":
             node.drop = node.drop or not _BOILERPLATE_ROLES.isdisjoint(_WORD.findall(value.lower()))
             continue
+        if name in ("style", "aria-hidden"):
+            node.drop = node.drop or (value.strip().lower() == "true" if name == "aria-hidden" else bool(_HIDDEN.search(value)))
+            continue
         for part in value.split():
             if not _MODIFIER.match(part.lower()):
                 words.update(_WORD.findall(part.lower()))
@@ -77,11 +92,53 @@ def _attributes(node: _Node, source: str) -> None:
     node.words = frozenset(words)
 
 
+class _Tags:
+    """Finds tags with one cursor: no part of a page is read twice, whatever its markup lacks."""
+
+    def __init__(self, source: str) -> None:
+        self.source = source
+        self.last = {c: source.rfind(c) for c in "<>\"'"}
+
+    def _end(self, at: int) -> int:
+        """The place of the '>' that ends a tag whose attributes start here; quotes that never close are letters."""
+        source, start = self.source, at
+        while True:
+            at = _PLAIN.match(source, at).end()
+            if at >= len(source):
+                return source.find(">", start)
+            c = source[at]
+            if c == ">":
+                return at
+            if at >= self.last[c]:
+                return source.find(">", start)
+            at = source.find(c, at + 1) + 1
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, whether it closes, name or nothing, attributes) of the first tag, comment or such from here on."""
+        source = self.source
+        while at <= self.last["<"]:
+            start = source.find("<", at)
+            if source.startswith("<!--", start):
+                end = source.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else len(source), False, "", ""
+            if start > self.last[">"]:
+                return None
+            if source.startswith(("<!", "<?"), start):
+                return start, source.find(">", start) + 1, False, "", ""
+            m = _OPEN.match(source, start)
+            if m:
+                end = self._end(m.end())
+                return start, end + 1, bool(m[1]), m[2].lower(), source[m.end() : end]
+            at = start + 1
+        return None
+
+
 def extract(source: str) -> str:
     """The main text: blocks with single spaces, joined by one newline; empty if there is none."""
     root = _Node("#root", None, 0)
     stack, nodes, pieces = [root], [root], []  # pieces: (node, text) in page order; a None text ends a block
-    position, find, n = 0, _TOKEN.search, len(source)
+    position, tags, n = 0, _Tags(source), len(source)
+    flat: dict[str, int] = {}  # open elements too deep for the tree
 
     def close(k: int) -> None:
         for node in stack[k:]:
@@ -93,18 +150,22 @@ def extract(source: str) -> str:
         del stack[k:]
 
     while position < n:
-        m = find(source, position)
+        m = tags.next(position)
         if m is None:
             pieces.append((stack[-1], source[position:]))
             break
-        if m.start() > position:
-            pieces.append((stack[-1], source[position : m.start()]))
-        position = m.end()
-        slash, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        start, end, slash, tag, attributes = m
+        if start > position:
+            pieces.append((stack[-1], source[position:start]))
+        position = end
         if not tag:
             continue
-        tag = tag.lower()
         if slash:
+            if flat.get(tag):
+                flat[tag] -= 1
+                if tag in _BLOCK:
+                    pieces.append((stack[-1], None))
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     close(k)
@@ -116,8 +177,9 @@ def extract(source: str) -> str:
             continue
         if tag in _RAW:
             if not attributes.endswith("/") or tag in ("script", "style", "textarea", "title"):
-                end = re.compile(f"</{tag}[^>]*>", re.I).search(source, position)
-                position = end.end() if end else n
+                end = re.compile(f"</{tag}", re.I).search(source, position)
+                close_at = source.find(">", end.end()) if end else -1
+                position = close_at + 1 if close_at >= 0 else n
             continue
         if tag in _BLOCK:
             for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
@@ -138,6 +200,9 @@ def extract(source: str) -> str:
             continue
         if tag in _BLOCK:
             pieces.append((stack[-1], None))
+        if len(stack) > MAX_DEPTH:
+            flat[tag] = flat.get(tag, 0) + 1
+            continue
         node = _Node(tag, stack[-1], len(nodes))
         if attributes:
             _attributes(node, attributes)
@@ -148,22 +213,38 @@ def extract(source: str) -> str:
             node.end = len(nodes)
     close(0)
 
+    _mark_boilerplate(nodes)
+    return _main_text(nodes, _blocks(pieces))
+
+
+def _mark_boilerplate(nodes: list[_Node]) -> None:
+    """Sets ``drop`` below elements that are boilerplate by kind, and ``suspect`` below those whose names say so."""
     for node in nodes[1:]:
-        if node.tag in ("article", "main") and not (node.words & {"comment", "comments", "reply"}):
+        if node.tag in ("article", "main") and _COMMENT_WORDS.isdisjoint(node.words):
             up = node.parent
             while up is not None and not up.holds:
                 up.holds = True
                 up = up.parent
-    inside_article: list[bool] = [False] * len(nodes)
+    inside_article = [False] * len(nodes)
     for node in nodes[1:]:
         up = node.parent
         inside_article[node.at] = inside_article[up.at] or up.tag in ("article", "main")
-        flagged = node.drop or node.tag in _BOILERPLATE_TAGS or not _BOILERPLATE_WORDS.isdisjoint(node.words)
+        flagged = node.tag in _BOILERPLATE_TAGS or not _COMMENT_WORDS.isdisjoint(node.words)
+        named = not _BOILERPLATE_WORDS.isdisjoint(node.words)
         if node.tag == "header" or not _PAGE_HEADER_WORDS.isdisjoint(node.words):
-            flagged = flagged or not (inside_article[node.at] or not _ARTICLE_TITLES.isdisjoint(node.words))
+            if not (inside_article[node.at] or not _ARTICLE_TITLES.isdisjoint(node.words)):
+                flagged, named = flagged or node.tag == "header", True
         protected = node.tag in ("html", "body", "main") or node.holds or (node.tag == "article" and node.words.isdisjoint(("comment", "comments", "reply", "ad", "ads", "advert", "sponsored", "promo", "related")))
-        node.drop = up.drop or (flagged and not protected)
+        node.drop = up.drop or (node.drop and node.tag not in ("html", "body")) or (flagged and not protected)
+        node.suspect = up.suspect or (node if named and not protected else None)
+
+
+def _blocks(pieces: list[tuple[_Node, str | None]]) -> list[tuple[_Node, str, int]]:
+    """(element, text, linked characters) of each block outside of what is dropped.
 
+    Elements that are boilerplate by name alone are dropped too, but for one that holds more text that is no link
+    than all that is beside such elements: the bulk of a page is not its boilerplate, whatever it is called.
+    """
     blocks: list[tuple[_Node, str, int]] = []
     parts: list[str] = []
     linked, first = 0, None
@@ -174,7 +255,6 @@ def extract(source: str) -> str:
             text = " ".join(html_module.unescape("".join(parts)).split())
             if text:
                 blocks.append((first, text, linked))
-                _pass_points(first, text, linked)
         parts.clear()
         linked, first = 0, None
 
@@ -192,9 +272,24 @@ def extract(source: str) -> str:
                     break
                 up = up.parent
     flush()
+    plain, bulk = 0, {}
+    for node, text, linked in blocks:
+        if linked < LINK_SHARE * len(text):
+            if node.suspect is None:
+                plain += len(text)
+            else:
+                bulk[node.suspect] = bulk.get(node.suspect, 0) + len(text)
+    kept = {node for node, size in bulk.items() if size > plain}
+    return [b for b in blocks if b[0].suspect is None or b[0].suspect in kept]
+
+
+def _main_text(nodes: list[_Node], blocks: list[tuple[_Node, str, int]]) -> str:
+    """The text of the best container and of what belongs beside it."""
+    for block in blocks:
+        _pass_points(*block)
     if not blocks:
         return ""
-
+    root = nodes[0]
     best, top, points = None, float("-inf"), [0.0] * len(nodes)
     for node in nodes:
         if node.drop or (not node.chars and node.tag not in ("article", "main")):
@@ -224,11 +319,17 @@ def extract(source: str) -> str:
                 if node.tag == "p":
                     good = density < LINK_SHARE and node.chars > 80
                 else:
-                    good = node.tag in _BLOCK and node.chars and density < LINK_SHARE and node.score >= max(10.0, SIBLING_SHARE * top) and node.tag == best.tag
+                    # another article is a teaser, or another text
+                    good = node.tag in _BLOCK and node.tag != "article" and node.chars and density < LINK_SHARE and node.score >= max(10.0, SIBLING_SHARE * top) and node.tag == best.tag
                 if good:
                     kept.append(node)
-    spans = [(k.at, k.end) for k in kept]
-    return "\n".join(text for node, text, linked in blocks if any(a <= node.at < b for a, b in spans) or (home is not None and _beside(node, home, linked / len(text))))
+    inside = bytearray(len(nodes) + 1)
+    reach = 0
+    for k in sorted(kept, key=lambda k: k.at):
+        for at in range(max(k.at, reach), k.end):
+            inside[at] = 1
+        reach = max(reach, k.end)
+    return "\n".join(text for node, text, linked in blocks if inside[node.at] or (home is not None and _beside(node, home, linked / len(text))))
 
 
 def _listed(node: _Node) -> bool:
@@ -296,6 +397,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every page; one task reads one page at a time, nothing is shuffled.
 
     A null or empty page, and one without a main text, gives an empty text. Cut-off markup ends where the
-    page ends. Repeated rows give repeated rows, an empty table none; extra columns are ignored.
+    page ends. Very long and broken pages take time in proportion to their length. Repeated rows give repeated
+    rows, an empty table none; extra columns are ignored.
     """
     return pages.select("page_id", "url", "html").mapInArrow(_extract_batches, "page_id long, url string, text string, n_chars long")

@@ -107,6 +107,38 @@ def test_extract_without_article(source, text):
     assert html_extract.extract(source) == text
 
 
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        (f"<div class=content><div class=share-story><p>{LONG}<p>{LONG}</div></div>", f"{LONG}\n{LONG}"),
+        (f"<section class=social-policy><p>{LONG}</section>", LONG),
+        (f"<div class=content><p>{LONG}<p>{LONG}<div class=share-story><p>{LONG}</div></div>", f"{LONG}\n{LONG}"),
+        (f"<article><p>{LONG}<p hidden>{LONG}<div style='color:red; display: none'>{LONG}</div><p data-hidden=1 title='a hidden b'>Shown.<p aria-hidden=true>x</article>", f"{LONG}\nShown."),
+        (f"<main><article><h2>Teaser</h2><p>{LONG}</article><article><h1>Text</h1><p>{LONG}<p>{LONG}<p>{LONG}</article></main>", f"Text\n{LONG}\n{LONG}\n{LONG}"),
+        (f"<div id=x><p>{LONG}<p>{LONG}</div><div id=y>Last short paragraph.</div>", f"{LONG}\n{LONG}\nLast short paragraph."),
+        (f"<p>{LONG}<p title='it's'>Odd \" quote.<p>End.", f"{LONG}\nOdd \" quote.\nEnd."),
+        (f"{'<div>' * 2000}{LONG}<p>End.{'</div>' * 2000}", f"{LONG}\nEnd."),
+    ],
+)
+def test_extract_by_score(source, text):
+    assert html_extract.extract(source) == text
+
+
+@pytest.mark.parametrize("part", ["<a ", "<div>", "<div><p>x, y", "<a \"", "<a '>", "</section>", "<i>", "<!-", "<script", "<p><table><i><h1>x</h1>", "<li>a", "x < y & z", "<td><tr>"])
+def test_extract_takes_time_in_proportion(part):
+    import time
+
+    for _ in range(3):  # other work may slow one of the runs
+        times = []
+        for size in (60_000, 960_000):
+            start = time.process_time()
+            html_extract.extract(part * (size // len(part)))
+            times.append(time.process_time() - start)
+        if times[1] < 32 * times[0] + 0.5:
+            break
+    assert times[1] < 32 * times[0] + 0.5 and times[1] < 60
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div>", "</div>", "<article>", "</article>", "<li>", "<td>", "<a href='", "'>", "x, y", "&amp;", "<", ">", "<!--", "-->", "<script>", "</script>", "<br/>", '"']), max_size=25))
 def test_extract_takes_any_markup(parts):
@@ -195,12 +227,27 @@ def test_chunks_are_shared_and_cover(spark):
     passage = "".join(rng.choice("abcdefgh ") for _ in range(20_000))
     docs = spark.createDataFrame([(1, "x" * 700 + passage), (2, "yz" * 900 + passage), (3, None)], "doc_id long, text string")
     chunks = exact_dedup.chunk_table(docs).collect()
-    assert sum(c.n_bytes * c.n_uses for c in chunks) == 700 + 1800 + 2 * len(passage)
+    assert sum(c.n_bytes * c.n_uses for c in chunks) == 700 + 1800 + 2 * len(passage) and {c.n_contents for c in chunks} == {1}
     assert sum(c.n_bytes for c in chunks) < 1.4 * len(passage) + 2500
     cuts = exact_dedup.chunk_cuts(__import__("numpy").array([600, 700, 5000]), 50_000)
     assert cuts[:2] == [600, 5000] and cuts[-1] == 50_000 and all(b - a <= exact_dedup.MAX_CHUNK for a, b in zip([0, *cuts], cuts))
 
 
+def test_equal_identifiers_of_different_chunks(spark):
+    """With identifiers of one byte many chunks share one: their contents tell them apart."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(rng.choice([0, 5, 900, 9000]))) for _ in range(150)]
+    rows = [(i, t if rng.random() < 0.5 else t.upper()) for i, t in enumerate(texts + texts[:60] + texts[:20])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    short = exact_dedup.chunk_table(docs, id_bytes=1)
+    assert short.where("n_contents > 1").count() > 20
+    want = {}
+    for i, t in rows:
+        want.setdefault(lower(t), []).append(i)
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(docs, id_bytes=1).collect()}
+    assert got == {i: (max(ids), len(ids)) for ids in want.values() for i in ids}
+
+
 # --- operator 7
 
 
@@ -228,20 +275,81 @@ def test_near_duplicates_equal_brute_force(spark, sf, width):
         assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (len(shingle_set(t, width)), want[i], want[i] == i)
 
 
-@pytest.mark.parametrize(("pivots", "few"), [(1, 10**6), (3, 0)])
-def test_near_duplicates_in_blocks(spark, monkeypatch, pivots, few):
+def shared_passage(seed: int, n: int, passage: int, rest: int) -> list[tuple[int, str]]:
+    """Documents with a passage in common and nothing else, every tenth with a near copy."""
+    rng = random.Random(seed)
+    common = " ".join(f"p{k}" for k in range(passage))
+    rows = []
+    for i in range(n):
+        own = [f"u{rng.randint(0, 10**6)}" for _ in range(rest)]
+        rows.append((len(rows), f"{common} {' '.join(own)}"))
+        if i % 10 == 0:
+            own[-1] = "other"
+            rows.append((len(rows), f"{common} {' '.join(own)}"))
+    return rows
+
+
+@pytest.mark.parametrize(("pivots", "few", "copies"), [(1, 10**6, 0.25), (3, 0, 0.25), (1, 10**6, 2.0)])
+def test_near_duplicates_in_long_lists(spark, monkeypatch, pivots, few, copies):
     from siltlog.llm import components, frames
 
-    monkeypatch.setattr(neardup, "BLOCK", 16)
     monkeypatch.setattr(neardup, "LONG", 12)
+    monkeypatch.setattr(neardup, "TILE", 5)
     monkeypatch.setattr(neardup, "PIVOTS", pivots)
+    monkeypatch.setattr(neardup, "COPIES", copies)
     monkeypatch.setattr(components, "FEW_EDGES", few)
     monkeypatch.setattr(frames, "BROADCAST_IDS", few)
-    rows = near_copies(7, 120, 60)
+    rows = near_copies(7, 120, 60) + [(1000 + i, t) for i, t in shared_passage(3, 90, 12, 30)]
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()}
     assert got == brute_components(rows, 4)
 
 
+def test_large_sets_make_short_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SET_BYTES", 8 * 60 * 20)
+    rows = near_copies(9, 90, 60)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()}
+    assert got == brute_components(rows, 4)
+
+
+@pytest.mark.parametrize("rows_of", [lambda n: shared_passage(5, n, 40, 60), lambda n: near_copies(6, n, 90)])
+def test_rows_grow_with_the_input(spark, monkeypatch, rows_of):
+    """Rows that meet in groups at most double with the input, in lists of many times ``LONG`` nodes too."""
+    counts, whole = [], neardup._Compared.links
+
+    def counted(self, groups):
+        counts[-1] += groups.count()
+        return whole(self, groups)
+
+    monkeypatch.setattr(neardup._Compared, "links", counted)
+    for n in (400, 800):
+        counts.append(0)
+        neardup.near_duplicates(spark.createDataFrame(rows_of(n), "doc_id long, text string"), 4).count()
+    assert counts[1] <= 2.2 * counts[0]
+
+
+def test_overlaps_are_exact():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, top, size)) for top, size in zip(rng.integers(1, 300, 90), rng.integers(0, 120, 90))]
+    for lo, hi, found in neardup._Overlaps(sets).tiles():
+        want = [[len(np.intersect1d(sets[i], s)) for s in sets] for i in range(lo, hi)]
+        assert all(found[i - lo, j] == want[i - lo][j] for i in range(lo, hi) for j in range(len(sets)) if i != j)
+
+
+def test_near_duplicates_without_ids(spark):
+    words = [f"w{k}" for k in range(60)]
+    near = " ".join([*words[:-1], "end"])
+    rows = [(None, " ".join(words)), (None, near), (None, near.upper()), (7, "quite other words that stand alone here"), (None, "quite other words that stand alone there now")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = neardup.near_duplicates(docs, 4).collect()
+    assert all(r.component_id is None and r.kept for r in got if r.doc_id is None) and len(got) == 5
+    assert Counter((r.text or "").split()[0] for r in neardup.distinct_documents(docs, 4).collect()) == Counter({"w0": 1, "quite": 2}) or Counter((r.text or "").split()[0] for r in neardup.distinct_documents(docs, 4).collect()) == Counter({"W0": 1, "quite": 2})
+    named = docs.union(spark.createDataFrame([(3, " ".join(["start", *words[1:]]))], "doc_id long, text string"))
+    got = neardup.near_duplicates(named, 4).collect()
+    assert Counter((r.component_id, r.kept) for r in got if r.doc_id is None) == Counter({(3, False): 3, (None, True): 1})
+
+
 @pytest.mark.parametrize("few", [0, 10**6])
 def test_components(spark, monkeypatch, few):
     from siltlog.llm import components
