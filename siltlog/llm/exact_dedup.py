@@ -2,16 +2,17 @@
 
 Each text is normalised (A-Z lower-cased, nothing else) and cut where a rolling hash of the last
 ``WINDOW`` bytes hits a mask, so equal passages give equal chunks wherever they stand. A chunk's identifier
-is the first 16 bytes of its SHA-256: the digest verifies the content, so two tasks give the same chunk the
-same identifier without meeting. A document's recipe is its ordered identifier list. Documents are equal if
-their recipes are, and the SHA-256 of the whole normalised text confirms it. Only recipes are shuffled; the
-texts, however long, never move.
+is the first bytes of its SHA-256, and it is verified: each task gives each of its distinct chunks once, they
+meet by identifier, and their contents are compared byte by byte. A document's recipe is its ordered
+identifier list; documents are equal if their recipes are. Where an identifier should stand for several
+contents, recipes spell those contents out instead. A distinct chunk moves once a task however many
+documents hold it, after that only recipes do.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,12 @@ CUT_BITS = 11
 MIN_CHUNK = 512
 MAX_CHUNK = 16384
 ID_BYTES = 16
+#: Bytes of chunks a task remembers, so that it gives them once.
+SEEN_BYTES = 32 << 20
+#: More identifiers than these that stand for several contents mean that ``ID_BYTES`` is too small for the table.
+MOST_DISPUTED = 100_000
 
-_RECIPES = "doc_id long, n_bytes long, text_sha256 string, recipe binary, cuts binary"
+_RECIPES = "doc_id long, n_bytes long, text_sha256 string, recipe binary"
 
 
 def _boundaries(data: np.ndarray) -> np.ndarray:
@@ -55,71 +60,110 @@ def chunk_cuts(allowed: np.ndarray, n: int) -> list[int]:
     return [*cuts, n]
 
 
-def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes, digests, recipes, cut_lists = [], [], [], []
-        for lo, hi, data, offsets in kernels.text_slices(batch.column(1)):
-            lowered = data.tobytes().lower()
-            allowed = _boundaries(np.frombuffer(lowered, dtype=np.uint8))
-            for k in range(hi - lo):
-                start, end = int(offsets[k]), int(offsets[k + 1])
-                text = lowered[start:end]
-                # a cut counts only if the whole window lies in this text
-                inside = allowed[np.searchsorted(allowed, start + WINDOW) : np.searchsorted(allowed, end)] - start
-                cuts = chunk_cuts(inside, len(text))
+def _chunks(texts: pa.Array) -> Iterator[tuple[bytes, list[int]]]:
+    """The normalised text of each row and the ends of its chunks."""
+    for lo, hi, data, offsets in kernels.text_slices(texts):
+        lowered = data.tobytes().lower()
+        allowed = _boundaries(np.frombuffer(lowered, dtype=np.uint8))
+        for k in range(hi - lo):
+            start, end = int(offsets[k]), int(offsets[k + 1])
+            # a cut counts only if the whole window lies in this text
+            inside = allowed[np.searchsorted(allowed, start + WINDOW) : np.searchsorted(allowed, end)] - start
+            yield lowered[start:end], chunk_cuts(inside, end - start)
+
+
+def _identifier(chunk: bytes, id_bytes: int) -> bytes:
+    return hashlib.sha256(chunk).digest()[:id_bytes]
+
+
+def _reciper(id_bytes: int, disputed: frozenset[bytes]) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, digests, recipes = [], [], []
+            for text, cuts in _chunks(batch.column(1)):
                 begin, ids = 0, []
                 for cut in cuts:
-                    ids.append(hashlib.sha256(text[begin:cut]).digest()[:ID_BYTES])
+                    ids.append(_identifier(text[begin:cut], id_bytes))
+                    if ids[-1] in disputed:
+                        ids.append((cut - begin).to_bytes(4, "little") + text[begin:cut])
                     begin = cut
                 sizes.append(len(text))
                 digests.append(hashlib.sha256(text).hexdigest())
                 recipes.append(b"".join(ids))
-                cut_lists.append(np.asarray(cuts, dtype="<u4").tobytes())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(recipes, pa.binary()), pa.array(cut_lists, pa.binary())],
-            names=["doc_id", "n_bytes", "text_sha256", "recipe", "cuts"],
-        )
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(recipes, pa.binary())], names=["doc_id", "n_bytes", "text_sha256", "recipe"])
+
+    return run
+
+
+def _chunker(id_bytes: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, int] = {}
+        held = 0
+        for batch in batches:
+            for text, cuts in _chunks(batch.column(0)):
+                begin = 0
+                for cut in cuts:
+                    chunk = text[begin:cut]
+                    begin = cut
+                    if chunk in seen:
+                        seen[chunk] += 1
+                    else:
+                        seen[chunk] = 1
+                        held += len(chunk) + 100
+                if held > SEEN_BYTES:
+                    yield _given(seen, id_bytes)
+                    seen, held = {}, 0
+        yield _given(seen, id_bytes)
+
+    return run
+
+
+def _given(seen: dict[bytes, int], id_bytes: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([_identifier(c, id_bytes) for c in seen], pa.binary()), pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["chunk_id", "content", "n_uses"])
 
 
-def recipes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, text_sha256, recipe (identifiers of 16 bytes, joined), cuts (u32 chunk ends)."""
-    return docs.select("doc_id", "text").mapInArrow(_recipes, _RECIPES)
+def recipes(docs: DataFrame, id_bytes: int = ID_BYTES, disputed: frozenset[bytes] = frozenset()) -> DataFrame:
+    """doc_id, n_bytes, text_sha256, recipe (the identifiers, joined; a disputed one has its content behind it)."""
+    return docs.select("doc_id", "text").mapInArrow(_reciper(id_bytes, disputed), _RECIPES)
+
+
+def chunk_table(docs: DataFrame, id_bytes: int = ID_BYTES) -> DataFrame:
+    """chunk_id, n_bytes (of all its contents), n_uses, n_contents of every identifier.
+
+    Contents meet by identifier and are told apart by comparing them; n_contents is 1 where the identifier stands
+    for one content alone. The sizes show what storing chunks once saves.
+    """
+    given = docs.select("text").mapInArrow(_chunker(id_bytes), "chunk_id binary, content binary, n_uses long").repartition("chunk_id")
+    contents = given.groupBy("chunk_id", "content").agg(F.sum("n_uses").alias("n_uses"))
+    return contents.groupBy("chunk_id").agg(F.sum(F.octet_length("content")).alias("n_bytes"), F.sum("n_uses").alias("n_uses"), F.count("*").alias("n_contents"))
 
 
-def chunk_table(docs: DataFrame) -> DataFrame:
-    """The distinct chunks: chunk_id (hex), n_bytes, n_uses; its sizes show what storing chunks once saves."""
-    cut = f"substring(hex(recipe), 1 + {2 * ID_BYTES} * k, {2 * ID_BYTES}) AS chunk_id"
-    rows = recipes(docs).selectExpr("recipe", "cuts", f"explode(sequence(0, CAST(octet_length(recipe) / {ID_BYTES} AS INT) - 1)) AS k")
-    little = "concat(substring(c, 7, 2), substring(c, 5, 2), substring(c, 3, 2), substring(c, 1, 2))"
-    rows = rows.selectExpr(cut, "k", "hex(substring(cuts, 1 + 4 * k, 4)) AS c", "IF(k = 0, '00000000', hex(substring(cuts, 4 * k - 3, 4))) AS b")
-    size = f"CAST(conv({little}, 16, 10) AS BIGINT) - CAST(conv({little.replace('(c,', '(b,')}, 16, 10) AS BIGINT) AS n_bytes"
-    return rows.selectExpr("chunk_id", size).groupBy("chunk_id").agg(F.min("n_bytes").alias("n_bytes"), F.count("*").alias("n_uses"))
+def _disputed(docs: DataFrame, id_bytes: int) -> frozenset[bytes]:
+    """The identifiers that stand for several contents: none, unless the digest is cut too short."""
+    found = chunk_table(docs, id_bytes).where("n_contents > 1").select("chunk_id").limit(MOST_DISPUTED + 1).collect()
+    if len(found) > MOST_DISPUTED:
+        raise ValueError(f"identifiers of {id_bytes} bytes are too short for these texts")
+    return frozenset(bytes(r.chunk_id) for r in found)
 
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, n_chunks.
+def exact_dedup(docs: DataFrame, id_bytes: int = ID_BYTES) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Equal texts are those identical after lower-casing A-Z; the row with the largest doc_id stays.
     A null text counts as empty, so nulls and empty texts form one group. Rows repeated with the same
     doc_id are all reported, all count in group_size and are kept alike. A null doc_id never wins over a
-    number. An empty table gives no rows. Extra columns are ignored.
+    number. Very long texts have long recipes and are treated like others. An empty table gives no rows. Extra
+    columns are ignored.
 
     The recipes are reduced on the map side before they are shuffled, so a group that holds a third of all
     rows costs one row per task; joining the group's figures back is a plain equi-join of two
     checkpointed light tables, whose hot partition adaptive execution splits.
     """
-    light = durable(recipes(docs).select("doc_id", "text_sha256", "recipe"))
-    groups = light.groupBy("recipe", "text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    groups = durable(groups.select(F.col("recipe").alias("g_recipe"), F.col("text_sha256").alias("g_sha"), "keep_id", "group_size"))
-    joined = light.join(groups, (light.recipe == groups.g_recipe) & (light.text_sha256 == groups.g_sha))
-    return joined.select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        F.expr("doc_id <=> keep_id").alias("kept"),
-        "text_sha256",
-        F.expr(f"CAST(octet_length(recipe) / {ID_BYTES} AS INT)").alias("n_chunks"),
-    )
+    light = durable(recipes(docs, id_bytes, _disputed(docs, id_bytes)).select("doc_id", "text_sha256", "recipe"))
+    groups = light.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    groups = durable(groups.select(F.col("recipe").alias("g_recipe"), "keep_id", "group_size"))
+    joined = light.join(groups, light.recipe == groups.g_recipe)
+    return joined.select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256")
 
 
 def unique_documents(docs: DataFrame) -> DataFrame:
