@@ -1,6 +1,7 @@
 """Operator 6: personal data, and the terms that give it away.
 
-Base spans are the matches of four fixed patterns. Their values are the protected entities. For an entity e
+Base spans are the matches of four fixed patterns; secrets (keys, tokens, passwords: values of high information
+content that are called so, or bear a well-known prefix) are found beside them. Their values are the protected entities. For an entity e
 with generalisation g(e) (an address's domain, a network, an issuer, a country) a term t in a document that
 holds e discloses it if PMI(e; t) = log2(p(e, t) / (p(e) p(t))) reaches the information content of g(e), -log2 p(g(e)): whoever
 reads t then learns more about e than its generalisation tells. Such a term is generalised; it is removed if
@@ -27,7 +28,11 @@ from siltlog.llm import kernels
 from siltlog.llm.frames import durable
 
 KINDS = ("email", "ip", "card", "phone")
-TERM = "term"
+SECRET, TERM = "secret", "term"
+#: A secret has so many bits of information at least: its length times the entropy of its characters.
+SECRET_BITS = 48
+#: How far before a value its name may start.
+NAME_REACH = 24
 #: So many candidate terms are sent to the tasks (16 MB); with more, all terms are counted and joined.
 BROADCAST_TERMS = 2_000_000
 #: So many disclosing pairs, or terms marked in different texts, are joined by broadcast; more by shuffle.
@@ -40,6 +45,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}")
+#: What well-known secrets are called, and how some start.
+_SECRET_NAME = re.compile(r"(?i:token|secret|password|passwd|pwd|credential|bearer|(?:api|access|private|auth|encryption|signing|client)[ _-]?key)[\"']?(?:\s*[:=]\s*|\s+)[\"']?\Z")
+_SECRET_START = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{12}|gh[pousr]_[A-Za-z0-9]{16}|sk_live_[A-Za-z0-9]{8}|xox[abprs]-[A-Za-z0-9-]{8}|AIza[A-Za-z0-9_-]{16}")
 _TOKEN = re.compile("[A-Za-z0-9\u0080-\U0010ffff]+")
 
 
@@ -82,6 +91,21 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def secret_spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind number, end) of all secrets."""
+    out = []
+    if len(text) >= 16:
+        for m in _SECRET.finditer(text):
+            value = m[0]
+            if not _DIGITS.search(value) or value.isdigit():
+                continue
+            counts = [value.count(c) for c in set(value)]
+            bits = sum(n * math.log2(len(value) / n) for n in counts)
+            if bits >= SECRET_BITS and (_SECRET_START.match(value) or _SECRET_NAME.search(text, max(0, m.start() - NAME_REACH), m.start())):
+                out.append((m.start(), len(KINDS), m.end()))
+    return out
+
+
 def entity_of(kind: int, value: str) -> tuple[str, str]:
     """The entity a span names, and its generalisation."""
     if kind == 0:
@@ -90,6 +114,8 @@ def entity_of(kind: int, value: str) -> tuple[str, str]:
     if kind == 1:
         parts = [str(int(p)) for p in value.split(".")]
         return "ip:" + ".".join(parts), "ip:" + ".".join(parts[:2])
+    if kind == len(KINDS):
+        return f"secret:{value}", "secret:"
     digits = "".join(_DIGITS.findall(value))
     return (f"card:{digits}", f"card:{digits[:6]}") if kind == 2 else (f"phone:{digits}", f"phone:{digits[:3]}")
 
@@ -121,7 +147,7 @@ def _term_numbers(terms: list[str]) -> np.ndarray:
     return out
 
 
-_FOUND = "row_id long, doc_id long, text_hash long, counts array<long>, base array<struct<start: int, kind: int, end: int>>, entities array<struct<entity: long, wide: long>>, context long, terms array<long>"
+_FOUND = "row_id long, doc_id long, text_hash long, counts array<long>, base array<struct<start: int, kind: int, end: int>>, secrets array<struct<start: int, kind: int, end: int>>, entities array<struct<entity: long, wide: long>>, context long, terms array<long>"
 
 
 def _word_sets(texts: list[str]) -> Iterator[np.ndarray]:
@@ -140,7 +166,7 @@ def _finder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, max(1, batch.num_rows), 512):
             part = batch.slice(lo, 512)
-            ids, counts, bases, entities, free = [], [], [], [], []
+            ids, counts, bases, secrets, entities, free = [], [], [], [], [], []
             for text in part.column(1).to_pylist():
                 text = text or ""
                 row_id += 1
@@ -148,6 +174,9 @@ def _finder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ids.append(row_id)
                 counts.append([sum(k == n for _, k, _ in found) for n in range(len(KINDS))])
                 bases.append([{"start": a, "kind": k, "end": b} for a, k, b in found])
+                hidden = secret_spans(text)
+                secrets.append([{"start": a, "kind": k, "end": b} for a, k, b in hidden])
+                found = sorted(found + hidden)
                 named = dict.fromkeys(entity_of(k, text[a:b]) for a, k, b in found)
                 entities.append([{"entity": _number(name), "wide": _number(wide)} for name, wide in named])
                 if found:
@@ -163,11 +192,12 @@ def _finder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     part.column(2),
                     pa.array(counts, pa.list_(pa.int64())),
                     pa.array(bases, pa.list_(span)),
+                    pa.array(secrets, pa.list_(span)),
                     pa.array(entities, pa.list_(entity)),
                     pa.array(contexts, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(np.concatenate([none, *terms]), pa.int64())),
                 ],
-                names=["row_id", "doc_id", "text_hash", "counts", "base", "entities", "context", "terms"],
+                names=["row_id", "doc_id", "text_hash", "counts", "base", "secrets", "entities", "context", "terms"],
             )
 
 
@@ -260,12 +290,13 @@ def disclosing_pairs(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def protect(docs: DataFrame) -> DataFrame:
-    """One row per row of docs, in no order: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, terms.
+    """One row per row of docs, in no order: doc_id, n_email, n_ip, n_card, n_phone, n_secret, n_term, base_sha256,
+    spans, terms.
 
     spans: kind:start:end (code points, end exclusive) by start, then kind, joined by commas; terms: the same
     spans of the disclosing terms with their action, array<struct<start, end, action>>. base_sha256 covers the
     base spans alone. A null text counts as empty: no spans, digest of the empty string. Repeated rows and
-    doc_ids are reported each; an empty table gives no rows; extra columns are ignored.
+    doc_ids are reported each, very long texts are read whole; an empty table gives no rows; extra columns are ignored.
     """
     return _protected(docs).drop("text_hash")
 
@@ -280,7 +311,7 @@ _PLACED = "p_hash long, terms array<struct<start: int, end: int, action: string>
 
 
 def _placer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All places of each text's marked terms that no base span touches."""
+    """All places of each text's marked terms that no base span or secret touches."""
     place = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("action", pa.string())])
     for batch in batches:
         for lo in range(0, max(1, batch.num_rows), 512):
@@ -288,7 +319,7 @@ def _placer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for text, marks in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
                 actions = {m["term"]: m["action"] for m in marks}
-                found = list(_TOKEN.finditer(_free(text, base_spans(text))))
+                found = list(_TOKEN.finditer(_free(text, sorted(base_spans(text) + secret_spans(text)))))
                 numbers = _term_numbers([m[0] for m in found]).tolist()
                 rows.append([{"start": m.start(), "end": m.end(), "action": actions[w]} for m, w in zip(found, numbers) if w in actions])
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.list_(place))], names=["p_hash", "terms"])
@@ -305,12 +336,13 @@ def _protected(docs: DataFrame) -> DataFrame:
     texts = docs.select("text", F.xxhash64("text").alias("h")).join(sought, F.col("h") == F.col("s_hash"))
     placed = texts.select("h", "text", "marks").mapInArrow(_placer, _PLACED).dropDuplicates(["p_hash"])
     added = marked.join(placed, F.col("text_hash") == F.col("p_hash")).select(F.col("row_id").alias("a_row_id"), "terms")
-    rows = found.select("row_id", "doc_id", "text_hash", "counts", "base").join(added, F.col("row_id") == F.col("a_row_id"), "left")
-    names = ", ".join(f"'{k}'" for k in (*KINDS, TERM))
+    rows = found.select("row_id", "doc_id", "text_hash", "counts", "base", "secrets").join(added, F.col("row_id") == F.col("a_row_id"), "left")
+    names = ", ".join(f"'{k}'" for k in (*KINDS, SECRET, TERM))
     written = lambda c: f"array_join(transform(array_sort({c}), s -> concat(element_at(array({names}), s.kind + 1), ':', s.start, ':', s.end)), ',')"
-    term_spans = f"transform(terms, t -> struct(t.start AS start, {len(KINDS)} AS kind, t.end AS end))"
+    term_spans = f"transform(terms, t -> struct(t.start AS start, {len(KINDS) + 1} AS kind, t.end AS end))"
     counts = [f"counts[{k}] AS n_{name}" for k, name in enumerate(KINDS)]
-    every = f"IF(terms IS NULL, base, concat(base, {term_spans}))"
+    counts += ["CAST(size(secrets) AS BIGINT) AS n_secret", "CAST(coalesce(size(terms), 0) AS BIGINT) AS n_term"]
+    every = f"concat(base, secrets, IF(terms IS NULL, array(), {term_spans}))"
     return rows.selectExpr("doc_id", "text_hash", *counts, f"sha2(encode({written('base')}, 'UTF-8'), 256) AS base_sha256", f"{written(every)} AS spans", "coalesce(terms, array()) AS terms")
 
 
