@@ -5,8 +5,7 @@ All stay in the JVM except floats, which have no built-in byte conversion and go
 
 from __future__ import annotations
 
-import struct
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -58,21 +57,25 @@ def bytes_to_json(data: Column, schema: str) -> Column:
 
 
 def float_to_bytes(value: Column, width: int = 8) -> Column:
-    """IEEE-754 big-endian."""
-    kind = ">d" if width == 8 else ">f"
+    """IEEE-754 big-endian, a batch at once."""
 
     @F.pandas_udf(T.BinaryType())
     def pack(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: struct.pack(kind, x), na_action="ignore")
+        data = s.to_numpy(dtype=np.float64, na_value=np.nan).astype(f">f{width}").tobytes()
+        out = pd.Series([data[k : k + width] for k in range(0, len(data), width)], index=s.index, dtype=object)
+        return out
 
-    return pack(value.cast("double"))
+    # null and NaN are the same in a pandas column, so null stays outside
+    number = value.cast("double")
+    return F.when(number.isNotNull(), pack(F.coalesce(number, F.lit(0.0))))
 
 
 def bytes_to_float(data: Column, width: int = 8) -> Column:
-    kind = ">d" if width == 8 else ">f"
+    """The number in ``width`` bytes; null and bytes of another length give null."""
 
     @F.pandas_udf(T.DoubleType())
     def unpack(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: struct.unpack(kind, x)[0], na_action="ignore").astype(float)
+        return pd.Series(np.frombuffer(b"".join(s), dtype=f">f{width}").astype(np.float64), index=s.index)
 
-    return unpack(data)
+    good = data.isNotNull() & (F.octet_length(data) == width)
+    return F.when(good, unpack(F.when(good, data).otherwise(F.lit(bytes(width)))))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltlog.operators.ordered import ranged
+from siltlog.operators.ordered import dealt, ranged
 
 
 def fold(sizes: np.ndarray, limit: int, held: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -91,18 +91,33 @@ def steps(sizes: np.ndarray, limit: int) -> tuple[list[int], list[int], list[int
     return ends[firsts].tolist(), [e[0] for e in ends_of], [e[1] for e in ends_of]
 
 
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(part, rows) of each stretch of rows of one part."""
+    for batch in batches:
+        if batch.num_rows:
+            parts = batch.column("part_").to_numpy()
+            cuts = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                yield int(parts[a]), batch.slice(a, b - a)
+
+
 def _summary(size: str, limit: int) -> Callable:
+    def row(part: int, sizes: list[np.ndarray]) -> pa.RecordBatch:
+        every = np.concatenate(sizes)
+        columns = [[part], [len(every)], [int(every.sum())], *[[x] for x in steps(every, limit)]]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["part", "n", "total", "reached", "left", "closed"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, sizes = [], []
-        for batch in batches:
-            if batch.num_rows:
-                parts.append(batch.column("part_")[0].as_py())
-                sizes.append(batch.column(size).to_numpy(zero_copy_only=False).astype(np.int64))
-        if parts:
-            every = np.concatenate(sizes)
-            columns = [[parts[0]], [len(every)], [int(every.sum())], *[[x] for x in steps(every, limit)]]
-            kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["part", "n", "total", "reached", "left", "closed"])
+        last, sizes = None, []
+        for part, rows in _by_part(batches):
+            if sizes and part != last:
+                yield row(last, sizes)
+                sizes = []
+            last = part
+            sizes.append(rows.column(size).to_numpy(zero_copy_only=False).astype(np.int64))
+        if sizes:
+            yield row(last, sizes)
 
     return run
 
@@ -123,12 +138,11 @@ def _starts(summaries: list, limit: int) -> dict[int, tuple[int, int, int]]:
 
 def _restarter(size: str, limit: int, starts: dict[int, tuple[int, int, int]]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = None
-        for batch in batches:
+        state, last = None, None
+        for part, batch in _by_part(batches):
             n = batch.num_rows
-            if not n:
-                continue
-            held, group, place = state or starts[batch.column("part_")[0].as_py()]
+            held, group, place = state if part == last else starts[part]
+            last = part
             closes, before, held = fold(batch.column(size).to_numpy(zero_copy_only=False).astype(np.int64), limit, held)
             groups = group + np.concatenate(([0], np.cumsum(closes)[:-1]))
             state = held, group + int(closes.sum()), place + n
@@ -145,6 +159,6 @@ def fold_with_reset(df: DataFrame, order: Sequence[str], size: str, limit: int,
     if by:
         partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         return df.repartition(partitions, *by).sortWithinPartitions(*by, *order).mapInArrow(_folder(by, size, limit), schema)
-    rows = ranged(df, [F.col(c) for c in order]).sortWithinPartitions(*order)
+    rows = dealt(ranged(df, [F.col(c) for c in order]), order)
     found = rows.select("part_", size).mapInArrow(_summary(size, limit), "part int, n long, total long, reached array<long>, left array<long>, closed array<long>").collect()
     return rows.mapInArrow(_restarter(size, limit, _starts(found, limit)), schema)

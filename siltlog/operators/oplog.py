@@ -79,17 +79,20 @@ def merge_on_read(tiers: DataFrame, memory_gen: int | None = None) -> DataFrame:
     """Reads through all tiers, newest generation first: key, op, value, gen, found_in, found_run, deleted.
 
     ``tiers`` has one row per (gen, key). The generation ``memory_gen`` is the memtable; found_run is the
-    position of the run among the runs, -1 for memory.
+    position of the run among the stored runs, from the oldest (0), -1 for memory.
     """
     won = tiers.groupBy("key").agg(F.max_by(F.struct("gen", "op", "value"), "gen").alias("w")).select("key", "w.*")
     memory = F.lit(False) if memory_gen is None else F.col("gen") == memory_gen
+    stored = tiers.where(~memory).select(F.col("gen").alias("r_gen")).distinct()  # one row a run
+    index = stored.withColumn("place", F.row_number().over(Window.orderBy("r_gen")) - 1)
+    won = won.join(index, F.col("gen") == F.col("r_gen"), "left")
     return won.select(
         "key",
         "op",
         "value",
         "gen",
         F.when(memory, IN_MEMORY).otherwise(IN_RUN).alias("found_in"),
-        F.when(memory, F.lit(-1)).otherwise(F.col("gen")).cast("bigint").alias("found_run"),
+        F.when(memory, F.lit(-1)).otherwise(F.col("place")).cast("bigint").alias("found_run"),
         (F.col("op") == DEL).alias("deleted"),
     )
 

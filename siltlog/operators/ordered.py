@@ -14,19 +14,47 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltlog.config import KeyType, order_columns
-from siltlog.plans.materialize import durable
+#: Range parts for each shuffle partition: they are dealt by hash, and several a task even out.
+PARTS_EACH = 2
+#: Sampled rows for each range part.
+SAMPLED_EACH = 20
 
 
 def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _bounds(df: DataFrame, order: Sequence[Column], parts: int) -> tuple[list[str], list[Column]]:
+    """Names of the order columns' fields, and up to ``parts`` - 1 literal bounds from the rows of least hash."""
+    names = [f"o{k}_" for k in range(len(order))]
+    keys = df.select(*[c.alias(n) for c, n in zip(order, names)])
+    rows = keys.orderBy(F.xxhash64(*names)).limit(parts * SAMPLED_EACH).orderBy(*names).distinct().orderBy(*names).collect()
+    kinds = [f.dataType for f in keys.schema.fields]
+    picked = sorted({len(rows) * k // parts for k in range(1, parts)} - {0}) if rows else []
+    return names, [F.struct(*[F.lit(v).cast(t).alias(n) for v, t, n in zip(rows[k], kinds, names)]) for k in picked]
+
+
 def ranged(df: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """The rows parted by ranges of the order columns, with their partition's number in ``part_``.
+    """The rows with the number of their range of the order columns in ``part_``; nothing moves yet.
 
-    The parting is checkpointed: range bounds come from a sample, and two reads must see the same ones.
+    The bounds are literals in the plan, so every read of it sees the same ranges, and a read that needs the
+    order columns only reads only them. A row's range is found among every w-th bound, then among w of them.
     """
-    return durable(df.repartitionByRange(_partitions(df), *order).withColumn("part_", F.spark_partition_id()))
+    names, bounds = _bounds(df, order, PARTS_EACH * _partitions(df))
+    if not bounds:
+        return df.withColumn("part_", F.lit(0))
+    width = max(1, int(len(bounds) ** 0.5))
+    key = F.struct(*[c.alias(n) for c, n in zip(order, names)])
+    up_to = lambda found: F.size(F.filter(found, lambda b: b <= key))
+    coarse = up_to(F.array(*bounds[::width]))
+    fine = up_to(F.slice(F.array(*bounds), (F.col("coarse_") - 1) * width + 1, width))
+    rows = df.withColumn("coarse_", coarse)
+    return rows.withColumn("part_", F.when(F.col("coarse_") == 0, 0).otherwise((F.col("coarse_") - 1) * width + fine).cast("int")).drop("coarse_")
+
+
+def dealt(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """The rows of ``ranged`` with each range whole in one partition, in order; a partition may have several ranges."""
+    return rows.repartition(_partitions(rows), "part_").sortWithinPartitions("part_", *order)
 
 
 def with_position(df: DataFrame, order: Sequence[Column], name: str = "pos") -> DataFrame:
@@ -93,14 +121,15 @@ def neighbours(df: DataFrame, key: str, kind: KeyType) -> DataFrame:
 def as_of(probes: DataFrame, probe: str, keys: DataFrame, key: str, backward: bool = True) -> DataFrame:
     """Adds ``found_key`` to each probe row: the greatest key <= probe, or backward=False the least key >= it.
 
-    Both sides are parted by value range together; a partition without a key takes the nearest one from the
-    partitions before it (after it), one row each. A null probe finds nothing.
+    Both sides are parted by value range together, probes of one value by a hash of the row too, so a hot value
+    is spread; a part without a key takes the nearest one from the parts before it (after it), one row each. A null
+    probe finds nothing.
     """
     columns = probes.columns
-    left = probes.select(F.col(probe).alias("v_"), F.struct(*columns).alias("row_"), F.lit(1 if backward else 0).alias("side_"))
-    right = keys.where(F.col(key).isNotNull()).select(F.col(key).alias("v_"), F.lit(None).cast(left.schema["row_"].dataType).alias("row_"), F.lit(0 if backward else 1).alias("side_")).distinct()
+    left = probes.select(F.col(probe).alias("v_"), F.struct(*columns).alias("row_"), F.lit(1 if backward else 0).alias("side_"), F.xxhash64(*columns).alias("salt_"))
+    right = keys.where(F.col(key).isNotNull()).select(F.col(key).alias("v_"), F.lit(None).cast(left.schema["row_"].dataType).alias("row_"), F.lit(0 if backward else 1).alias("side_"), F.lit(0).cast("bigint").alias("salt_")).distinct()
     is_key = F.col("row_").isNull()
-    rows = ranged(left.unionByName(right), [F.col("v_")])
+    rows = ranged(left.unionByName(right), [F.col("v_"), F.col("side_"), F.col("salt_")])
     own = F.when(is_key, F.col("v_"))
     if backward:
         reach = Window.partitionBy("part_").orderBy("v_", "side_").rowsBetween(Window.unboundedPreceding, 0)

@@ -6,15 +6,13 @@ to the block size, so a record never straddles blocks.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltlog.config import KeyType, TableConfig, key_size
 from siltlog.operators import oplog
 from siltlog.operators.fold import fold_with_reset
-from siltlog.operators.ordered import as_of
+from siltlog.operators.ordered import as_of, with_position
 
 #: Fixed value: bytes of the two length words of a record.
 RECORD_OVERHEAD = 8
@@ -80,13 +78,30 @@ def index_level(stats: DataFrame, config: TableConfig) -> DataFrame:
     return out.withColumn("sparse_type", F.when(F.col("summary_interval") > 2, "sum").otherwise("idx"))
 
 
+def numbered(index: DataFrame) -> DataFrame:
+    """The index with ``entry``, the number of each entry in key order."""
+    return with_position(index, [F.col("key")], "entry")
+
+
 def second_level(index: DataFrame, every: int) -> DataFrame:
-    """Every ``every``-th entry of an index with positions: the level to search first."""
-    from siltlog.operators.ordered import with_position
+    """Every ``every``-th entry of an index, numbered: the level to search first."""
+    return numbered(index).where(F.col("entry") % max(1, every) == 0)
 
-    placed = with_position(index, [F.col("key")], "entry")
-    return placed.where(F.col("entry") % max(1, every) == 0)
 
+def two_level_lookup(probes: DataFrame, probe: str, summary: DataFrame, index: DataFrame, block_rows: DataFrame, every: int) -> DataFrame:
+    """``index_lookup`` through a second level: sum_key, start_key, block, found for each probe row.
 
-def bloom_bits_needed(items: int, rate: float) -> int:
-    return max(8, math.ceil(-items * math.log(rate) / math.log(2) ** 2))
+    ``index`` has ``entry`` numbers and ``summary`` each ``every``-th of its rows (``second_level``). The greatest
+    summary key <= probe names a stretch of ``every`` index entries; only those are searched for the start key, so
+    a probe costs at most ``every`` rows. The last stretch is searched like the others.
+    """
+    rows = probes.withColumn("row_", F.monotonically_increasing_id())
+    placed = as_of(rows, probe, summary, "key").withColumnRenamed("found_key", "sum_key")
+    heads = summary.select(F.col("key").alias("h_key"), F.expr(f"entry DIV {max(1, every)}").alias("stretch"))
+    stretches = index.select(F.expr(f"entry DIV {max(1, every)}").alias("i_stretch"), F.col("key").alias("i_key"), F.col("block").alias("i_block"))
+    met = placed.join(heads, F.col("sum_key") == F.col("h_key")).join(stretches, F.col("stretch") == F.col("i_stretch")).where(F.col("i_key") <= F.col(probe))
+    start = met.groupBy(F.col("row_").alias("m_row_")).agg(F.max(F.struct("i_key", "i_block")).alias("s"))
+    started = placed.join(start, F.col("row_") == F.col("m_row_"), "left")
+    record = block_rows.select(F.col("key").alias("r_key"), F.col("block").alias("r_block"))
+    found = started.join(record, (F.col(probe) == F.col("r_key")) & (F.col("s.i_block") == F.col("r_block")), "left")
+    return found.select(*probes.columns, "sum_key", F.col("s.i_key").alias("start_key"), F.col("s.i_block").alias("block"), F.col("r_key").isNotNull().alias("found"))

@@ -6,21 +6,26 @@ other puts ``props``. Generations cut the log by event_id where a query needs ti
 
 from __future__ import annotations
 
+import dataclasses
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltlog.config import KEY_TYPES, TableConfig, compare_floats, key_type
+from siltlog.config import KEY_TYPES, TableConfig, compare, compare_floats, key_size
 from siltlog.functions import codec
 from siltlog.operators import bloom, memtable, merge, oplog, ordered, runs
-from siltlog.sources import oplog_text
+from siltlog.plans.materialize import durable, shared_folder
+from siltlog.plans.table import Node
+from siltlog.sources import native, oplog_text, run_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 INT64, FLOAT64, STRING = KEY_TYPES["int64"], KEY_TYPES["float64"], KEY_TYPES["string"]
 GEN_ROWS = 2500
+#: The default memtable and block sizes and the default index interval.
 MEMORY_LIMIT = 65536
 BLOCK_SIZE = 16384
 INDEX_INTERVAL = 128
@@ -112,13 +117,16 @@ def kv_tiered_get(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "kv_found_in",
-    f"""WITH {_LATEST}, N AS (SELECT max(event_id) // {GEN_ROWS} AS last FROM events)
-    SELECT key, CASE WHEN seq // {GEN_ROWS} = last THEN 1 ELSE 3 END AS found_in, CASE WHEN seq // {GEN_ROWS} = last THEN -1 ELSE seq // {GEN_ROWS} END AS found_run, op = 'del' AS deleted FROM W, N""",
+    f"""WITH {_LATEST}, N AS (SELECT max(event_id) // {GEN_ROWS} AS last FROM events),
+    G AS (SELECT key, op, CASE WHEN seq // {GEN_ROWS} < 3 THEN least(2, last) ELSE seq // {GEN_ROWS} END AS gen, last FROM W, N)
+    SELECT key, CASE WHEN gen = last THEN 1 ELSE 3 END AS found_in, CASE WHEN gen = last THEN -1 ELSE greatest(gen - 2, 0) END AS found_run, op = 'del' AS deleted FROM G""",
 )
 def kv_found_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three generations are compacted into one, so places among the runs are not generations."""
     tiered = tiered_events(spark, sf_dir)
     newest = tiered.agg(F.max("gen")).first()[0]
-    return oplog.merge_on_read(oplog.reduce_tiers(tiered), newest).select("key", "found_in", "found_run", "deleted")
+    merged = tiered.withColumn("gen", F.when(F.col("gen") < 3, min(2, newest or 0)).otherwise(F.col("gen")))
+    return oplog.merge_on_read(oplog.reduce_tiers(merged), newest).select("key", "found_in", "found_run", "deleted")
 
 
 @query(
@@ -234,8 +242,6 @@ def map_float_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("compare_keys", "SELECT c_custkey, CAST(CASE WHEN c_custkey % 7 = 0 THEN -1 ELSE sign(c_acctbal - 1000) END AS INTEGER) AS to_float, CAST(CASE WHEN c_name < 'Customer#000000500' THEN -1 WHEN c_name = 'Customer#000000500' THEN 0 ELSE 1 END AS INTEGER) AS to_text FROM customer")
 def compare_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from siltlog.config import compare
-
     balance = F.when(F.col("c_custkey") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("c_acctbal"))
     return table(spark, sf_dir, "customer").select("c_custkey", compare_floats(balance, F.lit(1000.0)).alias("to_float"), compare(F.col("c_name"), F.lit("Customer#000000500")).alias("to_text"))
 
@@ -316,8 +322,6 @@ def run_sparse_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT P.probe, I.key AS start_key, I.block, EXISTS (SELECT 1 FROM R WHERE R.key = P.probe AND R.block = I.block) AS found FROM P ASOF LEFT JOIN I ON P.probe >= I.key""",
 )
 def run_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from siltlog.plans.materialize import durable
-
     block_rows = durable(_order_blocks(spark, sf_dir))
     probes = table(spark, sf_dir, "customer").selectExpr("c_custkey * 11 - 5 AS probe")
     return runs.index_lookup(probes, "probe", runs.sparse_index(block_rows, INDEX_INTERVAL), block_rows)
@@ -340,9 +344,22 @@ def run_second_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.second_level(runs.sparse_index(_order_blocks(spark, sf_dir), INDEX_INTERVAL), 8).select("key", "block", "entry")
 
 
+@query(
+    "run_two_level_search",
+    f"""WITH RECURSIVE {_BLOCKS}, P AS (SELECT c_custkey * 11 - 5 AS probe FROM customer), I AS (SELECT key, block, row_number() OVER (ORDER BY key) - 1 AS entry FROM R WHERE pos % {INDEX_INTERVAL} = 0 OR inner_offset = 0),
+    Q AS (SELECT P.probe, S.key AS sum_key FROM P ASOF LEFT JOIN (SELECT * FROM I WHERE entry % 8 = 0) S ON P.probe >= S.key)
+    SELECT Q.probe, Q.sum_key, I.key AS start_key, I.block, EXISTS (SELECT 1 FROM R WHERE R.key = Q.probe AND R.block = I.block) AS found FROM Q ASOF LEFT JOIN I ON Q.probe >= I.key""",
+)
+def run_two_level_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    block_rows = durable(_order_blocks(spark, sf_dir))
+    index = durable(runs.numbered(runs.sparse_index(block_rows, INDEX_INTERVAL)))
+    probes = table(spark, sf_dir, "customer").selectExpr("c_custkey * 11 - 5 AS probe")
+    return runs.two_level_lookup(probes, "probe", index.where("entry % 8 = 0"), index, block_rows, 8)
+
+
 @query("run_dump_blocks", f"WITH RECURSIVE {_BLOCKS} SELECT block, count(*) AS n_records, min(key) AS first_key, max(key) AS last_key FROM R GROUP BY block")
 def run_dump_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _order_blocks(spark, sf_dir).groupBy("block").agg(F.count("*").alias("n_records"), F.min("key").alias("first_key"), F.max("key").alias("last_key"))
+    return native.dump_blocks(_order_blocks(spark, sf_dir).withColumn("path", F.lit("orders"))).drop("path")
 
 
 # --- bloom filters ----------------------------------------------------------------------------------
@@ -351,7 +368,8 @@ _BITS, _FUNCTIONS = 8192, 4
 
 
 def _positions(key: str) -> str:
-    h1, h2 = (f"((({key}) % 2147483647) * {a} + {b}) % 2147483647" for a, b in ((1103515245, 12345), (22695477, 1)))
+    half = lambda a, b: f"((({key}) % 2147483647) * {a} + {b}) % 2147483647"
+    h1, h2 = (f"(({half(*x)}) * 2147483648 + {half(*y)}) % {_BITS}" for x, y in (((1103515245, 12345), (1664525, 1013904223)), ((22695477, 1), (1140671485, 12820163))))
     return f"SELECT ({h1} + i * ({h2})) % {_BITS} AS bit"
 
 
@@ -377,11 +395,12 @@ def bloom_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "bloom_test",
     f"""WITH B AS (SELECT DISTINCT bit FROM customer, range({_FUNCTIONS}) r(i), LATERAL ({_positions('c_custkey')}))
-    SELECT o_orderkey AS key, NOT EXISTS (SELECT 1 FROM range({_FUNCTIONS}) r(i), LATERAL ({_positions('o_orderkey')}) p WHERE p.bit NOT IN (SELECT bit FROM B)) AS maybe FROM orders""",
+    SELECT o_custkey AS key, NOT EXISTS (SELECT 1 FROM range({_FUNCTIONS}) r(i), LATERAL ({_positions('o_custkey * 7 % 4001')}) p WHERE p.bit NOT IN (SELECT bit FROM B)) AS maybe FROM orders""",
 )
 def bloom_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     built = bloom.build(table(spark, sf_dir, "customer"), F.col("c_custkey"), _BITS, _FUNCTIONS)
-    return bloom.test(table(spark, sf_dir, "orders").selectExpr("o_orderkey AS key"), F.col("key"), built, _BITS, _FUNCTIONS)
+    probes = table(spark, sf_dir, "orders").selectExpr("o_custkey AS key")
+    return bloom.test(probes, F.col("key") * 7 % 4001, built, _BITS, _FUNCTIONS)
 
 
 @query("bloom_merge", f"SELECT word, CAST(sum(CAST(1 AS BIGINT) << CAST(bit % 32 AS INTEGER)) AS BIGINT) AS value FROM (SELECT DISTINCT bit, bit // 32 AS word FROM customer, range({_FUNCTIONS}) r(i), LATERAL ({_positions('c_custkey')})) GROUP BY word")
@@ -463,39 +482,143 @@ def codec_utf8_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.length("text").cast("bigint").alias("n_points"))
 
 
-@query("codec_float_be", "SELECT c_custkey, c_acctbal AS back, strlen(c_name) > 0 AS wide FROM customer")
+@query("codec_float_be", "SELECT c_custkey, c_acctbal AS back, hex(CAST(CAST(CAST(c_acctbal AS DOUBLE) AS BIT) AS BLOB)) AS wide, hex(CAST(CAST(CAST(c_acctbal AS FLOAT) AS BIT) AS BLOB)) AS narrow FROM customer")
 def codec_float_be(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = codec.float_to_bytes(F.col("c_acctbal"))
-    return table(spark, sf_dir, "customer").select("c_custkey", codec.bytes_to_float(data).alias("back"), (F.octet_length(data) == 8).alias("wide"))
+    wide, narrow = (codec.float_to_bytes(F.col("c_acctbal"), width) for width in (8, 4))
+    return table(spark, sf_dir, "customer").select("c_custkey", codec.bytes_to_float(wide).alias("back"), F.hex(wide).alias("wide"), F.hex(narrow).alias("narrow"))
+
+
+@query("codec_short_frame", "SELECT p_partkey, printf('%02X', strlen(p_name)) || hex(encode(p_name)) AS framed, p_name AS back FROM part WHERE strlen(p_name) < 128")
+def codec_short_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames whose length is one byte, for names that fit."""
+    framed = codec.frame(codec.text_to_bytes(F.col("p_name")), 1)
+    return table(spark, sf_dir, "part").where(F.octet_length("p_name") < 128).select("p_partkey", F.hex(framed).alias("framed"), codec.bytes_to_text(codec.unframe(framed, 1)).alias("back"))
 
 
 # --- catalog and sources ----------------------------------------------------------------------------
 
 
+def _node(spark: SparkSession) -> Node:
+    """A new node in the shared folder."""
+    return Node(spark, f"{shared_folder(spark)}/node-{uuid.uuid4().hex}")
+
+
+_CATALOG = """WITH T AS (SELECT 'events' AS name, typeof(any_value(user_id)) AS kind, 0 AS block_size, 0 AS interval, 0.0 AS rate FROM events
+    UNION ALL SELECT 'names', typeof(any_value(c_name)), 4096, 0, 0.0 FROM customer UNION ALL SELECT 'prices', typeof(any_value(p_retailprice)), 0, 64, 0.01 FROM part)"""
+
+
 @query(
     "table_catalog",
-    """SELECT * FROM (VALUES ('events', 'int64', 'redblack', 65536, 16384, 128, 4096, 5242880, CAST(0.1 AS DOUBLE)), ('names', 'string', 'redblack', 65536, 4096, 128, 4096, 5242880, CAST(0.1 AS DOUBLE)), ('prices', 'float64', 'redblack', 1024, 16384, 64, 4096, 5242880, CAST(0.01 AS DOUBLE)))
-    v(name, key_type, memtable, max_memtable_bytes, block_size, min_index_interval, max_index_interval, max_summary_bytes, bloom_rate)""",
+    f"""{_CATALOG} SELECT name, CASE kind WHEN 'BIGINT' THEN 'int64' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'float64' END AS key_type, 'redblack' AS memtable, 65536 AS max_memtable_bytes,
+    CAST(CASE block_size WHEN 0 THEN 16384 ELSE block_size END AS INTEGER) AS block_size, CAST(CASE interval WHEN 0 THEN 128 ELSE interval END AS INTEGER) AS min_index_interval, 4096 AS max_index_interval, 5242880 AS max_summary_bytes, CAST(CASE rate WHEN 0 THEN 0.1 ELSE rate END AS DOUBLE) AS bloom_rate FROM T""",
 )
 def table_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import dataclasses
-
-    configs = [TableConfig("events"), TableConfig("names", key_type="string", block_size=4096), TableConfig("prices", key_type="float64", max_memtable_bytes=1024, min_index_interval=64, bloom_rate=0.01)]
+    """The settings that a node reads back from its files, with key types after the tables' columns; 0 stands for the default."""
+    kinds = {k.spark: k.name for k in KEY_TYPES.values()}
+    node = _node(spark)
+    for name, (source, column), given in (("events", ("events", "user_id"), {}), ("names", ("customer", "c_name"), {"block_size": 4096}), ("prices", ("part", "p_retailprice"), {"block_size": 0, "min_index_interval": 64, "bloom_rate": 0.01})):
+        node.create_table(TableConfig(name, key_type=kinds[table(spark, sf_dir, source).schema[column].dataType], **given))
+    stored = Node(spark, node.root)
     schema = "name string, key_type string, memtable string, max_memtable_bytes int, block_size int, min_index_interval int, max_index_interval int, max_summary_bytes int, bloom_rate double"
-    return spark.createDataFrame([tuple(dataclasses.asdict(c).values()) for c in configs], schema)
+    return spark.createDataFrame([tuple(dataclasses.asdict(stored.table(n).config).values()) for n in stored.list_tables()], schema)
 
 
-@query("key_types", "SELECT * FROM (VALUES ('int32', 4, false), ('int64', 8, false), ('float32', 4, false), ('float64', 8, false), ('string', NULL, true), ('bytes', NULL, true), ('timestamp', 8, false)) v(name, width, is_dynamic)")
+_KEY_COLUMNS = {"customer": ("c_custkey", "c_name", "c_acctbal"), "orders": ("o_orderkey", "o_orderpriority", "o_totalprice")}
+
+
+@query(
+    "key_types",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS source, CASE typeof(any_value({c})) WHEN 'BIGINT' THEN 'int64' WHEN 'VARCHAR' THEN 'string' ELSE 'float64' END AS name, typeof(any_value({c})) = 'VARCHAR' AS is_dynamic, "
+        f"CAST(sum(CASE typeof({c}) WHEN 'VARCHAR' THEN strlen(CAST({c} AS VARCHAR)) ELSE 8 END) AS BIGINT) AS key_bytes FROM {t}"
+        for t, columns in _KEY_COLUMNS.items()
+        for c in columns
+    ),
+)
 def key_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(k.name, k.width, k.dynamic) for k in map(key_type, KEY_TYPES)], "name string, width int, is_dynamic boolean")
+    """The key type of a column and the bytes that its values take as keys."""
+    kinds = {k.spark: k for k in KEY_TYPES.values()}
+    out = None
+    for source, columns in _KEY_COLUMNS.items():
+        rows = table(spark, sf_dir, source)
+        for c in columns:
+            kind = kinds[rows.schema[c].dataType]
+            row = rows.agg(F.sum(key_size(c, kind)).alias("key_bytes")).select(F.lit(c).alias("source"), F.lit(kind.name).alias("name"), F.lit(kind.dynamic).alias("is_dynamic"), "key_bytes")
+            out = row if out is None else out.union(row)
+    return out
+
+
+@query("oplog_text", f"WITH {_LATEST} SELECT key FROM W WHERE op = 'put'")
+def oplog_text_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a written text log, one file in order, read back."""
+    path = f"{shared_folder(spark)}/oplog-{uuid.uuid4().hex}"
+    log = event_log(spark, sf_dir)
+    line = F.concat(F.when(F.col("op") == oplog.PUT, "a ").otherwise("r "), F.col("key").cast("string"))
+    log.orderBy("seq").select(line.alias("value")).write.text(path)
+    return oplog.live_state(oplog_text.read(spark, path)).select("key")
 
 
-_OPLOG_LINES = [f"{'r' if n % 3 == 2 else 'a'} {n * 37 % 11 - 5}" for n in range(40)]
+# --- the facade -------------------------------------------------------------------------------------
 
 
-@query("oplog_text", f"WITH L(seq, line) AS (VALUES {', '.join(f'''({i}, '{line}')''' for i, line in enumerate(_OPLOG_LINES))}), P AS (SELECT seq, split_part(line, ' ', 1) AS o, CAST(split_part(line, ' ', 2) AS BIGINT) AS key FROM L) SELECT key FROM P QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1 AND o = 'a'")
-def oplog_text_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return oplog.live_state(oplog_text.from_lines(spark, _OPLOG_LINES)).select("key")
+def _orders_node(spark: SparkSession, sf_dir: str) -> Node:
+    """All orders in a table of a new node, by bulk writes, flushes and a compaction, opened anew."""
+    node = _node(spark)
+    orders = table(spark, sf_dir, "orders")
+    made = node.create_table(TableConfig("orders"))
+    value = lambda text: text.cast("binary").alias("value")
+    made.put(orders.select(F.col("o_orderkey").alias("key"), value(F.col("o_orderpriority"))))
+    made.flush()
+    made.delete(orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("key")))
+    made.flush()
+    made.compact([0, 1])
+    made.put(orders.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("key"), value(F.lit("third"))))
+    made.flush()
+    made.update(orders.select((F.col("o_orderkey") * 2).alias("key"), value(F.lit("double"))))
+    node.create_table(TableConfig("names", key_type="string"))
+    return Node(spark, node.root)
+
+
+_ORDERS = """A AS (SELECT o_orderkey AS key, CASE WHEN o_orderkey % 3 = 0 THEN 'third' WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderpriority END AS value, o_orderkey % 3 = 0 AS late FROM orders),
+    U AS (SELECT key, value, late, value IS NOT NULL AND key IN (SELECT o_orderkey * 2 FROM orders) AS fresh FROM A)"""
+
+
+@query("node_items", f"WITH {_ORDERS} SELECT key, CASE WHEN fresh THEN 'double' ELSE value END AS value FROM U WHERE value IS NOT NULL")
+def node_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders_node(spark, sf_dir).table("orders").items().select("key", F.decode("value", "UTF-8").alias("value"))
+
+
+@query(
+    "node_get",
+    f"""WITH {_ORDERS} SELECT key, CASE WHEN value IS NULL THEN 'deleted' ELSE 'found' END AS status, CASE WHEN fresh THEN 1 ELSE 3 END AS found_in, CASE WHEN fresh THEN -1 WHEN late THEN 1 ELSE 0 END AS found_run FROM U
+    UNION ALL SELECT -1 - c_custkey, 'absent', 0, NULL FROM customer""",
+)
+def node_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS key").union(table(spark, sf_dir, "customer").selectExpr("-1 - c_custkey"))
+    return _orders_node(spark, sf_dir).table("orders").get(asked).select("key", "status", "found_in", "found_run")
+
+
+@query(
+    "node_tables",
+    f"""WITH {_ORDERS} SELECT 'names' AS name, 'string' AS key_type, '' AS runs, CAST(0 AS BIGINT) AS memtable_bytes
+    UNION ALL SELECT 'orders', 'int64', '2,3', CAST(coalesce(sum(8 + 6 + 30), 0) AS BIGINT) FROM U WHERE fresh""",
+)
+def node_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    node = _orders_node(spark, sf_dir)
+    rows = [(name, d["key_type"], ",".join(map(str, d["generations"])), d["memtable_bytes"]) for name in node.list_tables() for d in [node.table(name).describe()]]
+    return spark.createDataFrame(rows, "name string, key_type string, runs string, memtable_bytes long")
+
+
+@query(
+    "node_runs",
+    f"""WITH {_ORDERS}, F AS (SELECT key, CASE WHEN key IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') THEN NULL ELSE (SELECT any_value(o_orderpriority) FROM orders o WHERE o.o_orderkey = A.key) END AS value FROM A)
+    SELECT CAST(2 AS BIGINT) AS gen, count(*) AS records, 8 * count(*) AS total_key_size, CAST(coalesce(sum(strlen(value)), 0) AS BIGINT) AS total_data_size FROM F
+    UNION ALL SELECT 3, count(*), 8 * count(*), CAST(5 * count(*) AS BIGINT) FROM A WHERE late""",
+)
+def node_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored statistics of the runs that count."""
+    made = _orders_node(spark, sf_dir).table("orders")
+    return run_store.read_stats(spark, made.path).select(F.col("gen").cast("bigint").alias("gen"), "records", "total_key_size", "total_data_size")
 
 
 @query("item_projection", f"WITH {_LATEST} SELECT key AS part_key, CAST(NULL AS VARCHAR) AS sort_key, value FROM W WHERE op = 'put'")

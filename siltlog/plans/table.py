@@ -1,10 +1,10 @@
-"""The facade: a node with tables, each an op-log tail in memory over numbered runs in a directory."""
+"""The facade: a node with tables, each a tail of written batches over numbered runs in a directory."""
 
 from __future__ import annotations
 
 import dataclasses
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltlog.config import TableConfig
@@ -12,34 +12,36 @@ from siltlog.operators import memtable, merge, oplog, runs
 from siltlog.plans.materialize import durable
 from siltlog.sources import run_store
 
+#: Rows of one batch have the batch's number times this, and on, as seq.
+BATCH_SEQ = 1 << 32
+
 
 class KVTable:
-    """Writes append to the log tail; reads merge the tail with the runs; flush turns the tail into a run.
+    """Writes add batches to the tail; reads merge the tail with the runs; flush turns the tail into a run.
 
-    With ``auto_flush`` a put that fills the memtable flushes it. Writes are bulk: a row by row client would
-    plan one job a row.
+    Each write is one small directory of the table, so a table that is opened again has all of them. With
+    ``auto_flush`` a put that fills the memtable flushes it. Writes are bulk: a row by row client would plan one
+    job a row.
     """
 
     def __init__(self, spark: SparkSession, path: str, config: TableConfig, auto_flush: bool = False) -> None:
         self.spark, self.path, self.config, self.auto_flush = spark, path, config, auto_flush
-        self._seq = 0
-        self._log = self._empty()
+        self._number, self._manifest = run_store.read_manifest(spark, path)
+        self._batch, _ = run_store.read_tail(spark, path, config, self._manifest.flushed_batch)
 
     @property
     def name(self) -> str:
         return self.config.name
 
-    def _empty(self) -> DataFrame:
-        return self.spark.createDataFrame([], f"seq long, key {self.config.key.spark.simpleString()}, op string, value binary")
+    def _tail(self) -> DataFrame:
+        return run_store.read_tail(self.spark, self.path, self.config, self._manifest.flushed_batch)[1]
 
     def _append(self, rows: DataFrame) -> None:
-        from siltlog.operators.ordered import with_position
-
         shaped = rows.select(F.col("key").cast(self.config.key.spark).alias("key"), "op", F.col("value").cast("binary").alias("value"))
-        placed = with_position(shaped, [F.col("key"), F.col("op"), F.col("value")]).select((F.col("pos") + self._seq).alias("seq"), "key", "op", "value")
-        added = durable(placed)
-        self._seq += added.count()
-        self._log = durable(self._log.unionByName(added))
+        batch = self._batch + 1
+        within = F.row_number().over(Window.partitionBy("key").orderBy("op", "value")) - 1
+        run_store.append_tail(shaped.withColumn("seq", (F.lit(batch * BATCH_SEQ) + within).cast("bigint")).select("seq", "key", "op", "value"), self.path, batch)
+        self._batch = batch
         if self.auto_flush and self.is_full():
             self.flush()
 
@@ -64,20 +66,25 @@ class KVTable:
         self.delete(self.items().select("key"))
 
     def tiers(self) -> DataFrame:
-        """gen, key, op, value: the runs, and the tail as the newest generation."""
-        tail = oplog.latest(self._log).select(F.lit(self._memory_gen()).cast("bigint").alias("gen"), "key", "op", "value")
-        stored = run_store.read_runs(self.spark, self.path, self.config)
-        return stored.select("gen", "key", F.when(F.col("is_tombstone"), oplog.DEL).otherwise(oplog.PUT).alias("op"), "value").unionByName(tail)
+        """gen (place of the run, oldest first), key, op, value: the runs, and the tail as the newest generation."""
+        tail = oplog.latest(self._tail()).select(F.lit(self._memory_gen()).alias("gen"), "key", "op", "value")
+        stored = run_store.read_runs(self.spark, self.path, self.config, self._manifest.generations)
+        return stored.select(F.col("place").alias("gen"), "key", F.when(F.col("is_tombstone"), oplog.DEL).otherwise(oplog.PUT).alias("op"), "value").unionByName(tail)
 
     def _memory_gen(self) -> int:
-        return self.next_generation()
+        return len(self._manifest.generations)
 
     def generations(self) -> list[int]:
-        rows = run_store.read_runs(self.spark, self.path, self.config).select("gen").distinct()
-        return sorted(r.gen for r in rows.collect())
+        """The runs, oldest first."""
+        return list(self._manifest.generations)
 
     def next_generation(self) -> int:
-        return max(self.generations(), default=-1) + 1
+        return self._manifest.next_generation
+
+    def _publish(self, **changes: object) -> None:
+        manifest = dataclasses.replace(self._manifest, **changes)
+        run_store.publish(self.spark, self.path, self._number, manifest)
+        self._number, self._manifest = self._number + 1, manifest
 
     def items(self) -> DataFrame:
         """key, value of every live key."""
@@ -99,32 +106,46 @@ class KVTable:
         return (oplog.DELETED, None) if row.deleted else (oplog.FOUND, None if row.value is None else bytes(row.value))
 
     def byte_size(self) -> int:
-        return memtable.totals(self._log, self.config.key).first().bytes
+        return memtable.totals(self._tail(), self.config.key).first().bytes
 
     def is_full(self) -> bool:
         return self.byte_size() >= self.config.max_memtable_bytes
 
     def flush(self) -> int | None:
-        """Writes the tail as the next generation, then empties it; an empty tail writes nothing."""
-        if self._log.isEmpty():
+        """Writes the tail as the next generation, then lets it count in the tail's place; an empty tail writes nothing."""
+        tail = self._tail()
+        if tail.isEmpty():
             return None
         gen = self.next_generation()
-        rows = runs.flush(self._log.withColumn("gen", F.lit(gen))).drop("gen")
+        rows = runs.flush(tail.withColumn("gen", F.lit(gen))).drop("gen")
         run_store.write_run(durable(rows), self.path, self.config, gen)
-        self._log = self._empty()
+        self._publish(generations=(*self._manifest.generations, gen), flushed_batch=self._batch, next_generation=gen + 1)
+        run_store.drop_tail(self.spark, self.path, self._batch)
         return gen
 
-    def compact(self, generations: list[int], purge: bool = False) -> int:
-        """Merges the generations into a new run; the merged ones are then removed."""
-        stored = run_store.read_runs(self.spark, self.path, self.config)
-        chosen, kept = sorted(set(generations)), self.generations()
-        merged = merge.compact(stored, chosen, purge).where(F.col("gen") == chosen[-1])
-        if any(g not in chosen and chosen[0] < g < chosen[-1] for g in kept):
+    def compact(self, generations: list[int], purge: bool = False, keep_inputs: bool = False) -> int:
+        """Merges neighbouring runs into a new generation that takes their place; then the merged ones are removed.
+
+        Until the new run is whole and published the old ones count, afterwards it alone does. With ``keep_inputs``
+        the files of the merged runs stay, though they no longer count. Tombstones can be purged only if the oldest
+        run is among those merged.
+        """
+        order, chosen = list(self._manifest.generations), set(generations)
+        if not chosen or not chosen <= set(order):
+            raise ValueError(f"table {self.name!r} has the runs {order}, not {sorted(chosen - set(order))}")
+        first = min(order.index(g) for g in chosen)
+        if set(order[first : first + len(chosen)]) != chosen:
             raise ValueError("the generations to merge have to be neighbours")
-        rows = durable(merged.select("key", "value", "is_tombstone"))
-        run_store.write_run(rows, self.path, self.config, chosen[-1])
-        run_store.drop_runs(self.spark, self.path, chosen[:-1])
-        return chosen[-1]
+        if purge and first:
+            raise ValueError("tombstones can be purged only if no older generation is left out of the merge")
+        gen, inputs = self.next_generation(), tuple(order[first : first + len(chosen)])
+        stored = run_store.read_runs(self.spark, self.path, self.config, inputs)
+        merged = merge.compact_through(stored.select(F.col("place").alias("gen"), "key", "value", "is_tombstone"), len(inputs), purge)
+        run_store.write_run(durable(merged.select("key", "value", "is_tombstone")), self.path, self.config, gen)
+        self._publish(generations=(*order[:first], gen, *order[first + len(chosen) :]), next_generation=gen + 1)
+        if not keep_inputs:
+            run_store.drop_runs(self.spark, self.path, list(inputs))
+        return gen
 
     def describe(self) -> dict:
         return dataclasses.asdict(self.config) | {"generations": self.generations(), "memtable_bytes": self.byte_size()}

@@ -19,5 +19,6 @@ def from_lines(spark: SparkSession, lines: Sequence[str]) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """A log from text files; seq follows the order of lines within and across files' partitions."""
-    return parse(spark.read.text(path).select(F.monotonically_increasing_id().alias("seq"), F.col("value").alias("line")))
+    """A log from text files; seq (file, place of the split, number in it) follows the files' names and lines."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("number"))
+    return parse(spark.read.text(path).select(place.alias("seq"), F.col("value").alias("line")))

@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import gzip
+import json
 import random
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from siltlog.config import KEY_TYPES, TableConfig
 from siltlog.plans.table import Node
@@ -27,7 +29,7 @@ def test_node_lifecycle(spark, tmp_path):
     asked = spark.createDataFrame([(4,), (6,), (77,)], "key int")
     assert {r.key: (r.status, r.found_in, r.found_run) for r in table.get(asked).collect()} == {4: ("found", 1, -1), 6: ("found", 3, 0), 77: ("absent", 0, None)}
     table.flush()
-    assert table.generations() == [0, 1] and table.compact([0, 1], purge=True) == 1 and table.generations() == [1]
+    assert table.generations() == [0, 1] and table.compact([0, 1], purge=True) == 2 and table.generations() == [2]
     want = {r.key: bytes(r.value) for r in table.items().collect()}
     assert want[4] == b"new" and want[5] == b"back" and want[1] == b"u" and len(want) == 10
 
@@ -47,14 +49,102 @@ def test_node_lifecycle(spark, tmp_path):
 
 
 def test_auto_flush_and_json(spark, tmp_path):
-    table = Node(spark, str(tmp_path)).create_table(TableConfig("j", max_memtable_bytes=100), auto_flush=True)
-    value = b'{"asd":213352,"nested":{"fos":"opoly"},"tes":"show"}'
-    table.put_item(1234567890, value)
-    assert table.get_item(1234567890) == ("found", value) and table.generations() == []
+    table = Node(spark, str(tmp_path)).create_table(TableConfig("j", max_memtable_bytes=150), auto_flush=True)
+    value = json.dumps({"price": 17, "sizes": [1, 2, 3], "place": {"row": "B", "shelf": 4}}).encode()
+    table.put_item(31, value)
+    assert table.get_item(31) == ("found", value) and table.generations() == []
     table.put_item(2, value)
     assert table.generations() == [0] and table.get_item(2) == ("found", value)
 
 
+def rows_of(spark, pairs):
+    return spark.createDataFrame(pairs, "key long, value binary")
+
+
+def test_tail_outlives_the_session_object(spark, tmp_path):
+    table = Node(spark, str(tmp_path)).create_table(TableConfig("t"))
+    table.put(rows_of(spark, [(1, b"a"), (2, b"b"), (2, b"c")]))
+    table.delete_item(1)
+    again = Node(spark, str(tmp_path)).table("t")
+    assert again.get_item(1)[0] == "deleted" and again.get_item(2) == ("found", b"c") and again.byte_size() == table.byte_size()
+    again.put_item(3, b"d")
+    assert again.flush() == 0 and Node(spark, str(tmp_path)).table("t").flush() is None
+    assert {r.key: bytes(r.value) for r in Node(spark, str(tmp_path)).table("t").items().collect()} == {2: b"c", 3: b"d"}
+
+
+def test_compaction_survives_a_lost_writer(spark, tmp_path, monkeypatch):
+    from siltlog.sources import run_store
+
+    table = Node(spark, str(tmp_path)).create_table(TableConfig("t"))
+    for k in range(4):
+        table.put(rows_of(spark, [(k, b"x"), (10, b"%d" % k)]))
+        if k == 2:
+            table.delete_item(0)
+        table.flush()
+    want = {r.key: bytes(r.value) for r in table.items().collect()}
+
+    def lost(*_):
+        raise OSError("lost")
+
+    def state():
+        return {r.key: bytes(r.value) for r in Node(spark, str(tmp_path)).table("t").items().collect()}
+
+    for step in ("publish", "drop_runs"):
+        with monkeypatch.context() as m:
+            m.setattr(run_store, step, lost)
+            with pytest.raises(OSError):
+                table.compact([0, 1, 2], purge=True)
+        assert state() == want
+    table = Node(spark, str(tmp_path)).table("t")
+    assert table.generations() == [4, 3] and table.compact([4, 3], keep_inputs=True) == 5 and table.generations() == [5]
+    assert state() == want and (tmp_path / "t" / "runs" / "gen=4").exists()
+    table.put_item(7, b"y")
+    table.flush()
+    for wrong, purge in (([99], False), ([], False), ([6], True)):
+        with pytest.raises(ValueError):
+            table.compact(wrong, purge)
+    asked = spark.createDataFrame([(10,), (7,)], "key long")
+    assert {r.key: r.found_run for r in table.get(asked).collect()} == {10: 0, 7: 1}
+
+
+def test_middle_runs_keep_their_place(spark, tmp_path):
+    table = Node(spark, str(tmp_path)).create_table(TableConfig("t"))
+    for k in range(4):
+        table.put(rows_of(spark, [(10, b"%d" % k), (k, b"x")]))
+        table.flush()
+    assert table.compact([1, 2]) == 4 and table.generations() == [0, 4, 3] and table.get_item(10) == ("found", b"3")
+    with pytest.raises(ValueError):
+        table.compact([0, 3])
+
+
+def test_bloom_files_and_mismatch(spark, tmp_path):
+    from siltlog.operators import bloom
+
+    keys = spark.range(300).withColumnRenamed("id", "key")
+    built = bloom.build(keys, F.col("key"), 3000, 7)
+    bloom.write(built, str(tmp_path / "f"), 3000, 7)
+    loaded, bits, functions = bloom.load(spark, str(tmp_path / "f"))
+    assert (bits, functions) == (3000, 7) and {r.bit for r in loaded.collect()} == {r.bit for r in built.collect()}
+    with pytest.raises(bloom.MismatchError):
+        bloom.merge(built, loaded, parameters=[(3000, 7), (3001, 7)])
+
+
+@pytest.mark.parametrize("literal", [0, 1 << 19])
+def test_bloom_keeps_repeated_probes(spark, monkeypatch, literal):
+    from siltlog.operators import bloom
+
+    monkeypatch.setattr(bloom, "LITERAL_BITS", literal)
+    built = bloom.build(spark.range(50), F.col("id"), 700, 5)
+    probes = spark.createDataFrame([(1, "a"), (1, "a"), (999, "b"), (None, "c")], "k long, x string")
+    got = sorted((str(r.k), r.x, r.maybe) for r in bloom.test(probes, F.col("k"), built, 700, 5).collect())
+    assert got == [("1", "a", True), ("1", "a", True), ("999", "b", False), ("None", "c", False)]
+    words = spark.createDataFrame([(f"w{k}",) for k in range(200)], "w string").withColumn("k", bloom.whole_number("w", whole=False))
+    text = bloom.build(words, F.col("k"), 2000, 5)
+    assert bloom.test(words, F.col("k"), text, 2000, 5).where("NOT maybe").isEmpty()
+    others = spark.range(2000).select(bloom.whole_number(F.concat(F.lit("v"), "id"), whole=False).alias("k"))
+    assert bloom.test(others, F.col("k"), text, 2000, 5).where("maybe").count() < 100
+
+
 def test_native_files(spark, tmp_path):
     rng = random.Random(4)
     records = [(struct.pack(">i", k), bytes(rng.choice(b"abcdef") for _ in range(10))) for k in range(-100, 2000)]
@@ -81,6 +171,10 @@ def test_op_log_text(spark, tmp_path):
     from siltlog.operators import oplog
 
     assert {r.key for r in oplog.live_state(log).collect()} == {-3, 9}
+    (tmp_path / "many").mkdir()
+    for k in range(6):  # larger files are read first
+        (tmp_path / "many" / f"{k}.txt").write_text(f"{'ra'[k % 2]} 1\n" + "noise\n" * (1000 * (k % 3)))
+    assert [r.key for r in oplog.live_state(oplog_text.read(spark, str(tmp_path / "many"))).collect()] == [1]
 
 
 def test_stream(spark, tmp_path):
