@@ -3,8 +3,10 @@
 Benchmark items are a query set, matched in blocks: each block of at most ``BLOCK_BYTES`` of item text is
 broadcast (so what is broadcast is bounded however large the benchmark is) and one pass over the documents
 is made for each block. In a pass, a document's rolling hashes of ``seed`` words are looked up among the
-block's; a document and an item that share a seed are tiled: the longest non-overlapping matches are marked
-first, found by running Karp-Rabin over the unmarked words with a falling search length. An item whose
+block's. Every tile is made of seeds, so an item can only be covered where its seeds stand in the document;
+where that suffices for the threshold the two are tiled: the longest non-overlapping matches are marked
+first, found by running Karp-Rabin over the unmarked words with a falling search length. A line that many
+items and documents share so costs no tiling. An item whose
 words are covered by tiles to the threshold marks the document as contaminated, in whatever order its
 passages stand. Documents never move; only found pairs leave a task.
 """
@@ -111,36 +113,55 @@ class _Block:
     def __init__(self, items: list[tuple[int, str]], seed: int) -> None:
         self.items = [(i, (t or "").encode()) for i, t in items]
         self.short: dict[int, list[int]] = {}
-        values, owners = [], []
+        values, owners, starts = [], [], []
+        self.lengths = np.zeros(len(items), dtype=np.int64)
         column = pa.array([t or "" for _, t in items], pa.large_string())
         for lo, hi, data, offsets in kernels.text_slices(column):
             hashes, _, _, first = kernels.words(kernels.ascii_lower(data), offsets)
             for k in range(hi - lo):
                 own = hashes[first[k] : first[k + 1]]
-                if len(own) >= seed:
-                    found = np.unique(kernels.shingles(own, seed))
-                    values.append(found)
-                    owners.append(np.full(len(found), lo + k))
-                elif len(own):
-                    self.short.setdefault(len(own), []).append(lo + k)
-                    values.append(kernels.shingles(own, len(own)))
-                    owners.append(np.full(1, lo + k))
+                self.lengths[lo + k] = len(own)
+                if len(own):
+                    if len(own) < seed:
+                        self.short.setdefault(len(own), []).append(lo + k)
+                    values.append(kernels.shingles(own, min(seed, len(own))))
+                    owners.append(np.full(len(values[-1]), lo + k))
+                    starts.append(np.arange(len(values[-1])))
         self.values = np.concatenate(values) if values else np.zeros(0, dtype=np.uint64)
         self.owners = np.concatenate(owners) if owners else np.zeros(0, dtype=np.int64)
         order = np.argsort(self.values, kind="stable")
         self.values, self.owners = self.values[order], self.owners[order]
+        self.starts = np.concatenate(starts)[order] if starts else np.zeros(0, dtype=np.int64)
         # a bit for each value's low bits: most of a document's hashes end there
         self.bits = np.zeros(1 << 22, dtype=bool)
         self.bits[(self.values & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
     def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in ``hashes``, item) of every hash that is a seed."""
+        """(place in ``hashes``, number of the seed) of every hash that is a seed."""
         maybe = np.flatnonzero(self.bits[(hashes & np.uint64((1 << 22) - 1)).astype(np.int64)])
         lo, hi = np.searchsorted(self.values, hashes[maybe], "left"), np.searchsorted(self.values, hashes[maybe], "right")
         counts = hi - lo
         at = np.repeat(maybe, counts)
         inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        return at, self.owners[np.repeat(lo, counts) + inside]
+        return at, np.repeat(lo, counts) + inside
+
+    def reachable(self, docs: np.ndarray, seeds: np.ndarray, coverage: float, seed: int) -> Iterator[tuple[int, int]]:
+        """(document, item) where the item's words in seeds that stand in the document reach the threshold."""
+        items, starts = self.owners[seeds], self.starts[seeds]
+        order = np.lexsort((starts, items, docs))
+        docs, items, starts = docs[order], items[order], starts[order]
+        if not len(docs):
+            return
+        new = np.ones(len(docs), dtype=bool)
+        new[1:] = (docs[1:] != docs[:-1]) | (items[1:] != items[:-1])
+        width = np.minimum(seed, self.lengths[items])
+        fresh = width.copy()
+        same = ~new[1:]
+        fresh[1:][same] = np.minimum(width[1:], starts[1:] - starts[:-1])[same]
+        heads = np.flatnonzero(new)
+        words = np.add.reduceat(fresh, heads)
+        for k in heads[words >= coverage * self.lengths[items[heads]]].tolist():
+            yield int(docs[k]), int(items[k])
 
 
 _built: dict[tuple[str, int], _Block] = {}
@@ -161,17 +182,21 @@ def _matches(texts: pa.Array, block: _Block, seed: int, coverage: float) -> Iter
     for lo, hi, data, offsets in kernels.text_slices(texts):
         lowered = kernels.ascii_lower(data)
         hashes, _, _, first = kernels.words(lowered, offsets)
-        pairs: set[tuple[int, int]] = set()
+        every_doc, every_seed = [], []
         for n in {seed, *block.short}:
-            at, item = block.hits(kernels.shingles(hashes, n))
+            at, hit = block.hits(kernels.shingles(hashes, n))
             doc = np.searchsorted(first, at, side="right") - 1
-            good = at + n <= first[doc + 1]
-            pairs.update(zip(doc[good].tolist(), item[good].tolist()))
-        for k, item in sorted(pairs):
-            known: dict[bytes, int] = {}
+            good = (at + n <= first[doc + 1]) & (np.minimum(seed, block.lengths[block.owners[hit]]) == n)
+            every_doc.append(doc[good])
+            every_seed.append(hit[good])
+        last, known, doc_words = -1, {}, []
+        for k, item in block.reachable(np.concatenate(every_doc), np.concatenate(every_seed), coverage, seed):
+            if k != last:
+                last, known = k, {}
+                doc_words = word_ids(lowered[offsets[k] : offsets[k + 1]].tobytes(), known)
             number, text = block.items[item]
             words = word_ids(text, known)
-            found = tiles(words, word_ids(lowered[offsets[k] : offsets[k + 1]].tobytes(), known), min(seed, len(words)))
+            found = tiles(words, doc_words, min(seed, len(words)))
             covered = sum(n for n, _, _ in found)
             if found and covered >= coverage * len(words):
                 yield lo + k, number, len(words), covered, found
@@ -226,8 +251,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED_WORDS,
     doc_id, item_id, item_words, covered_words, n_tiles, longest_tile, tiles array<struct<start, words>>
     (word positions in the document). Words are what ASCII white space separates, A-Z lower-cased. A tile has
     at least ``seed`` words, or all of a shorter item. Items and documents without words (null, empty) match
-    nothing; repeated rows are reported for each; an empty table on either side gives no rows; extra
-    columns are ignored.
+    nothing; repeated rows are reported for each, very long texts are read whole; an empty table on either side
+    gives no rows; extra columns are ignored.
     """
     schema = "doc_id long, item_id long, item_words long, covered_words long, n_tiles long, longest_tile long, tiles array<struct<start: long, words: long>>"
     source, out = docs.select("doc_id", "text"), None
