@@ -143,8 +143,3 @@ def _slots(rows: DataFrame) -> DataFrame:
     numbered = rows.selectExpr("*", "row_number() OVER (PARTITION BY shard, bucket ORDER BY t_id, text_crc32, size) - 1 AS place")
     joined = numbered.join(bases, (F.col("shard") == F.col("b_shard")) & (F.col("bucket") == F.col("b_bucket")))
     return joined.selectExpr("doc_id", "size", "text_crc32", "shard", "CAST(base + place AS BIGINT) AS slot")
-
-
-def shard_summary(assigned: DataFrame) -> DataFrame:
-    """shard, n_rows, n_bytes."""
-    return assigned.groupBy("shard").agg(F.count("*").alias("n_rows"), F.sum("size").alias("n_bytes"))

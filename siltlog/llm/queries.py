@@ -96,14 +96,15 @@ _VALUES = ", ".join(f"('{a}', '{b}', TIMESTAMP '{c} 00:00:00', '{d}', '{e}')" fo
 ORACLES = {
     "op1_url_filters": f"""
         WITH e(list_name, key, listed_at, action, verdict) AS (VALUES {_VALUES}),
-        c AS (SELECT DISTINCT page_id, url, TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(page_id * 37 % 366 AS INTEGER)) AS fetched_at,
+        a0 AS (SELECT page_id, url, TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(page_id * 37 % 366 AS INTEGER)) AS fetched_at,
                      lower(regexp_extract(url, '{_HOST}', 1)) AS host, lower(regexp_extract(url, '{_PATH}', 1)) AS path FROM pages),
+        c AS (SELECT DISTINCT * FROM a0),
         latest AS (SELECT c.page_id, c.url, c.fetched_at, e.*, row_number() OVER (PARTITION BY c.page_id, c.url, e.list_name, e.key ORDER BY e.listed_at DESC) AS r
                    FROM c JOIN e ON e.listed_at <= c.fetched_at AND (e.key = host OR ends_with(host, '.' || e.key) OR e.key = host || '/' || path OR starts_with(host || '/' || path, e.key || '/') AND contains(e.key, '/'))),
         active AS (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY length(key) DESC, verdict, list_name) AS best, count(*) OVER (PARTITION BY page_id, url) AS n
                    FROM latest WHERE r = 1 AND action = 'add')
         SELECT c.page_id, c.url, c.fetched_at, coalesce(a.verdict, 'none') AS verdict, a.key AS matched_key, a.list_name, a.listed_at AS valid_from, coalesce(a.n, 0) AS n_active
-        FROM c LEFT JOIN active a ON a.page_id = c.page_id AND a.url = c.url AND a.best = 1
+        FROM a0 c LEFT JOIN active a ON a.page_id = c.page_id AND a.url = c.url AND a.best = 1
     """,
     "op7_minhash_neardup": r"""
         WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),

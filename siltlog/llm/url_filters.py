@@ -21,10 +21,11 @@ def intervals(entries: DataFrame) -> DataFrame:
     """list_name, key, verdict, valid_from, valid_to of each addition; taken-off entries only end others.
 
     ``entries``: list_name, key, listed_at, action ('add' or 'drop'), verdict ('block' or 'allow'). Of entries
-    of a list and key with the same time, a drop counts after an add, and 'block' after 'allow'.
+    of a list and key with the same time, a drop counts after an add, and 'block' after 'allow'. A slash at a
+    key's end is left out.
     """
     following = "lead(listed_at) OVER (PARTITION BY list_name, key ORDER BY listed_at, action, verdict)"
-    rows = entries.where("key IS NOT NULL AND listed_at IS NOT NULL").selectExpr("list_name", "lower(key) AS key", "listed_at", "action", "verdict")
+    rows = entries.where("key IS NOT NULL AND listed_at IS NOT NULL").selectExpr("list_name", "rtrim('/', lower(key)) AS key", "listed_at", "action", "verdict")
     rows = rows.selectExpr("list_name", "key", "verdict", "action", "listed_at AS valid_from", f"coalesce({following}, {_FOREVER}) AS valid_to")
     return rows.where("action = 'add' AND valid_from < valid_to").drop("action")
 
@@ -48,13 +49,13 @@ def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """One row per capture: page_id, url, fetched_at, verdict ('block', 'allow' or 'none'), matched_key,
     list_name, valid_from, n_active (entries that hold).
 
-    ``captures``: page_id, url, fetched_at. A null or unparsable URL, or a null time, matches nothing.
-    Repeated rows count as one capture; an empty table gives no rows, an empty list 'none' for all; extra
+    ``captures``: page_id, url, fetched_at. A null or unparsable URL, or a null time, matches nothing. Very long
+    URLs are read whole. Repeated rows are looked up once and reported each; an empty table gives no rows, an empty list 'none' for all; extra
     columns are ignored. The join is on key and salt, so the captures of a host that holds a third of all
     rows are spread; only matches are reduced afterwards, per capture.
     """
-    taken = captures.select("page_id", "url", "fetched_at").distinct()
-    spread = taken.withColumn("salt", F.pmod(F.xxhash64("page_id", "url", "fetched_at"), F.lit(SALTS)).cast("int"))
+    taken = captures.select("page_id", "url", "fetched_at")
+    spread = taken.distinct().withColumn("salt", F.pmod(F.xxhash64("page_id", "url", "fetched_at"), F.lit(SALTS)).cast("int"))
     asked = spread.select("page_id", "url", "fetched_at", "salt", F.explode(keys(F.col("url"))).alias("k"))
     held = intervals(entries).withColumn("i_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     on = (F.col("k") == F.col("key")) & (F.col("salt") == F.col("i_salt")) & (F.col("fetched_at") >= F.col("valid_from")) & (F.col("fetched_at") < F.col("valid_to"))

@@ -51,6 +51,10 @@ def test_url_filters_by_date(spark):
     captures = spark.createDataFrame([(i, u, t, 0) for i, u, t, _ in cases], "page_id long, url string, fetched_at string, verdict int").withColumn("fetched_at", F.col("fetched_at").cast("timestamp_ntz"))
     got = {r.page_id: r.verdict for r in url_filters.filter_captures(captures, entries).collect()}
     assert got == {i: v for i, _, _, v in cases}
+    twice = url_filters.filter_captures(captures.union(captures).withColumn("key", F.lit("k")), entries).collect()
+    assert len(twice) == 2 * len(cases) and {r.page_id: r.verdict for r in twice} == got
+    slashed = entries.withColumn("key", F.concat("key", F.lit("/")))
+    assert {r.page_id: r.verdict for r in url_filters.filter_captures(captures, slashed).collect()} == got
     assert {r.verdict for r in url_filters.filter_captures(captures, entries.limit(0)).collect()} == {"none"}
     assert url_filters.filter_captures(captures.limit(0), entries).count() == 0
 
@@ -194,6 +198,26 @@ def test_contaminated_equals_brute_force(spark, sf):
     assert decontaminate.contaminated(docs, items.limit(0)).count() == 0 == decontaminate.contaminated(docs.limit(0), items).count()
 
 
+def test_contamination_edges(spark, edge_documents):
+    items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta"), (2, "two words"), (3, ""), (4, None), (5, " ".join(f"w{i % 997}x{i % 31}" for i in range(200))), (1, "w1x1 w2x2 w3x3 w4x4 w5x5 end"), (6, "one")], "item_id long, text string")
+    got = Counter((r.doc_id, r.item_id, r.covered_words) for r in decontaminate.contaminated(edge_documents, items).collect())
+    long = {(d, i, n): 1 for d in (6, 7) for i, n in ((5, 200), (1, 5))}
+    assert got == Counter({(1, 1, 6): 2, (2, 1, 6): 1, (None, 1, 6): 1, (8, 2, 2): 1, **long})
+    clean = decontaminate.clean_documents(edge_documents, items)
+    assert clean.columns == edge_documents.columns and sorted(r.doc_id for r in clean.collect()) == [3, 4, 5, 9]
+
+
+def test_a_shared_line_is_not_tiled(monkeypatch):
+    import pyarrow as pa
+
+    line = "answer the question that follows here"
+    items = [(i, f"{line} {' '.join(f'i{i}w{k}' for k in range(30))}") for i in range(400)]
+    block = decontaminate._Block(items, 5)
+    text = " ".join([line, *[f"d{k}" for k in range(2000)]])
+    monkeypatch.setattr(decontaminate, "tiles", lambda *_: 1 / 0)
+    assert list(decontaminate._matches(pa.array([text, line, text]), block, 5, 0.5)) == []
+
+
 def test_benchmark_in_blocks(spark, sf, monkeypatch):
     docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     whole = sorted((r.doc_id, r.item_id, r.covered_words) for r in decontaminate.contaminated(docs, items).collect())
@@ -385,6 +409,8 @@ def test_pipeline_stages(spark, sf, edge_documents):
             assert docs.columns == columns
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] == sizes[-2] > 0
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, sf).collect()) == sorted(r.doc_id for r in docs.collect())
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, edge_documents.limit(0), sf).count() == 0
     edge = edge_documents
     for _, stage in corpus_pipeline.STAGES:
         edge = stage(spark, edge, sf)
