@@ -362,6 +362,18 @@ def run_dump_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return native.dump_blocks(_order_blocks(spark, sf_dir).withColumn("path", F.lit("orders"))).drop("path")
 
 
+@query(
+    "run_native_files",
+    """WITH E AS (SELECT o_orderkey AS key, CASE WHEN o_orderstatus = 'F' THEN '' ELSE o_orderpriority END AS value FROM orders)
+    SELECT key, value, value = '' AS is_tombstone FROM E""",
+)
+def run_native_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as data, index and summary files, and the data files read back."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.encode("o_orderpriority", "UTF-8").alias("value"), (F.col("o_orderstatus") == "F").alias("is_tombstone"))
+    files = native.encode(rows, TableConfig("orders", block_size=BLOCK_SIZE), 0)
+    return native.decode_data(files.select(F.col("part").cast("string").alias("path"), F.col("dat").alias("content")), INT64).select("key", F.decode("value", "UTF-8").alias("value"), "is_tombstone")
+
+
 # --- bloom filters ----------------------------------------------------------------------------------
 
 _BITS, _FUNCTIONS = 8192, 4

@@ -17,8 +17,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltlog.config import KeyType
+from siltlog.config import KeyType, TableConfig, order_columns
 from siltlog.functions import codec
+from siltlog.operators.memtable import ENTRY_BYTES
+from siltlog.operators.ordered import dealt, ranged
 
 _WORD = struct.Struct(">I")
 
@@ -59,6 +61,11 @@ def _key(kind: KeyType, raw: str = "key_bytes"):
 
 def read_data(spark: SparkSession, path: str, kind: KeyType) -> DataFrame:
     """path, block, block_offset, inner_offset, key, value, is_tombstone of every record."""
+    return decode_data(spark.read.format("binaryFile").load(path).select("path", "content"), kind)
+
+
+def decode_data(files: DataFrame, kind: KeyType) -> DataFrame:
+    """The same from path and content of data files."""
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -67,7 +74,6 @@ def read_data(spark: SparkSession, path: str, kind: KeyType) -> DataFrame:
                     rows = [(name, number, offset, inner, key, value) for inner, key, value in records_of(block)]
                     yield pd.DataFrame(rows, columns=["path", "block", "block_offset", "inner_offset", "key_bytes", "value"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
     rows = files.mapInPandas(decode, "path string, block long, block_offset long, inner_offset long, key_bytes binary, value binary")
     return rows.select("path", "block", "block_offset", "inner_offset", _key(kind).alias("key"), "value", (F.octet_length("value") == 0).alias("is_tombstone"))
 
@@ -123,6 +129,47 @@ def encode_run(records: Iterable[tuple[bytes, bytes]], block_size: int, interval
     return bytes(data), bytes(index)
 
 
+def summary_text(metadata: dict[str, object], statistics: dict[str, object]) -> str:
+    """The text of a ``.sum`` file."""
+    lines = lambda d: "".join(f"{k}={v}\n" for k, v in d.items())
+    return f"{lines(metadata)}------\n{lines(statistics)}------\n"
+
+
+def encode(rows: DataFrame, config: TableConfig, gen: int) -> DataFrame:
+    """part, dat, idx, sum: the files of a run (``rows``: key, value, is_tombstone), a set for each key range.
+
+    Ranges are written apart, in parallel; a range has to fit in a task, and its files below 2 GB. A tombstone is an
+    empty value.
+    """
+    kind = config.key
+    order = order_columns("key", kind)
+    key_bytes = codec.text_to_bytes(F.col("key")) if kind.name == "string" else F.col("key") if kind.name == "bytes" else codec.float_to_bytes(F.col("key"), kind.width) if kind.floating else codec.int_to_bytes(F.col("key"), kind.width)
+    value = F.when(F.col("is_tombstone"), F.lit(b"")).otherwise(F.coalesce("value", F.lit(b"")))
+    parts = dealt(ranged(rows, order), order).select(F.col("part_").alias("part"), key_bytes.alias("key_bytes"), value.alias("value"))
+
+    def files(part: int, keys: list[bytes], values: list[bytes]) -> list:
+        data, index = encode_run(zip(keys, values), config.block_size, config.min_index_interval)
+        sizes = sum(map(len, keys)), sum(map(len, values))
+        metadata = {"gen": gen, "part": part, "sparse_type": "idx", "interval": config.min_index_interval}
+        statistics = {"records": len(keys), "total_key_size": sizes[0], "total_data_size": sizes[1], "flushed_at_mem_size": sum(sizes) + ENTRY_BYTES * len(keys)}
+        return [part, data, index, summary_text(metadata, statistics)]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, keys, values = None, [], []
+        for frame in frames:
+            for part, group in frame.groupby("part", sort=True):
+                if keys and part != last:
+                    yield pd.DataFrame([files(last, keys, values)], columns=["part", "dat", "idx", "sum"])
+                    keys, values = [], []
+                last = part
+                keys += group["key_bytes"].tolist()
+                values += group["value"].tolist()
+        if keys:
+            yield pd.DataFrame([files(last, keys, values)], columns=["part", "dat", "idx", "sum"])
+
+    return parts.mapInPandas(run, "part int, dat binary, idx binary, sum string")
+
+
 def dump_blocks(records: DataFrame, limit: int | None = None) -> DataFrame:
     """block, n_records, first_key, last_key of each block, the first ``limit`` blocks if given."""
     out = records.groupBy("path", "block").agg(F.count("*").alias("n_records"), F.min_by("key", "inner_offset").alias("first_key"), F.max_by("key", "inner_offset").alias("last_key")).orderBy("path", "block")

@@ -165,6 +165,17 @@ def test_native_files(spark, tmp_path):
     assert gzip.decompress(data[4 : 4 + struct.unpack(">I", data[:4])[0]])
 
 
+def test_native_encoding_of_a_frame(spark):
+    rows = spark.range(4000).select(F.concat(F.lit("k"), F.lpad("id", 6, "0")).alias("key"), F.encode(F.repeat(F.lit("v"), (F.col("id") % 50).cast("int")), "UTF-8").alias("value"), (F.col("id") % 10 == 3).alias("is_tombstone"))
+    files = native.encode(rows, TableConfig("t", key_type="string", block_size=2048), 3).cache()
+    back = native.decode_data(files.select(F.col("part").cast("string").alias("path"), F.col("dat").alias("content")), KEY_TYPES["string"])
+    assert back.count() == 4000 and back.where("is_tombstone").count() == 480
+    assert back.selectExpr("key", "value").exceptAll(rows.selectExpr("key", "IF(is_tombstone, CAST('' AS BINARY), value) AS value")).isEmpty()
+    sums = [dict(line.split("=") for line in r.sum.splitlines() if "=" in line) for r in files.collect()]
+    assert sum(int(s["records"]) for s in sums) == 4000 and {s["gen"] for s in sums} == {"3"} and files.count() > 1
+    assert all(int(s["flushed_at_mem_size"]) == int(s["total_key_size"]) + int(s["total_data_size"]) + 30 * int(s["records"]) for s in sums)
+
+
 def test_op_log_text(spark, tmp_path):
     (tmp_path / "ops.txt").write_text("a 5\na -3\nr 5\nnoise\na 9\nr 7\n")
     log = oplog_text.read(spark, str(tmp_path / "ops.txt"))
