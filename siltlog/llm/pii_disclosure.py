@@ -35,6 +35,8 @@ SECRET_BITS = 48
 NAME_REACH = 24
 #: So many candidate terms are sent to the tasks (16 MB); with more, all terms are counted and joined.
 BROADCAST_TERMS = 2_000_000
+#: Tasks of the counting pass for each core.
+TASKS_A_CORE = 2
 #: So many disclosing pairs, or terms marked in different texts, are joined by broadcast; more by shuffle.
 BROADCAST_PAIRS = 200_000
 
@@ -212,8 +214,12 @@ def _counter(wanted: Callable[[], np.ndarray | None]) -> Callable:
             bits[terms & ((1 << 22) - 1)] = True
         held: list[np.ndarray] = []
         size = 0
+        sums = np.zeros(0 if terms is None else len(terms), dtype=np.int64)
 
         def flush() -> pa.RecordBatch:
+            if terms is not None:
+                seen = np.flatnonzero(sums)
+                return pa.RecordBatch.from_arrays([pa.array(terms[seen], pa.int64()), pa.array(sums[seen])], names=["term", "n"])
             values, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
             return pa.RecordBatch.from_arrays([pa.array(values, pa.int64()), pa.array(counts, pa.int64())], names=["term", "n"])
 
@@ -230,6 +236,9 @@ def _counter(wanted: Callable[[], np.ndarray | None]) -> Callable:
                 owner, values = owner[order], values[order]
                 new = np.ones(len(values), dtype=bool)
                 new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+                if terms is not None:
+                    sums += np.bincount(np.searchsorted(terms, values[new]), minlength=len(terms))
+                    continue
                 held.append(values[new])
                 size += int(new.sum())
                 if size > 2_000_000:
@@ -274,7 +283,8 @@ def disclosing_pairs(docs: DataFrame, found: DataFrame) -> DataFrame:
     pairs = pairs.join(n_entity, F.col("entity") == F.col("e_entity")).join(wides, F.col("wide") == F.col("w_wide")).join(least, F.col("term") == F.col("l_term"))
     pairs = durable(pairs.where("n_pair * n_wide >= n_entity * n_least * (1 - 1e-6D)").select("entity", "term", "n_pair", "n_entity", "n_wide"))
     candidates = durable(pairs.select(F.col("term").alias("c_term")).distinct())
-    texts = docs.select("text")
+    # a task counts a candidate once, so few long tasks send far less than many short ones
+    texts = docs.select("text").coalesce(TASKS_A_CORE * docs.sparkSession.sparkContext.defaultParallelism)
     if candidates.count() <= BROADCAST_TERMS:
         shared = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r.c_term for r in candidates.collect()], dtype=np.int64)))
         counted = texts.mapInArrow(_counter(lambda: shared.value), "term long, n long")
