@@ -5,7 +5,7 @@ content that are called so, or bear a well-known prefix) are found beside them.
 with generalisation g(e) (an address's domain, a network, an issuer, a country) a term t in a document that
 holds e discloses it if PMI(e; t) = log2(p(e, t) / (p(e) p(t))) reaches the information content of g(e), -log2 p(g(e)): whoever
 reads t then learns more about e than its generalisation tells. Such a term is generalised; it is removed if
-the disclosure reaches the information content of e itself. All probabilities are document frequencies over
+the disclosure reaches the information content of e itself. A secret has no generalisation but itself. All probabilities are document frequencies over
 the whole table, and a pair counts only if it is seen in two documents of different words, so that copies of
 one text prove nothing. Every word of a document that holds e counts, short words and numbers too, but for
 those a base span touches; a disclosing term is marked at all its places in the document.
@@ -117,7 +117,7 @@ def entity_of(kind: int, value: str) -> tuple[str, str]:
         parts = [str(int(p)) for p in value.split(".")]
         return "ip:" + ".".join(parts), "ip:" + ".".join(parts[:2])
     if kind == len(KINDS):
-        return f"secret:{value}", "secret:"
+        return f"secret:{value}", f"secret:{value}"
     digits = "".join(_DIGITS.findall(value))
     return (f"card:{digits}", f"card:{digits[:6]}") if kind == 2 else (f"phone:{digits}", f"phone:{digits[:3]}")
 
