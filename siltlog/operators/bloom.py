@@ -46,10 +46,15 @@ def whole_number(key: Column | str, whole: bool = True) -> Column:
 
 def positions(key: Column, bits: int, functions: int) -> Column:
     """array<bigint> of the bit positions of a whole-number key."""
-    h1, h2 = (F.pmod(_hash(key.cast("bigint"), pairs), F.lit(bits)) for pairs in (_FIRST, _SECOND))
+    h1, h2 = _steps(key, bits)
     return F.array(*[F.pmod(h1 + i * h2, F.lit(bits)) for i in range(functions)])
 
 
+def _steps(key: Column, bits: int) -> tuple[Column, Column]:
+    h1, h2 = (F.pmod(_hash(key.cast("bigint"), pairs), F.lit(bits)) for pairs in (_FIRST, _SECOND))
+    return h1, h2
+
+
 def build(keys: DataFrame, key: Column, bits: int, functions: int) -> DataFrame:
     """bit: the set positions. Partial aggregation reduces each task to at most ``bits`` rows."""
     return keys.select(F.explode(positions(key, bits, functions)).alias("bit")).distinct()
@@ -75,8 +80,13 @@ def test(probes: DataFrame, key: Column, bloom: DataFrame, bits: int, functions:
         packed = dict(words(bloom).collect())  # at most LITERAL_BITS / 32 numbers
         text = ",".join(str(packed.get(k, 0)) for k in range(bits // 32 + 1))
         table = F.split(F.lit(text), ",").cast("array<bigint>")
-        hit = lambda p: F.getbit(F.element_at(table, (F.floor(p / 32) + 1).cast("int")), (p % 32).cast("int")) == 1
-        return probes.withColumn("maybe", F.coalesce(F.forall(positions(key, bits, functions), hit), F.lit(False)))
+        first, second = _steps(key, bits)
+        stepped = probes.withColumns({"h1_": first, "h2_": second})
+        maybe = F.lit(True)
+        for i in range(functions):
+            p = F.pmod(F.col("h1_") + i * F.col("h2_"), F.lit(bits))
+            maybe &= F.getbit(F.element_at(table, (F.shiftright(p, 5) + 1).cast("int")), p.bitwiseAND(F.lit(31)).cast("int")) == 1
+        return stepped.withColumn("maybe", F.coalesce(maybe, F.lit(False))).drop("h1_", "h2_")
     asked = probes.select(key.cast("bigint").alias("k_")).distinct()
     places = asked.withColumn("bit_", F.explode(F.array_distinct(positions(F.col("k_"), bits, functions))))
     set_bits = bloom.select(F.col("bit").alias("b_bit_"), F.lit(True).alias("hit_"))

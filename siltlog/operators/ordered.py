@@ -18,6 +18,8 @@ from siltlog.config import KeyType, order_columns
 PARTS_EACH = 2
 #: Sampled rows for each range part.
 SAMPLED_EACH = 20
+#: Bounds up to which the search is spelled out.
+NESTED = 64
 
 
 def _partitions(df: DataFrame) -> int:
@@ -28,9 +30,11 @@ def _bounds(df: DataFrame, order: Sequence[Column], parts: int) -> tuple[list[st
     """Names of the order columns' fields, and up to ``parts`` - 1 literal bounds from the rows of least hash."""
     names = [f"o{k}_" for k in range(len(order))]
     keys = df.select(*[c.alias(n) for c, n in zip(order, names)])
-    rows = keys.orderBy(F.xxhash64(*names)).limit(parts * SAMPLED_EACH).orderBy(*names).distinct().orderBy(*names).collect()
+    # the limit leaves one partition, which is sorted as it is
+    rows = keys.orderBy(F.xxhash64(*names)).limit(parts * SAMPLED_EACH).sortWithinPartitions(*names).collect()
     kinds = [f.dataType for f in keys.schema.fields]
     picked = sorted({len(rows) * k // parts for k in range(1, parts)} - {0}) if rows else []
+    picked = [k for k, before in zip(picked, [0, *picked]) if rows[k] != rows[before]]
     return names, [F.struct(*[F.lit(v).cast(t).alias(n) for v, t, n in zip(rows[k], kinds, names)]) for k in picked]
 
 
@@ -38,13 +42,23 @@ def ranged(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     """The rows with the number of their range of the order columns in ``part_``; nothing moves yet.
 
     The bounds are literals in the plan, so every read of it sees the same ranges, and a read that needs the
-    order columns only reads only them. A row's range is found among every w-th bound, then among w of them.
+    order columns only reads only them. Few bounds are searched by halves in generated code; of many, every w-th
+    one comes first, then w of them.
     """
     names, bounds = _bounds(df, order, PARTS_EACH * _partitions(df))
     if not bounds:
         return df.withColumn("part_", F.lit(0))
-    width = max(1, int(len(bounds) ** 0.5))
     key = F.struct(*[c.alias(n) for c, n in zip(order, names)])
+    if len(bounds) <= NESTED:
+
+        def among(low: int, high: int) -> Column:
+            if low == high:
+                return F.lit(low)
+            middle = (low + high) // 2
+            return F.when(key < bounds[middle], among(low, middle)).otherwise(among(middle + 1, high))
+
+        return df.withColumn("part_", among(0, len(bounds)))
+    width = max(1, int(len(bounds) ** 0.5))
     up_to = lambda found: F.size(F.filter(found, lambda b: b <= key))
     coarse = up_to(F.array(*bounds[::width]))
     fine = up_to(F.slice(F.array(*bounds), (F.col("coarse_") - 1) * width + 1, width))

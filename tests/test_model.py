@@ -164,3 +164,14 @@ def test_random_letters(spark):
 
     rows = spark.range(50).select(random_letters(10, F.col("id"), 7).alias("v"), type_name(F.col("id")).alias("t")).collect()
     assert all(len(r.v) == 10 and r.v.isalpha() and r.v.isascii() and r.t == "bigint" for r in rows) and len({r.v for r in rows}) == 50
+
+
+@pytest.mark.parametrize("nested", [0, 64])
+def test_ranges_by_either_search(spark, monkeypatch, nested):
+    monkeypatch.setattr(ordered, "NESTED", nested)
+    rows = spark.range(3000).selectExpr("id", "IF(id % 7 = 0, NULL, id * 37 % 1000) AS k", "IF(id % 5 = 0, DOUBLE('NaN'), id / 3.0D) AS x")
+    order = [F.col("k"), F.col("x"), F.col("id")]
+    assert ordered.ranged(rows, order).select("part_").distinct().count() == ordered.PARTS_EACH * 4
+    got = [r.id for r in ordered.with_position(rows, order).orderBy("pos").collect()]
+    assert got == [r.id for r in rows.orderBy(*order).collect()]
+    assert ordered.with_position(rows.limit(0), order).count() == 0
