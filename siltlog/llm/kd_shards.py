@@ -4,8 +4,9 @@ The metadata of a document (text bytes, source, language) place it in a space of
 the tree that must give n leaves is cut along its widest dimension (range over the table's range) at the
 weighted median, weight being size in bytes, so that the two sides get weight in proportion to their leaves;
 rows that tie on the dimension are ordered by doc_id, then by content. Medians are exact: one aggregation
-a pass counts the weight in ``BINS`` bins a node, the driver reads at most ``BINS`` figures of each node and
-narrows the range of bins, until a bin is one value.
+a pass counts the weight of all nodes in bins and finds each node's bin with the median; the next pass looks
+between the least and greatest value of that bin, until they are one. The driver reads ``BINS`` counts a pass, or
+``LEAST_BINS`` a node where that is more.
 """
 
 from __future__ import annotations
@@ -15,15 +16,19 @@ from pyspark.sql import functions as F
 
 from siltlog.llm.frames import durable
 
-BINS = 2048
+#: The bins of one pass over all open nodes, and the fewest of a node.
+BINS = 1 << 14
+LEAST_BINS = 256
+#: Holds doc_id and checksum as one number.
+WIDE = "decimal(38,0)"
 #: A (shard, bucket) task numbers about so many rows.
 SLOT_ROWS = 50_000
 DIMENSIONS = ("d_bytes", "d_source", "d_lang")
 
 
-def _lookup(values: list[int], index: Column) -> Column:
+def _lookup(values: list[int], index: Column, kind: str = "bigint") -> Column:
     """values[index], from one constant-folded literal array."""
-    return F.element_at(F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>"), (index + 1).cast("int"))
+    return F.element_at(F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>"), (index + 1).cast("int"))
 
 
 def _points(docs: DataFrame) -> DataFrame:
@@ -40,43 +45,40 @@ def _points(docs: DataFrame) -> DataFrame:
     )
 
 
-def _cut(rows: DataFrame, count: int, key: Column, weight: str, bounds: dict[int, tuple[int, int, int]], wanted: dict[int, int]) -> dict[int, tuple[int, int, int]]:
+def _cut(rows: DataFrame, count: int, key: Column, kind: str, bounds: dict[int, tuple[int, int, int]], wanted: dict[int, int]) -> dict[int, tuple[int, int, int]]:
     """For each node the least value v with weight(key <= v) > wanted, the weight below v, and that at v.
 
-    ``bounds`` has the key's range and the weight in each node. A pass bins the rest of the range; arithmetic is in
-    decimals where a range may exceed a long.
+    ``bounds`` has the key's range and the weight in each node, ``wanted`` less than that weight. A pass counts
+    the rest of the range in bins and keeps the bin that holds v, down to the least and greatest value in it;
+    doubles number the bins, which keeps the order of the values however long these are.
     """
     low = {n: a for n, (a, _, _) in bounds.items()}
     high = {n: b for n, (_, b, _) in bounds.items()}
     below, here = dict.fromkeys(bounds, 0), {n: w for n, (_, _, w) in bounds.items()}
     while open_nodes := [n for n in bounds if low[n] < high[n]]:
-        width = {n: (high[n] - low[n]) // BINS + 1 if n in open_nodes else 1 for n in bounds}
-        column = lambda values: _lookup([values.get(n, 0) for n in range(count)], F.col("node"))
-        active = column({n: 1 for n in open_nodes}) == 1
-        inside = rows.where(active).where((key >= column(low)) & (key <= column(high)))
-        offset = key.cast("decimal(20,0)") - column(low).cast("decimal(20,0)")
-        binned = inside.select("node", F.floor(offset / column(width)).cast("int").alias("bin"), weight)
-        bins = binned.groupBy("node", "bin").agg(F.sum(weight).alias("w")).orderBy("node", "bin").collect()
+        bins = max(LEAST_BINS, BINS // len(open_nodes))
+        column = lambda values, kind="bigint": _lookup([values.get(n, 0) for n in range(count)], F.col("node"), kind)
+        active = column(dict.fromkeys(open_nodes, 1)) == 1
+        inside = rows.where(active).select("node", "size", key.alias("key")).where((F.col("key") >= column(low, kind)) & (F.col("key") <= column(high, kind)))
+        width = column({n: (high[n] - low[n]) // bins + 1 for n in open_nodes}, kind).cast("double")
+        binned = inside.withColumn("bin", F.floor((F.col("key") - column(low, kind)).cast("double") / width))
+        counts = binned.groupBy("node", "bin").agg(F.sum("size").alias("w"), F.min("key").alias("a"), F.max("key").alias("b"))
         passed: set[int] = set()
-        for r in bins:
+        for r in sorted(counts.collect(), key=lambda r: (r.node, r.bin)):
             if r.node in passed:
                 continue
             if below[r.node] + r.w > wanted[r.node]:
-                base = low[r.node] + r.bin * width[r.node]
-                low[r.node], high[r.node] = base, min(high[r.node], base + width[r.node] - 1)
-                here[r.node] = int(r.w)
+                low[r.node], high[r.node], here[r.node] = int(r.a), int(r.b), int(r.w)
                 passed.add(r.node)
             else:
                 below[r.node] += int(r.w)
-        for n in set(open_nodes) - passed:  # all its weight is wanted: the cut lies past the last value
-            low[n], here[n] = high[n], 0
     return {n: (low[n], below[n], here[n]) for n in bounds}
 
 
 def _split(rows: DataFrame, leaves: list[int]) -> tuple[DataFrame, list[int]]:
     """Cuts every node that must give more than one leaf; the rows with their new node, and its leaves."""
     count = len(leaves)
-    facts = [F.min(d).alias(f"lo_{d}") for d in DIMENSIONS] + [F.max(d).alias(f"hi_{d}") for d in DIMENSIONS]
+    facts = [f(c).alias(f"{name}_{c}") for c in (*DIMENSIONS, "t_id") for f, name in ((F.min, "lo"), (F.max, "hi"))]
     found = {r.node: r for r in rows.groupBy("node").agg(*facts, F.sum("size").alias("w")).collect()}
     cut = [n for n in found if leaves[n] > 1]
     whole = {d: max(1, max(found[n][f"hi_{d}"] for n in found) - min(found[n][f"lo_{d}"] for n in found)) for d in DIMENSIONS} if found else {}
@@ -86,29 +88,25 @@ def _split(rows: DataFrame, leaves: list[int]) -> tuple[DataFrame, list[int]]:
     key = F.when(dimension == 0, F.col(DIMENSIONS[0])).when(dimension == 1, F.col(DIMENSIONS[1])).otherwise(F.col(DIMENSIONS[2]))
     bounds = {n: (found[n][f"lo_{DIMENSIONS[widest[n]]}"], found[n][f"hi_{DIMENSIONS[widest[n]]}"], int(found[n].w)) for n in cut}
     rows = rows.withColumn("k", key)
-    values = _cut(rows, count, F.col("k"), "size", bounds, wanted)
+    values = _cut(rows, count, F.col("k"), "bigint", bounds, wanted)
 
-    # rows at the median value are parted by doc_id, and repeated doc_ids by checksum
-    at = lambda table, default=0: _lookup([int(table.get(n, default)) for n in range(count)], F.col("node"))
+    # rows at the median value are parted by doc_id, and repeated doc_ids by checksum: one number has both
+    at = lambda table, kind="bigint": _lookup([int(table.get(n, 0)) for n in range(count)], F.col("node"), kind)
+    tie = (F.col("t_id").cast(WIDE) * F.lit(1 << 32).cast("decimal(10,0)")).cast(WIDE) + F.col("text_crc32")
     is_cut = at(dict.fromkeys(cut, 1)) == 1
-    tied = rows.where(is_cut & (F.col("k") == at({n: v for n, (v, *_) in values.items()})))
-    ends = lambda df, c: {r.node: (r.a, r.b, int(r.w)) for r in df.groupBy("node").agg(F.min(c).alias("a"), F.max(c).alias("b"), F.sum("size").alias("w")).collect()}
-    spans = ends(tied, "t_id")
-    ids = _cut(tied, count, F.col("t_id"), "size", spans, {n: wanted[n] - values[n][1] for n in spans})
-    same = tied.where(F.col("t_id") == at({n: v for n, (v, *_) in ids.items()}))
-    sums = ends(same, "text_crc32")
-    rest = {n: wanted[n] - values[n][1] - ids[n][1] for n in sums}
-    last = _cut(same, count, F.col("text_crc32"), "size", sums, rest)
+    value = at({n: v for n, (v, _, _) in values.items()})
+    spans = {n: (found[n].lo_t_id << 32, (found[n].hi_t_id << 32) + (1 << 32) - 1, values[n][2]) for n in cut}
+    rest = {n: wanted[n] - values[n][1] for n in cut}
+    last = _cut(rows.where(is_cut & (F.col("k") == value)), count, tie.cast(WIDE), WIDE, spans, rest)
     # the rows at the cut itself go to the side that then lies nearer to its share
     cuts = {n: v + (2 * (rest[n] - below) > here) for n, (v, below, here) in last.items()}
 
-    value, tie, crc = at({n: v for n, (v, *_) in values.items()}), at({n: v for n, (v, *_) in ids.items()}), at(cuts)
-    left = (F.col("k") < value) | ((F.col("k") == value) & ((F.col("t_id") < tie) | ((F.col("t_id") == tie) & (F.col("text_crc32") < crc))))
+    left = F.when(F.col("k") == value, tie < at(cuts, WIDE)).otherwise(F.col("k") < value)
     names, first = [], {}
     for n in range(count):
         first[n] = len(names)
         names += [leaves[n]] if leaves[n] == 1 else [leaves[n] // 2, leaves[n] - leaves[n] // 2]
-    node = at(first) + F.when(is_cut & ~F.coalesce(left, F.lit(False)), 1).otherwise(0)
+    node = at(first) + F.when(is_cut & ~left, 1).otherwise(0)
     return rows.withColumn("node", node.cast("int")).drop("k"), names
 
 
@@ -119,7 +117,8 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
     is at most that. size is the text's UTF-8 bytes plus 1 (a null text has none); a null source or language
     counts as an empty string, a null doc_id orders before all others. Rows alike in dimension, doc_id and
     checksum stay together. slot numbers a shard's rows from 0 without gaps. An empty table gives no rows;
-    extra columns are ignored. What reaches the driver is bounded by ``BINS`` figures a node.
+    extra columns are ignored. A very long text counts by its size alone. What reaches the driver is bounded
+    by ``BINS`` counts a pass, or ``LEAST_BINS`` a node.
     """
     rows = durable(_points(docs).withColumn("node", F.lit(0)))
     if shards is None:

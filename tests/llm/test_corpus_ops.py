@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import groupby
 from pathlib import Path
 
 import duckdb
@@ -143,6 +144,45 @@ def test_shards_of_equal_rows_are_level(spark):
     assert len(sizes) == 16 and max(sizes.values()) - min(sizes.values()) <= 4
 
 
+def brute_shards(rows: list[tuple], leaves: int) -> list[list[tuple]]:
+    """The k-d tree over (doc_id, size, crc, three coordinates), by sorting."""
+    level = [(rows, leaves)]
+    while any(n > 1 for _, n in level):
+        spans = [[max(r[3 + d] for r in part) - min(r[3 + d] for r in part) for d in range(3)] for part, _ in level if part]
+        whole = [max(1, max(max(r[3 + d] for r in part) for part, _ in level if part) - min(min(r[3 + d] for r in part) for part, _ in level if part)) for d in range(3)]
+        out, k = [], 0
+        for part, n in level:
+            if not part or n == 1:
+                out += [(part, n)] if n == 1 else [(part, n // 2), ([], n - n // 2)]
+                k += bool(part)
+                continue
+            wide = max(range(3), key=lambda d: (spans[k][d] / whole[d], -d))
+            k += 1
+            key = lambda r: (r[3 + wide], r[0], r[2])
+            groups = [list(g) for _, g in groupby(sorted(part, key=key), key=key)]
+            weights = [sum(r[1] for r in g) for g in groups]
+            wanted, below, at = sum(weights) * (n // 2) // n, 0, 0
+            while below + weights[at] <= wanted:
+                below, at = below + weights[at], at + 1
+            at += 2 * (wanted - below) > weights[at]
+            out += [([r for g in groups[:at] for r in g], n // 2), ([r for g in groups[at:] for r in g], n - n // 2)]
+        level = out
+    return [part for part, _ in level]
+
+
+@pytest.mark.parametrize("bins", [4, 1 << 14])
+def test_shards_equal_a_sorted_tree(spark, monkeypatch, bins):
+    monkeypatch.setattr(kd_shards, "BINS", bins)
+    monkeypatch.setattr(kd_shards, "LEAST_BINS", bins)
+    draw = random.Random(bins)
+    rows = [(None if draw.random() < 0.03 else draw.randrange(-(1 << 63), 1 << 63) if draw.random() < 0.3 else draw.randrange(60), "x" * draw.choice((0, 5, 5, 5, 40, draw.randrange(900))), draw.choice((None, "hot", "hot", "cold", "mild")), draw.choice("ab")) for _ in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = Counter((r.shard, r.doc_id, r.size) for r in kd_shards.kd_shards(docs, shards=11).collect())
+    points = [(-(1 << 63) if i is None else i, len(t) + 1, zlib.crc32(t.encode()), len(t), zlib.crc32((s or "").encode()), zlib.crc32(lang.encode()), i) for i, t, s, lang in rows]
+    want = Counter((k, r[6], r[1]) for k, part in enumerate(brute_shards(points, 11)) for r in part)
+    assert got == want
+
+
 # --- operator 5
 
 
