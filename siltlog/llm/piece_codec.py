@@ -1,11 +1,12 @@
 """Operator 8: SentencePiece encoding and decoding through a distinct-chunk table.
 
 The model's pieces never hold a white-space marker after another character (checked on load), so a
-segmentation never crosses the point before a marker run. Each text is cut there into marked words; each
-distinct marked word is segmented once per Python worker, a batch's new words in one call, and kept with its
-ids (packed) and what they decode to; a text's ids are its words' packed ids joined in order. Work per
-repeated word is one dictionary look-up, and nothing is shuffled. The table is emptied when it would pass
-``TABLE_ENTRIES`` words, which costs segmenting some words again and never changes a result.
+segmentation never crosses the point before a marker run. Each text is cut there into marked words. A first
+pass counts the distinct marked words of all documents; those that occur again, the most frequent first as
+far as ``TABLE_BYTES`` holds them, are segmented once for the whole table and sent to all workers with their
+ids (packed) and what they decode to. A text's ids are its words' packed ids joined in order, where the text
+stands, so no text is shuffled. A word beside the table is segmented where it occurs: most occur once, and a
+worker keeps the last ``LOCAL_ENTRIES`` or so. Neither bound changes a result.
 """
 
 from __future__ import annotations
@@ -13,21 +14,37 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from collections import ChainMap
+from collections import ChainMap, Counter
 from collections.abc import Callable, Collection, Iterator, Sequence
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from siltlog.llm.frames import durable
 
 MARK = "▁"
-TABLE_ENTRIES = 300_000
+#: The broadcast table's words have so many bytes at most, counting ``WORD_BYTES`` more for each.
+TABLE_BYTES = 24 << 20
+WORD_BYTES = 64
+#: Words that a worker keeps besides the table.
+LOCAL_ENTRIES = 100_000
+#: Longer words, in characters, are segmented where they occur.
 LONGEST_KEPT = 256
+#: A task hands on its counts after so many distinct words, or so many characters.
+COUNTED_WORDS = 500_000
+COUNTED_CHARS = 1 << 26
 #: A marked word: a run of spaces or markers and what follows it up to the next such run.
 _MARKED = re.compile(f"[ {MARK}]+[^ {MARK}]*")
 
 _SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
+#: words, their packed ids, and their decoded surfaces
+Entries = tuple[list[str], list[bytes], list[bytes]]
+
 
 def default_model_path() -> str:
     import public_tokenizers
@@ -35,8 +52,15 @@ def default_model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def marked_words(text: str) -> list[str]:
+    """The marked words of a text, each without its first marker; the text's own first marker is added."""
+    if "  " in text or MARK in text or text[:1] == " ":
+        return [w[1:] for w in _MARKED.findall(" " + text)]
+    return text.split(" ") if text else []
+
+
 class ChunkTable:
-    """marked word -> (ids as little-endian u32, decoded surface in UTF-8)."""
+    """marked word -> ids as little-endian u32, and -> decoded surface in UTF-8."""
 
     def __init__(self, model_path: str) -> None:
         import sentencepiece
@@ -51,36 +75,44 @@ class ChunkTable:
         self.lead = len(self.model.encode("a"))
         self.begin = array("I", [self.model.bos_id()]).tobytes()
         self.end = array("I", [self.model.eos_id()]).tobytes()
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-
-    def segment(self, chunks: Collection[str]) -> dict[str, tuple[bytes, bytes]]:
-        # behind a one-letter word a chunk keeps all its markers; the library adds its own only in front
-        found, surfaces, lead, unknown = {}, self.surfaces, self.lead, self.model.unk_id()
-        for chunk, ids in zip(chunks, self.model.encode(["a" + c for c in chunks], num_threads=1)):
-            ids = ids[lead:]
+        self.source: str | None = None
+        self.load(None, ([], [], []))
+
+    def load(self, source: str | None, entries: Entries) -> None:
+        """Starts from a broadcast table, which ``source`` tells apart from others."""
+        words, ids, surfaces = entries
+        self.source, self.shared = source, (dict(zip(words, ids)), dict(zip(words, surfaces)))
+        self.ids, self.decoded = map(dict, self.shared)
+
+    def segment(self, words: Collection[str]) -> tuple[list[bytes], list[bytes]]:
+        # behind a one-letter word a marked word keeps all its markers; the library adds its own only in front
+        packed, decoded, surfaces, unknown = [], [], self.surfaces, self.model.unk_id()
+        for ids in self.model.encode(["a " + w for w in words], num_threads=1):
+            ids = ids[self.lead :]
             if unknown in ids:
                 raise ValueError("the model has pieces for less than all bytes")
-            found[chunk] = array("I", ids).tobytes(), b"".join([surfaces[i] for i in ids])
-        return found
+            packed.append(array("I", ids).tobytes())
+            decoded.append(b"".join([surfaces[i] for i in ids]))
+        return packed, decoded
 
     def encode(self, texts: Sequence[str]) -> list[tuple[bytes, bytes]]:
         """For each text the packed ids with begin and end, and the decoded text in UTF-8."""
-        marked = [_MARKED.findall(" " + t) if t else [] for t in texts]
-        wanted = set().union(*marked)
-        fresh = wanted.difference(self.known)
-        if len(self.known) + len(fresh) > TABLE_ENTRIES:
-            self.known.clear()
-            fresh = wanted
+        marked = [marked_words(t) for t in texts]
+        fresh = list(set().union(*marked).difference(self.ids))
         new = self.segment(fresh)
-        # a batch with more words than the table holds, and very long words, leave nothing in it
-        kept = {} if len(new) > TABLE_ENTRIES else new if max(map(len, fresh), default=0) <= LONGEST_KEPT else {c: v for c, v in new.items() if len(c) <= LONGEST_KEPT}
-        self.known.update(kept)
-        table = self.known if len(kept) == len(new) else ChainMap(self.known, new)
+        kept = [k for k, w in enumerate(fresh) if len(w) <= LONGEST_KEPT]
+        ids, decoded = self.ids, self.decoded
+        if len(kept) < len(fresh) or len(ids) + len(fresh) > len(self.shared[0]) + LOCAL_ENTRIES:
+            # words of this batch alone, so that the table stays as it is
+            ids, decoded = ChainMap(dict(zip(fresh, new[0])), ids), ChainMap(dict(zip(fresh, new[1])), decoded)
+            if len(self.ids) + len(kept) > len(self.shared[0]) + LOCAL_ENTRIES:
+                kept = kept[:LOCAL_ENTRIES]
+                self.ids, self.decoded = map(dict, self.shared)
+        for known, values in ((self.ids, new[0]), (self.decoded, new[1])):
+            known.update((fresh[k], values[k]) for k in kept)
         out = []
-        for chunks in marked:
-            pairs = [table[c] for c in chunks]
-            ids, surfaces = zip(*pairs) if pairs else ((), ())
-            out.append((b"".join((self.begin, *ids, self.end)), b"".join(surfaces)[1:]))
+        for words in marked:
+            out.append((b"".join((self.begin, *map(ids.__getitem__, words), self.end)), b"".join(map(decoded.__getitem__, words))[1:]))
         return out
 
 
@@ -93,9 +125,61 @@ def table_of(model_path: str) -> ChunkTable:
     return _tables[model_path]
 
 
-def _mapper(model_path: str, full: bool) -> Callable:
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted() -> pa.RecordBatch:
+        rows = [(w, n) for w, n in counts.items() if len(w) <= LONGEST_KEPT]
+        words, numbers = zip(*rows) if rows else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(numbers, pa.int64())], names=["word", "n"])
+
+    counts, chars = Counter(), 0
+    for batch in batches:
+        for text in batch.column(0):
+            text = text.as_py() or ""
+            counts.update(marked_words(text))
+            chars += len(text)
+            if len(counts) > COUNTED_WORDS or chars > COUNTED_CHARS:
+                yield counted()
+                counts, chars = Counter(), 0
+    yield counted()
+
+
+def repeated_words(docs: DataFrame) -> DataFrame:
+    """word, n: the marked words of up to ``LONGEST_KEPT`` characters that occur more than once, without their first marker."""
+    counts = docs.select("text").mapInArrow(_count, "word string, n long")
+    return counts.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+
+
+def _segmenter(model_path: str) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, decoded = table_of(model_path).segment(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], names=["word", "ids", "decoded"])
+
+    return run
+
+
+def chunk_table(docs: DataFrame, model_path: str) -> Entries:
+    """The most frequent repeated words of all documents that fit ``TABLE_BYTES``, each segmented once.
+
+    Frequencies are parted in levels of a sixteenth of an octave; a level is in the table as a whole or not.
+    """
+    words = durable(repeated_words(docs)).select("word", F.floor(F.log2("n") * 16).cast("int").alias("level"))
+    sizes = words.groupBy("level").agg(F.sum(F.octet_length("word") + WORD_BYTES).alias("bytes")).collect()
+    total, least = 0, 0
+    for r in sorted(sizes, key=lambda r: -r.level):
+        total += r.bytes
+        if total > TABLE_BYTES:
+            least = r.level + 1
+            break
+    found = words.where(F.col("level") >= least).select("word").mapInArrow(_segmenter(model_path), "word string, ids binary, decoded binary").toArrow()
+    return tuple(found.column(k).to_pylist() for k in range(3))
+
+
+def _mapper(model_path: str, full: bool, shared: Broadcast, source: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = table_of(model_path)
+        if table.source != source:
+            table.load(source, shared.value)
         for batch in batches:
             for lo in range(0, max(1, batch.num_rows), 256):
                 part = batch.slice(lo, 256)
@@ -113,16 +197,23 @@ def _mapper(model_path: str, full: bool) -> Callable:
     return run
 
 
+def _encode(docs: DataFrame, model_path: str | None, full: bool, schema: str) -> DataFrame:
+    model_path = model_path or default_model_path()
+    shared = docs.sparkSession.sparkContext.broadcast(chunk_table(docs, model_path))
+    return docs.select("doc_id", "text").mapInArrow(_mapper(model_path, full, shared, uuid4().hex), schema)
+
+
 def encode_decode(docs: DataFrame, model_path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, ids array<int> (with begin and end), decoded.
 
     A null text counts as empty: its ids are begin and end, and it decodes to an empty text. Repeated rows
     give repeated rows, an empty table none; extra columns are ignored. A literal marker in a text is the
-    same symbol as a space to the model, and decodes to a space, as in the library.
+    same symbol as a space to the model, and decodes to a space, as in the library. A very long text is encoded
+    whole, a very long word where it stands.
     """
-    return docs.select("doc_id", "text").mapInArrow(_mapper(model_path or default_model_path(), True), _SCHEMA + ", ids array<int>, decoded string")
+    return _encode(docs, model_path, True, _SCHEMA + ", ids array<int>, decoded string")
 
 
 def encode_digests(docs: DataFrame, model_path: str | None = None) -> DataFrame:
     """The same rows with SHA-256 digests in place of ids and text, so that neither leaves the task."""
-    return docs.select("doc_id", "text").mapInArrow(_mapper(model_path or default_model_path(), False), _SCHEMA)
+    return _encode(docs, model_path, False, _SCHEMA)

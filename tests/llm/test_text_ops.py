@@ -189,12 +189,32 @@ def test_codec_rows(spark, sf, edge_documents):
 
 
 def test_full_table_changes_nothing(monkeypatch):
-    monkeypatch.setattr(piece_codec, "TABLE_ENTRIES", 3)
+    monkeypatch.setattr(piece_codec, "LOCAL_ENTRIES", 3)
     table = piece_codec.ChunkTable(piece_codec.default_model_path())
     text = " ".join(f"word{i % 7}" for i in range(50))
-    assert table.encode([text, "a b", "", "word1 word2"]) == [library(t) for t in (text, "a b", "", "word1 word2")] and len(table.known) <= 3
+    assert table.encode([text, "a b", "", "word1 word2"]) == [library(t) for t in (text, "a b", "", "word1 word2")] and len(table.ids) <= 3
     long = "y" * 600
-    assert table.encode([long]) == [library(long)] and table.encode(["b " + long]) == [library("b " + long)] and len(table.known) <= 3
+    assert table.encode([long]) == [library(long)] and table.encode(["b " + long]) == [library("b " + long)] and len(table.ids) <= 3
+
+
+def test_chunk_table(spark, sf, monkeypatch):
+    path = piece_codec.default_model_path()
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    counts = Counter(w for r in docs.select("text").collect() for w in re.split("[ ▁](?![ ▁])", r.text or "") if "  " not in (r.text or ""))
+    monkeypatch.setattr(piece_codec, "COUNTED_WORDS", 50)
+    got = {r.word: r.n for r in piece_codec.repeated_words(docs.where("NOT contains(text, '  ')")).collect()}
+    assert got == {w: n for w, n in counts.items() if n > 1 and len(w) <= piece_codec.LONGEST_KEPT}
+    words, ids, decoded = piece_codec.chunk_table(docs, path)
+    assert len(words) == len(set(words)) and set(got) <= set(words)
+    assert all(library("a " + w)[0][4:-4] == library("a")[0][4:-4] + i for w, i in list(zip(words, ids))[:500])
+    want = sorted(map(tuple, piece_codec.encode_digests(docs).collect()))
+    # a table of the most frequent words only, and none at all
+    for size in (2_000, 0):
+        monkeypatch.setattr(piece_codec, "TABLE_BYTES", size)
+        few = piece_codec.chunk_table(docs, path)[0]
+        assert sum(len(w.encode()) + piece_codec.WORD_BYTES for w in few) <= size and bool(few) == bool(size)
+        assert all(counts[w] >= max((n for v, n in counts.items() if v not in few), default=0) * 0.95 for w in few)
+        assert sorted(map(tuple, piece_codec.encode_digests(docs).collect())) == want
 
 
 # --- operator 9
