@@ -6,7 +6,7 @@ pass counts the distinct marked words of all documents; those that occur again,
 far as ``TABLE_BYTES`` holds them, are segmented once for the whole table and sent to all workers with their
 ids (packed) and what they decode to. A text's ids are its words' packed ids joined in order, where the text
 stands, so no text is shuffled. A word beside the table is segmented where it occurs: most occur once, and a
-worker keeps the last ``LOCAL_ENTRIES`` or so. Neither bound changes a result.
+worker keeps up to ``LOCAL_ENTRIES`` from one batch to the next. Neither bound changes a result.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from collections import ChainMap, Counter
+from collections import Counter
 from collections.abc import Callable, Collection, Iterator, Sequence
 from uuid import uuid4
 
@@ -28,14 +28,14 @@ from siltlog.llm.frames import durable
 
 MARK = "▁"
 #: The broadcast table's words have so many bytes at most, counting ``WORD_BYTES`` more for each.
-TABLE_BYTES = 24 << 20
+TABLE_BYTES = 16 << 20
 WORD_BYTES = 64
 #: Words that a worker keeps besides the table.
 LOCAL_ENTRIES = 100_000
 #: Longer words, in characters, are segmented where they occur.
 LONGEST_KEPT = 256
 #: A task hands on its counts after so many distinct words, or so many characters.
-COUNTED_WORDS = 500_000
+COUNTED_WORDS = 250_000
 COUNTED_CHARS = 1 << 26
 #: A marked word: a run of spaces or markers and what follows it up to the next such run.
 _MARKED = re.compile(f"[ {MARK}]+[^ {MARK}]*")
@@ -81,8 +81,8 @@ class ChunkTable:
     def load(self, source: str | None, entries: Entries) -> None:
         """Starts from a broadcast table, which ``source`` tells apart from others."""
         words, ids, surfaces = entries
-        self.source, self.shared = source, (dict(zip(words, ids)), dict(zip(words, surfaces)))
-        self.ids, self.decoded = map(dict, self.shared)
+        self.source, self.local = source, []
+        self.ids, self.decoded = dict(zip(words, ids)), dict(zip(words, surfaces))
 
     def segment(self, words: Collection[str]) -> tuple[list[bytes], list[bytes]]:
         # behind a one-letter word a marked word keeps all its markers; the library adds its own only in front
@@ -99,20 +99,18 @@ class ChunkTable:
         """For each text the packed ids with begin and end, and the decoded text in UTF-8."""
         marked = [marked_words(t) for t in texts]
         fresh = list(set().union(*marked).difference(self.ids))
-        new = self.segment(fresh)
-        kept = [k for k, w in enumerate(fresh) if len(w) <= LONGEST_KEPT]
-        ids, decoded = self.ids, self.decoded
-        if len(kept) < len(fresh) or len(ids) + len(fresh) > len(self.shared[0]) + LOCAL_ENTRIES:
-            # words of this batch alone, so that the table stays as it is
-            ids, decoded = ChainMap(dict(zip(fresh, new[0])), ids), ChainMap(dict(zip(fresh, new[1])), decoded)
-            if len(self.ids) + len(kept) > len(self.shared[0]) + LOCAL_ENTRIES:
-                kept = kept[:LOCAL_ENTRIES]
-                self.ids, self.decoded = map(dict, self.shared)
-        for known, values in ((self.ids, new[0]), (self.decoded, new[1])):
-            known.update((fresh[k], values[k]) for k in kept)
+        packed, decoded = self.segment(fresh)
+        self.ids.update(zip(fresh, packed))
+        self.decoded.update(zip(fresh, decoded))
         out = []
         for words in marked:
-            out.append((b"".join((self.begin, *map(ids.__getitem__, words), self.end)), b"".join(map(decoded.__getitem__, words))[1:]))
+            out.append((b"".join((self.begin, *map(self.ids.__getitem__, words), self.end)), b"".join(map(self.decoded.__getitem__, words))[1:]))
+        self.local += [w for w in fresh if len(w) <= LONGEST_KEPT]
+        leaving = [w for w in fresh if len(w) > LONGEST_KEPT]
+        if len(self.local) > LOCAL_ENTRIES:
+            leaving, self.local = leaving + self.local, []
+        for w in leaving:
+            del self.ids[w], self.decoded[w]
         return out
 
 
@@ -127,9 +125,8 @@ def table_of(model_path: str) -> ChunkTable:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def counted() -> pa.RecordBatch:
-        rows = [(w, n) for w, n in counts.items() if len(w) <= LONGEST_KEPT]
-        words, numbers = zip(*rows) if rows else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(numbers, pa.int64())], names=["word", "n"])
+        words = [w for w in counts if len(w) <= LONGEST_KEPT]
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([counts[w] for w in words], pa.int64())], names=["word", "n"])
 
     counts, chars = Counter(), 0
     for batch in batches:
