@@ -118,6 +118,36 @@ def test_licenses_with_inserted_words_at_every_offset():
         assert license_scan.matches(words, t, 0.8, 0.75, range(len(words) // 40 + 1)) == [(1.0, k, k + 50, 40)]
 
 
+def test_edited_whole_licenses(spark):
+    rng = random.Random(31)
+    rows, want = [], {}
+    for name, template in license_scan.TEMPLATES.items():
+        if not name.endswith("-text"):
+            continue
+        for k in range(40):
+            words = []
+            for w in re.findall("[A-Za-z0-9]+", template):
+                change = rng.random()
+                words += [] if change < 0.03 else [f"new{k}"] if change < 0.06 else [w, f"added{k}"] if change < 0.1 else [w]
+            before = rng.choices(["the", "software", "any", "pad", "is", "notice", "of"], k=rng.randint(0, 400))
+            after = rng.choices(["use", "this", "or", "pad", "in"], k=rng.randint(0, 90))
+            rows.append((len(rows), " ".join(before + words + after)))
+            want[rows[-1][0], name] = (len(before), len(before) + len(words))
+    got = {(r.doc_id, r.license): (r.start_word, r.end_word) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # found, and both ends within a few words of the planted ones
+    near = [k for k, (a, b) in want.items() if k in got and abs(got[k][0] - a) <= 12 and abs(got[k][1] - b) <= 12]
+    assert len(near) >= 0.9 * len(want)
+    assert all(k in got for k in want)
+
+
+def test_many_whole_copies_take_one_window_each(monkeypatch):
+    template = license_scan._hashes(license_scan.TEMPLATES["mit-text"]).tolist()
+    n, aligned, align = len(template), [], license_scan.align
+    monkeypatch.setattr(license_scan, "align", lambda a, b: aligned.append(1) or align(a, b))
+    found = license_scan.matches([1] + template * 50, template, 0.8, 0.75, range(51))
+    assert found == [(1.0, 1 + k * n, 1 + (k + 1) * n, n) for k in range(50)] and len(aligned) == 50
+
+
 # --- operator 4
 
 
