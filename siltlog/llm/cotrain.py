@@ -57,6 +57,13 @@ _SHAPE_BINS = 16
 _RECORDS = 4096
 _METAS = _RECORDS + _SHAPES * _SHAPE_BINS
 _TEXTS = _FEATURES * LEVELS
+_BYTES = np.arange(256)
+#: Kinds of bytes: capitals, printed signs but the full stop and the comma, digits, line ends.
+_CAPITAL, _SYMBOL, _DIGIT, _LINE_END = 1, 2, 3, 4
+_KINDS = np.select(
+    [(_BYTES >= 65) & (_BYTES <= 90), kernels.NOT_ALNUM & (_BYTES > 32) & (_BYTES != 44) & (_BYTES != 46), (_BYTES >= 48) & (_BYTES <= 57), _BYTES == 10],
+    [_CAPITAL, _SYMBOL, _DIGIT, _LINE_END],
+).astype(np.uint8)
 
 
 def _bin(values: np.ndarray, low: float, high: float) -> np.ndarray:
@@ -68,11 +75,12 @@ def features(texts: pa.Array, lang: pa.Array, source: pa.Array, n_chars: np.ndar
     for lo, hi, data, offsets in kernels.text_slices(texts):
         n = hi - lo
         lowered = kernels.ascii_lower(data)
-        hashes, starts, ends, first = kernels.words(lowered, offsets, kernels.NOT_ALNUM)
+        prefixes = kernels.prefix_hashes(lowered)
+        hashes, starts, ends, first = kernels.words(lowered, offsets, kernels.NOT_ALNUM, prefixes)
         owner = np.repeat(np.arange(n), np.diff(first))
         docs = found = np.zeros(0, dtype=np.int64)
         if len(hashes):
-            sums, inverses = kernels.prefix_hashes(lowered)
+            sums, inverses = prefixes
             long = np.flatnonzero(ends - starts >= PREFIX_BYTES)
             heads = kernels.mix((sums[starts[long] + PREFIX_BYTES] - sums[starts[long]]) * inverses[starts[long]])
             every = np.concatenate((hashes, heads)) >> np.uint64(64 - TABLE_BITS)
@@ -92,20 +100,22 @@ def _shapes(data: np.ndarray, offsets: np.ndarray, hashes: np.ndarray, owner: np
     """Each document's shape figures, each in one of ``_SHAPE_BINS`` bins."""
     size = np.maximum(np.diff(offsets), 1).astype(float)
 
-    def share(mask: np.ndarray) -> np.ndarray:
-        sums = np.concatenate(([0], np.cumsum(mask)))
-        return (sums[offsets[1:]] - sums[offsets[:-1]]) / size
+    kinds = _KINDS[data]
+
+    def share(kind: int) -> np.ndarray:
+        return np.diff(np.searchsorted(np.flatnonzero(kinds == kind), offsets)) / size
 
     words = np.bincount(owner, minlength=n).astype(float)
     many = np.maximum(words, 1)
-    distinct = np.bincount(np.unique(owner << 40 | (hashes >> np.uint64(24)).astype(np.int64)) >> 40, minlength=n)
+    held = np.sort(owner << 40 | (hashes >> np.uint64(24)).astype(np.int64))
+    held = held[np.concatenate(([True], held[1:] != held[:-1]))] if len(held) else held
+    distinct = np.bincount(held >> 40, minlength=n)
     again = (hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1])
-    symbol = (data < 128) & kernels.NOT_ALNUM[data] & (data > 32) & (data != 44) & (data != 46)
     columns = [
-        _bin(share((data >= 65) & (data <= 90)), 0, 0.8),
-        _bin(share(symbol), 0, 0.3),
-        _bin(share((data >= 48) & (data <= 57)), 0, 0.3),
-        _bin(share(data == 10), 0, 0.1),
+        _bin(share(_CAPITAL), 0, 0.8),
+        _bin(share(_SYMBOL), 0, 0.3),
+        _bin(share(_DIGIT), 0, 0.3),
+        _bin(share(_LINE_END), 0, 0.1),
         _bin(distinct / many, 0, 1.0001),
         _bin(np.bincount(owner[1:][again], minlength=n) / many, 0, 0.5),
         _bin(np.bincount(owner, weights=ends - starts, minlength=n) / many, 2, 12),

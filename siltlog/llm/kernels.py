@@ -85,11 +85,11 @@ def ascii_lower(data: np.ndarray) -> np.ndarray:
 NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
-def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _IS_SPACE, prefixes: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, starts and ends of all words, and for each text the number of words before it.
 
     A word is a maximal run of bytes that are no separators (by default 0x20 and 0x09-0x0D); it never
-    crosses a text boundary.
+    crosses a text boundary. ``prefixes``: what ``prefix_hashes`` gives for the data, if known.
     """
     if not len(data):
         zero = np.zeros(0, dtype=np.int64)
@@ -106,7 +106,7 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _IS_SP
     after[:-1] = inside[1:]
     after[cuts[(cuts > 0)] - 1] = False
     ends = np.flatnonzero(inside & ~after) + 1
-    sums, inverses = prefix_hashes(data)
+    sums, inverses = prefixes or prefix_hashes(data)
     hashes = mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(_U))
     return hashes, starts, ends, np.searchsorted(starts, offsets)
 
