@@ -26,44 +26,59 @@ def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _bounds(df: DataFrame, order: Sequence[Column], parts: int) -> tuple[list[str], list[Column]]:
-    """Names of the order columns' fields, and up to ``parts`` - 1 literal bounds from the rows of least hash."""
+def _width(rows: Sequence[Sequence[object]]) -> int:
+    """How many of the first values tell each of the sorted rows from the one before it (NaNs are equal)."""
+    plain = [[None if v != v else v for v in row] for row in rows]
+    return next((w for w in range(1, len(rows[0])) if all(a[:w] != b[:w] for a, b in zip(plain, plain[1:]))), len(rows[0]))
+
+
+def _bounds(df: DataFrame, order: Sequence[Column], parts: int) -> tuple[Column, list[Column]]:
+    """The key to search with, and up to ``parts`` - 1 literal bounds for it from the rows of least hash.
+
+    The key has as few of the first order columns as tell the bounds and the least row apart, so that none of its
+    values has the rows of more than about two parts. One column without a null bound is compared as it is, others as a struct.
+    """
     names = [f"o{k}_" for k in range(len(order))]
     keys = df.select(*[c.alias(n) for c, n in zip(order, names)])
     # the limit leaves one partition, which is sorted as it is
     rows = keys.orderBy(F.xxhash64(*names)).limit(parts * SAMPLED_EACH).sortWithinPartitions(*names).collect()
     kinds = [f.dataType for f in keys.schema.fields]
     picked = sorted({len(rows) * k // parts for k in range(1, parts)} - {0}) if rows else []
-    picked = [k for k, before in zip(picked, [0, *picked]) if rows[k] != rows[before]]
-    return names, [F.struct(*[F.lit(v).cast(t).alias(n) for v, t, n in zip(rows[k], kinds, names)]) for k in picked]
+    picked = [rows[k] for k, before in zip(picked, [0, *picked]) if rows[k] != rows[before]]
+    if not picked:
+        return F.lit(None), []
+    width = _width([rows[0], *picked])
+    if width == 1 and all(row[0] is not None for row in picked):
+        return order[0], [F.lit(row[0]).cast(kinds[0]) for row in picked]
+    fields = list(zip(names, kinds))[:width]
+    return F.struct(*[c.alias(n) for c, (n, _) in zip(order, fields)]), [F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(row, fields)]) for row in picked]
 
 
 def ranged(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     """The rows with the number of their range of the order columns in ``part_``; nothing moves yet.
 
     The bounds are literals in the plan, so every read of it sees the same ranges, and a read that needs the
-    order columns only reads only them. Few bounds are searched by halves in generated code; of many, every w-th
-    one comes first, then w of them.
+    order columns only reads only them. They are searched by halves in generated code: few are spelled out, many
+    lie in an array, a projection for each step.
     """
-    names, bounds = _bounds(df, order, PARTS_EACH * _partitions(df))
+    key, bounds = _bounds(df, order, PARTS_EACH * _partitions(df))
     if not bounds:
         return df.withColumn("part_", F.lit(0))
-    key = F.struct(*[c.alias(n) for c, n in zip(order, names)])
     if len(bounds) <= NESTED:
 
         def among(low: int, high: int) -> Column:
             if low == high:
                 return F.lit(low)
             middle = (low + high) // 2
-            return F.when(key < bounds[middle], among(low, middle)).otherwise(among(middle + 1, high))
+            return F.when(bounds[middle] <= key, among(middle + 1, high)).otherwise(among(low, middle))
 
         return df.withColumn("part_", among(0, len(bounds)))
-    width = max(1, int(len(bounds) ** 0.5))
-    up_to = lambda found: F.size(F.filter(found, lambda b: b <= key))
-    coarse = up_to(F.array(*bounds[::width]))
-    fine = up_to(F.slice(F.array(*bounds), (F.col("coarse_") - 1) * width + 1, width))
-    rows = df.withColumn("coarse_", coarse)
-    return rows.withColumn("part_", F.when(F.col("coarse_") == 0, 0).otherwise((F.col("coarse_") - 1) * width + fine).cast("int")).drop("coarse_")
+    # each step's place is used twice in the next, so that the steps stay projections; past the end a bound is null
+    rows = df.select("*", key.alias("key_"), F.array(*bounds).alias("bounds_"), F.lit(0).alias("part_"))
+    for step in (1 << k for k in reversed(range(len(bounds).bit_length()))):
+        above = F.get("bounds_", F.col("part_") + (step - 1)) <= F.col("key_")
+        rows = rows.withColumn("part_", F.col("part_") + F.when(above, step).otherwise(0))
+    return rows.drop("key_", "bounds_")
 
 
 def dealt(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
@@ -77,9 +92,11 @@ def with_position(df: DataFrame, order: Sequence[Column], name: str = "pos") ->
     sizes = rows.groupBy("part_").agg(F.count("*").alias("n_"))
     before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     bases = sizes.select(F.col("part_").alias("b_part_"), F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("base_"))
-    placed = rows.withColumn("in_", F.row_number().over(Window.partitionBy("part_").orderBy(*order)))
+    # each range is a partition of its own, sorted by the order alone, so a row's number there is its place in the range
+    alone = rows.repartitionById(PARTS_EACH * _partitions(df), "part_").sortWithinPartitions(*order)
+    placed = alone.withColumn("in_", F.monotonically_increasing_id() % (1 << 33))
     joined = placed.join(F.broadcast(bases), F.col("part_") == F.col("b_part_"))
-    return joined.withColumn(name, (F.col("base_") + F.col("in_") - 1).cast("bigint")).drop("part_", "in_", "b_part_", "base_")
+    return joined.withColumn(name, (F.col("base_") + F.col("in_")).cast("bigint")).drop("part_", "in_", "b_part_", "base_")
 
 
 def scan(df: DataFrame, key: str, kind: KeyType) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -175,3 +176,22 @@ def test_ranges_by_either_search(spark, monkeypatch, nested):
     got = [r.id for r in ordered.with_position(rows, order).orderBy("pos").collect()]
     assert got == [r.id for r in rows.orderBy(*order).collect()]
     assert ordered.with_position(rows.limit(0), order).count() == 0
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_many_ranges_are_searched_in_generated_code(spark, hot):
+    rows = spark.range(6000).selectExpr(f"IF({hot} AND id % 3 = 0, 7, IF(id % 500 = 0, NULL, id * 37 % 6007)) AS k", "IF(id % 5 = 0, DOUBLE('NaN'), id / 3.0D) AS x", "id")
+    order = [F.col("k"), F.col("x"), F.col("id")]
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        ranged = ordered.ranged(rows, order).select("part_")
+        plan = ranged._jdf.queryExecution().executedPlan().toString()
+        sizes = [r["count"] for r in ranged.groupBy("part_").count().collect()]
+        got = [(r.pos, r.id) for r in ordered.with_position(rows, order).orderBy("pos").collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert "lambda" not in plan and not re.search(r"\n *[+:]- Project", plan), plan
+    assert ("struct(" in plan) == hot  # the key alone is compared unless one value fills several ranges
+    assert len(sizes) > ordered.NESTED and max(sizes) < 6000 * 3 / len(sizes)
+    assert got == [(k, r.id) for k, r in enumerate(rows.orderBy(*order).collect())]
